@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, pii, secret_scan, toxicity, warc
+from . import decontaminate, media, mixing, pii, secret_scan, toxicity, warc
 from .common import id_remainder, scratch_dir, table
 
 
@@ -44,6 +44,10 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.describe(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = id_remainder(F.col("doc_id"), 4) == 2
@@ -53,7 +57,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_source_mixing, op3_warc, op5_pii, op6_benchmark_decontamination, op10_toxicity)
+    for f in (op1_secret_scan, op2_source_mixing, op3_warc, op5_pii, op6_benchmark_decontamination, op9_media, op10_toxicity)
 }
 
 ORACLE_SQL: dict[str, str] = {}
