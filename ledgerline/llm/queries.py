@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, media, mixing, pii, secret_scan, toxicity, warc
+from . import decontaminate, media, mixing, ngram_join, pii, secret_scan, toxicity, warc
 from .common import id_remainder, scratch_dir, table
 
 
@@ -36,6 +36,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, folder)
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(table(spark, sf_dir, "documents"), key="ledgerline")
 
@@ -57,7 +61,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_source_mixing, op3_warc, op5_pii, op6_benchmark_decontamination, op9_media, op10_toxicity)
+    for f in (op1_secret_scan, op2_source_mixing, op3_warc, op4_ngram_join, op5_pii, op6_benchmark_decontamination, op9_media, op10_toxicity)
 }
 
 ORACLE_SQL: dict[str, str] = {}
