@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, media, mixing, ngram_join, pii, secret_scan, substring_dedup, toxicity, warc
+from . import decontaminate, lm, media, mixing, ngram_join, pii, secret_scan, substring_dedup, toxicity, warc
 from .common import id_remainder, scratch_dir, table
 
 
@@ -52,6 +52,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(table(spark, sf_dir, "documents"))
 
@@ -65,7 +69,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_source_mixing, op3_warc, op4_ngram_join, op5_pii, op6_benchmark_decontamination, op7_substring_dedup, op9_media, op10_toxicity)
+    for f in (op1_secret_scan, op2_source_mixing, op3_warc, op4_ngram_join, op5_pii, op6_benchmark_decontamination, op7_substring_dedup, op8_lm_scoring, op9_media, op10_toxicity)
 }
 
 ORACLE_SQL: dict[str, str] = {}
