@@ -11,30 +11,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.store import scratch_dir
+
 #: A word is a run of anything but ASCII whitespace; bytes.split() separates at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Used only where the session names no shared folder and runs on one machine.
-LOCAL_SCRATCH = "/tmp/checkpoints/ledgerline"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it.
-
-    Unset on one machine (tests): a local folder. Unset on a cluster: an error, since no
-    machine's own folder can hold tables that all executors read.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return LOCAL_SCRATCH
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back, which cuts its lineage."""
     spark = df.sparkSession

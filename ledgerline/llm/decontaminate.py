@@ -31,6 +31,7 @@ from .common import WordHashes, batches, gram_hashes, utf8, window_min
 
 WINDOW, GRAM = 13, 5
 WIDTH = WINDOW - GRAM + 1
+CONTAMINATED = "n_hit > 0 and 20 * n_hit >= n_words"
 _LETTERS = bytes((c + 32 if 65 <= c < 91 else c) if 48 <= c < 58 or 65 <= c < 91 or 97 <= c < 123 or c > 127 else 32 for c in range(256))
 
 
@@ -126,10 +127,40 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, most_bytes: int = 32 <<
 
     contaminated: at least one word and a twentieth of all words are hit.
     """
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), utf8(F.col("text")).alias("words"))
-    size = items.agg(F.sum(F.octet_length("words") + 64)).first()[0] or 0
-    found = _by_broadcast(docs, items) if size <= most_bytes else _by_join(docs, items)
-    return found.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
+    items = _items(benchmark)
+    found = _by_broadcast(docs, items) if _size(items) <= most_bytes else _by_join(docs, items)
+    return found.withColumn("contaminated", F.expr(CONTAMINATED))
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), utf8(F.col("text")).alias("words"))
+
+
+def _size(items: DataFrame) -> int:
+    return items.agg(F.sum(F.octet_length("words") + 64)).first()[0] or 0
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of docs, all columns, that aren't contaminated."""
+    items = _items(benchmark)
+    if _size(items) > most_bytes:
+        key = F.unhex(F.md5(utf8(F.col("text"))))
+        texts = docs.select(key.alias("doc_id"), "text").dropDuplicates(["doc_id"])
+        bad = _by_join(texts, items).where(CONTAMINATED).select(F.col("doc_id").alias("_key"))
+        return docs.withColumn("_key", key).join(bad, "_key", "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
+    known = docs.sparkSession.sparkContext.broadcast(Items([(r[0], bytes(r[1])) for r in items.collect()]))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches(it):
+            keep = []
+            for text in b.column("text").cast(pa.binary()).to_pylist():
+                words = words_of(text or b"")
+                n_hit = int(known.value.hits(words, hashes.of(words))[0].sum())
+                keep.append(not (n_hit and 20 * n_hit >= len(words)))
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def _by_broadcast(docs: DataFrame, items: DataFrame) -> DataFrame:
