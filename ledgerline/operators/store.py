@@ -1,7 +1,8 @@
 """Tables as folders of Parquet versions: overwrite, append, replace, read.
 
-A version is complete once Spark has left _SUCCESS in it; readers take the newest complete one, so
-a failed or running write is never seen. Folders are reached through Hadoop's file systems only.
+A version is a folder of segments: overwriting starts a version, appending adds a segment to the newest.
+A segment is complete once Spark has left _SUCCESS in it; readers take the complete segments of the
+newest version, so a failed or running write is never seen and a DataFrame that was read stays as it was. Folders are reached through Hadoop's file systems only.
 A single writer is assumed: reading, comparing and appending are separate steps.
 """
 
@@ -60,43 +61,47 @@ class Table:
         """The table project.dataset.table below root."""
         return cls(spark, "/".join([root.rstrip("/"), *split_path(path)]))
 
-    def _versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.folder)
-        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(at):
-            return []
-        names = [f.getPath().getName() for f in fs.listStatus(at) if f.isDirectory()]
-        return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}/_SUCCESS")))
+    def _path(self, name: str = ""):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
 
-    def _place(self, version: int) -> str:
-        return f"{self.folder}/v={version}"
+    def _segments(self) -> list[tuple[int, int]]:
+        """(version, segment) of the complete segments, in order."""
+        fs = self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = fs.globStatus(self._path("v*/s*/_SUCCESS")) or []
+        places = [f.getPath().toString().rsplit("/", 3)[1:3] for f in found]
+        return sorted((int(v[1:]), int(s[1:])) for v, s in places)
+
+    def _place(self, version: int, segment: int) -> str:
+        return f"{self.folder}/v{version}/s{segment}"
 
     def exists(self) -> bool:
-        return bool(self._versions())
+        return bool(self._segments())
 
     def read(self) -> DataFrame:
         """The newest version. A missing table is an error: an empty master would make all rows new."""
-        versions = self._versions()
-        if not versions:
+        segments = self._segments()
+        if not segments:
             raise SourceError(f"no table in {self.folder}")
-        return self.spark.read.parquet(self._place(versions[-1]))
+        return self.spark.read.parquet(*[self._place(*s) for s in segments if s[0] == segments[-1][0]])
 
     def rows(self) -> int:
         return self.read().count()
 
     def overwrite(self, df: DataFrame) -> None:
         """A new version. df may read the version before: that stays until drop_old()."""
-        df.write.mode("overwrite").parquet(self._place(max(self._versions(), default=0) + 1))
+        version = max((v for v, _ in self._segments()), default=0) + 1
+        df.write.mode("overwrite").parquet(self._place(version, 1))
 
     def append(self, df: DataFrame) -> None:
-        """More files in the newest version; a table that isn't there is created."""
-        df.write.mode("append").parquet(self._place(max(self._versions(), default=1)))
+        """A new segment of the newest version; a table that isn't there is created."""
+        version, segment = max(self._segments(), default=(1, 0))
+        df.write.mode("overwrite").parquet(self._place(version, segment + 1))
 
     def drop_old(self) -> None:
-        jvm = self.spark._jvm
-        for v in self._versions()[:-1]:
-            at = jvm.org.apache.hadoop.fs.Path(self._place(v))
+        """Deletes all versions but the newest."""
+        versions = sorted({v for v, _ in self._segments()})
+        for v in versions[:-1]:
+            at = self._path(f"v{v}")
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
