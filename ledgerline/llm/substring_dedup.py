@@ -85,7 +85,7 @@ def _places(words: int):
             kind, count, marks = _settle(minimiser, recurs)
             at = np.concatenate([np.arange(len(row)), marks])
             kind = np.concatenate([kind, np.full(len(marks), MARK, np.int32)])
-            taken = b.take(pa.array(row[at]))
+            taken = b.select(["k1", "k2", "doc_id"]).take(pa.array(row[at]))
             k1 = taken.column("k1").to_numpy()
             route = np.where(kind == SETTLED, k1 ^ start[at], minimiser[at])
             columns = (route, kind, minimiser[at], k1, taken.column("k2").to_numpy(), taken.column("doc_id"), start[at].astype(np.int32), n[at].astype(np.int32), count[at].astype(np.int32))
