@@ -8,7 +8,8 @@ the source's size starts a second round through the same order. Sorting by time,
 the training sequence. A source's last document may be taken in part, so targets are met to the word.
 
 All of it is DataFrame operations. A source of any size is summed in two steps: words per source and
-bucket of the order, then inside a bucket, so no task holds a source.
+bucket of the order (4,096 of them, by the first digits of a document's key), then inside a bucket, so
+no task holds a source.
 
 Defined results: a null text has 0 words and is never taken; a null source is a source of its own and
 comes last; rows with equal id, source and size are interchangeable; a mix without words has targets
@@ -32,7 +33,6 @@ SCHEDULES = (
     ((0.0, 1.0), (1.0, 1.0)),
     ((0.0, 0.5), (0.7, 1.0), (1.0, 2.0)),
 )
-BUCKETS = 4096
 SEED = 17
 
 
@@ -101,9 +101,9 @@ def plan(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = SEE
     position (time of the first use, null if it isn't used) and repeat_position (of the second).
     """
     sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"))
-    key = F.xxhash64(F.lit(seed), "doc_id", "source", "size")
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("source", F.lit("-")), "size"))
     thin = materialize(
-        sized.select("doc_id", F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source"), "size", key.alias("_h")).withColumn("_bucket", F.shiftrightunsigned("_h", 52).cast("int")), "sizes"
+        sized.select("doc_id", F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source"), "size", key.alias("_h")).withColumn("_bucket", F.substring("_h", 1, 3)), "sizes"
     )
     by = ["no_source", "source"]
     buckets = thin.groupBy(*by, "_bucket").agg(F.sum("size").alias("_words"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, lm, media, mixing, ngram_join, pii, secret_scan, substring_dedup, toxicity, warc
 from .common import id_remainder, scratch_dir, table
+from .oracle import SQL
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +28,8 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(table(spark, sf_dir, "documents"))
-    return planned.select("doc_id", "size", "source_size", "target", "taken", "position", "repeat_position")
+    at = [F.round(c, 9).alias(c) for c in ("position", "repeat_position")]
+    return planned.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", *at)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +74,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_secret_scan, op2_source_mixing, op3_warc, op4_ngram_join, op5_pii, op6_benchmark_decontamination, op7_substring_dedup, op8_lm_scoring, op9_media, op10_toxicity)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(SQL)
