@@ -3,8 +3,8 @@
 score = sigmoid(w0 + sum of w[i] + sum over pairs of v[i].v[j]) over the distinct terms of a
 text, so pairs such as an insult and a group named with it can weigh more than their parts.
 
-A term is a run of letters and digits (every non-ASCII character counts as a letter), A-Z
-lower-cased, hashed into `buckets`. The model is fitted on at most `max_rows` labelled rows,
+A term is a lower-cased run of letters and digits (every non-ASCII character counts as a letter), or
+its first 5, 6 or 7 bytes, which inflected insults share; terms are hashed into `buckets`. The model is fitted on at most `max_rows` labelled rows,
 those whose id hashes lowest; it keeps the `max_terms` terms most associated with the label by
 a likelihood ratio. Scoring reads every text once, without a shuffle.
 
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import utf8
 
+PREFIXES = (5, 6, 7)
 _SEPARATE = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c > 127 else 32 for c in range(256))
 
 
@@ -62,17 +63,18 @@ class Model:
 
 
 def words_of(text: bytes) -> set[bytes]:
-    return set(text.lower().translate(_SEPARATE).split())
+    return set(text.decode(errors="replace").lower().encode().translate(_SEPARATE).split())
 
 
-def bucket(word: bytes, buckets: int) -> int:
-    return xxhash.xxh3_64_intdigest(word) % buckets
+def terms_of(word: bytes, buckets: int) -> list[int]:
+    """The buckets of a word and of its beginnings."""
+    return [xxhash.xxh3_64_intdigest(w) % buckets for w in (word, *(word[:n] + b"*" for n in PREFIXES if len(word) > n))]
 
 
 def _terms_of_batches(buckets: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            packed = [np.array(sorted({bucket(w, buckets) for w in words_of(t)}), np.int32).tobytes() for t in b.column("text").to_pylist()]
+            packed = [np.array(sorted({x for w in words_of(t) for x in terms_of(w, buckets)}), np.int32).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), b.column("label")], ["terms", "label"])
 
     return run
@@ -150,18 +152,22 @@ def _learn(docs: list[np.ndarray], y: np.ndarray, s: Settings) -> Model:
 
 
 class _Rows(dict):
-    """word -> its row in the model, or -1; remembered for a bounded number of words."""
+    """word -> the rows of its terms in the model; remembered for a bounded number of words."""
 
     def __init__(self, model: Model, limit: int = 300_000):
         self.model, self.limit = model, limit
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) >= self.limit:
             self.clear()
-        h, terms = bucket(word, self.model.settings.buckets), self.model.terms
-        i = int(np.searchsorted(terms, h))
-        row = self[word] = i if i < len(terms) and terms[i] == h else -1
-        return row
+        h, terms = np.array(terms_of(word, self.model.settings.buckets)), self.model.terms
+        at = np.searchsorted(terms, h)
+        found = self[word] = tuple(int(i) for i, x in zip(at, h) if i < len(terms) and terms[i] == x)
+        return found
+
+    def score(self, text: bytes) -> float:
+        rows = {r for w in words_of(text) for r in self[w]}
+        return self.model.score(np.array(sorted(rows), np.int64))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -170,11 +176,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _Rows(model)
         for b in it:
-            scores = []
-            for text in b.column("text").to_pylist():
-                found = set(map(rows.__getitem__, words_of(text)))
-                found.discard(-1)
-                scores.append(model.score(np.array(sorted(found), np.int64)))
+            scores = [rows.score(text) for text in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores, pa.float64()), pa.array([int(x >= model.settings.threshold) for x in scores], pa.int32())], ["doc_id", "score", "predicted"])
 
     rows = docs.select("doc_id", utf8(F.col("text")).alias("text"))
@@ -188,11 +190,7 @@ def keep_civil(docs: DataFrame, model: Model) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _Rows(model)
         for b in it:
-            keep = []
-            for text in b.column("text").cast(pa.binary()).to_pylist():
-                found = set(map(rows.__getitem__, words_of(text or b"")))
-                found.discard(-1)
-                keep.append(model.score(np.array(sorted(found), np.int64)) < model.settings.threshold)
+            keep = [rows.score(text or b"") < model.settings.threshold for text in b.column("text").cast(pa.binary()).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
