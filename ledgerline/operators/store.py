@@ -24,7 +24,7 @@ LOCAL_SCRATCH = "/tmp/checkpoints/ledgerline"
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if spark.sparkContext.master.split("[")[0] != "local":
