@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import batches, materialize, utf8
 
 PREFIXES = (5, 6, 7)
 _SEPARATE = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c > 127 else 32 for c in range(256))
@@ -38,8 +38,9 @@ class Settings:
     least_documents: int = 4  #: a term must occur in so many fitted documents
     least_ratio: float = 8.0  #: and have this log-likelihood ratio
     factors: int = 8
-    steps: int = 250
-    rate: float = 0.05
+    epochs: int = 30
+    batch: int = 1024
+    rate: float = 0.03
     penalty: float = 2e-4
     threshold: float = 0.3
     seed: int = 11
@@ -71,84 +72,113 @@ def terms_of(word: bytes, buckets: int) -> list[int]:
     return [xxhash.xxh3_64_intdigest(w) % buckets for w in (word, *(word[:n] + b"*" for n in PREFIXES if len(word) > n))]
 
 
-def _terms_of_batches(buckets: int):
+class _Terms(dict):
+    """word -> its terms; remembered for a bounded number of words."""
+
+    def __init__(self, buckets: int, limit: int = 200_000):
+        self.buckets, self.limit = buckets, limit
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        if len(self) >= self.limit:
+            self.clear()
+        found = self[word] = tuple(terms_of(word, self.buckets))
+        return found
+
+
+def _counts(buckets: int):
+    """term, present, positive: of each batch's documents, how many hold the term, and how many of those are labelled."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms_of_word = _Terms(buckets)
+        for b in batches(it, 4 << 20):
+            found = [set().union(*map(terms_of_word.__getitem__, words_of(t))) for t in b.column("text").to_pylist()]
+            flat = np.fromiter((x for f in found for x in f), np.int64, sum(map(len, found)))
+            terms, at = np.unique(flat, return_inverse=True)
+            marked = np.repeat(b.column("label").to_numpy() > 0.5, [len(f) for f in found])
+            columns = (terms, np.bincount(at, minlength=len(terms)), np.bincount(at, weights=marked, minlength=len(terms)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["term", "present", "positive"])
+
+    return run
+
+
+def _chosen_rows(model: Model):
+    """rows, label: each document's rows in the model, packed."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _Rows(model)
         for b in it:
-            packed = [np.array(sorted({x for w in words_of(t) for x in terms_of(w, buckets)}), np.int32).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), b.column("label")], ["terms", "label"])
+            packed = [rows.of(t).astype(np.int32).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), b.column("label")], ["rows", "label"])
 
     return run
 
 
+def association(n: int, n_positive: int) -> Column:
+    """Log-likelihood ratio of a term's presence and the label, from the columns present and positive."""
+    present, positive = F.col("present"), F.col("positive")
+    cells = [(positive, present, n_positive), (present - positive, present, n - n_positive), (n_positive - positive, n - present, n_positive), (n - n_positive - present + positive, n - present, n - n_positive)]
+    parts = [F.when(o > 0, o * F.log(o * float(n) / (r * float(k)))).otherwise(0.0) for o, r, k in cells if k]
+    return sum(parts[1:], parts[0])
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column | None = None, settings: Settings = Settings()) -> Model:
     """Fits on documents whose label row satisfies `usable` (a condition on doc_id).
 
-    The labels' side of the join has max_rows rows at most, which bounds its broadcast; what
-    reaches the driver are those documents' hashed terms.
+    The labels' side of the join has max_rows rows at most, which bounds its broadcast. Terms are counted
+    on the executors; the driver gets max_terms terms and, of each fitted document, those that it holds.
     """
+    s = settings
     known = labels.select("doc_id", F.col(label).cast("double").alias("label")).where("doc_id is not null and label is not null")
     known = (known if usable is None else known.where(usable)).groupBy("doc_id").agg(F.max("label").alias("label"))
     texts = docs.select("doc_id", utf8(F.col("text")).alias("text"))
-    chosen = known.orderBy(F.xxhash64(F.lit(settings.seed), "doc_id"), "doc_id").limit(settings.max_rows)
-    joined = texts.join(F.broadcast(chosen), "doc_id").select("text", "label")
-    rows = joined.mapInArrow(_terms_of_batches(settings.buckets), "terms binary, label double").collect()
-    rows.sort(key=lambda r: (bytes(r[0]), r[1]))  # the order of tasks must not change the model
-    return _learn([np.frombuffer(bytes(r[0]), np.int32) for r in rows], np.array([r[1] > 0.5 for r in rows], float), settings)
-
-
-def _association(present: np.ndarray, positive: np.ndarray, n: int, n_positive: int) -> np.ndarray:
-    """Log-likelihood ratio of a term's presence and the label."""
-    cells = np.stack([positive, present - positive, n_positive - positive, n - n_positive - present + positive]).astype(float)
-    rows = np.stack([present, present, n - present, n - present])
-    columns = np.array([n_positive, n - n_positive, n_positive, n - n_positive])[:, None]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(cells > 0, cells * np.log(cells * n / (rows * columns)), 0).sum(0)
-
-
-def _learn(docs: list[np.ndarray], y: np.ndarray, s: Settings) -> Model:
-    n, k = len(docs), s.factors
-    rate = (y.sum() + 0.5) / (n + 1) if n else 0.01
-    bias = float(np.log(rate / (1 - rate)))
-    none = Model(np.empty(0, np.int64), bias, np.empty(0), np.empty((0, k)), s)
-    if not n or y.min() == y.max():
+    chosen = known.orderBy(F.xxhash64(F.lit(s.seed), "doc_id"), "doc_id").limit(s.max_rows)
+    sample = materialize(texts.join(F.broadcast(chosen), "doc_id").select("text", "label"), "labelled")
+    n, n_positive = sample.agg(F.count("*"), F.coalesce(F.sum((F.col("label") > 0.5).cast("int")), F.lit(0))).first()
+    rate = (n_positive + 0.5) / (n + 1) if n else 0.01
+    none = Model(np.empty(0, np.int64), float(np.log(rate / (1 - rate))), np.empty(0), np.empty((0, s.factors)), s)
+    if n_positive in (0, n):
         return none
-    flat, of = np.concatenate(docs), np.repeat(np.arange(n), [len(d) for d in docs])
-    terms, at = np.unique(flat, return_inverse=True)
-    present, positive = np.bincount(at, minlength=len(terms)), np.bincount(at, weights=y[of], minlength=len(terms))
-    ratio = np.where(present >= s.least_documents, _association(present, positive, n, y.sum()), 0)
-    kept = np.sort(np.argsort(-ratio, kind="stable")[: s.max_terms])
-    kept = kept[ratio[kept] >= s.least_ratio]
-    if not len(kept):
+    counts = sample.mapInArrow(_counts(s.buckets), "term bigint, present bigint, positive bigint").groupBy("term").agg(F.sum("present").alias("present"), F.sum("positive").alias("positive"))
+    ratios = counts.where(F.col("present") >= s.least_documents).select("term", F.round(association(n, n_positive), 6).alias("ratio")).where(F.col("ratio") >= s.least_ratio)
+    terms = np.array(sorted(r.term for r in ratios.orderBy(F.desc("ratio"), "term").limit(s.max_terms).collect()), np.int64)
+    if not len(terms):
         return none
-    place = np.full(len(terms), -1)
-    place[kept] = np.arange(len(kept))
-    use = place[at] >= 0
-    feature, of = place[at[use]], of[use]
-    by_feature = np.argsort(feature, kind="stable")
-    starts = np.searchsorted(feature[by_feature], np.arange(len(kept)))
-    bounds = np.searchsorted(of, np.arange(n + 1))
-
-    def per_document(x: np.ndarray) -> np.ndarray:
-        total = np.vstack([np.zeros((1, x.shape[1])), np.cumsum(x, 0)])
-        return total[bounds[1:]] - total[bounds[:-1]]
+    empty = Model(terms, none.bias, np.zeros(len(terms)), np.zeros((len(terms), s.factors)), s)
+    rows = sample.mapInArrow(_chosen_rows(empty), "rows binary, label double").collect()
+    rows.sort(key=lambda r: (bytes(r[0]), r[1]))  # the order of tasks must not change the model
+    return _learn(empty, [np.frombuffer(bytes(r[0]), np.int32) for r in rows], np.array([r[1] > 0.5 for r in rows], float))
+
 
+def _learn(model: Model, docs: list[np.ndarray], y: np.ndarray) -> Model:
+    """Adam over batches of documents; docs: rows of the model that each document holds."""
+    s, k, size = model.settings, model.settings.factors, len(model.terms)
     rng = np.random.default_rng(s.seed)
-    parameters = np.concatenate([np.zeros((len(kept), 1)), rng.normal(0, 0.02, (len(kept), k))], 1)
-    mean, square, bias_mean, bias_square = np.zeros_like(parameters), np.zeros_like(parameters), 0.0, 0.0
-    for step in range(1, s.steps + 1):  # Adam on the whole sample
-        p = parameters[feature]
-        sums = per_document(np.concatenate([p, p[:, 1:] ** 2], 1))
-        v_sum = sums[:, 1 : k + 1]
-        z = bias + sums[:, 0] + 0.5 * ((v_sum**2).sum(1) - sums[:, k + 1 :].sum(1))
-        error = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) / n
-        g = np.concatenate([error[of][:, None], error[of][:, None] * (v_sum[of] - p[:, 1:])], 1)
-        grad = np.add.reduceat(g[by_feature], starts, 0) + s.penalty * parameters
-        mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad**2
-        bias_mean, bias_square = 0.9 * bias_mean + 0.1 * error.sum(), 0.999 * bias_square + 0.001 * error.sum() ** 2
-        a, b = 1 - 0.9**step, 1 - 0.999**step
-        parameters = parameters - s.rate * (mean / a) / (np.sqrt(square / b) + 1e-8)
-        bias -= s.rate * (bias_mean / a) / (np.sqrt(bias_square / b) + 1e-8)
-    return Model(terms[kept].astype(np.int64), float(bias), parameters[:, 0], parameters[:, 1:], s)
+    order = rng.permutation(len(docs))
+    parameters = np.concatenate([np.zeros((size, 1)), rng.normal(0, 0.02, (size, k))], 1)
+    # The last row holds the bias.
+    parameters = np.vstack([parameters, [[model.bias, *[0.0] * k]]])
+    mean, square, step = np.zeros_like(parameters), np.zeros_like(parameters), 0
+    for _ in range(s.epochs):
+        for first in range(0, len(docs), s.batch):
+            chosen = order[first : first + s.batch]
+            feature = np.concatenate([docs[i] for i in chosen])
+            lengths = np.array([len(docs[i]) for i in chosen])
+            of = np.repeat(np.arange(len(chosen)), lengths)
+            p = parameters[feature]
+            sums = np.stack([np.bincount(of, weights=p[:, j], minlength=len(chosen)) for j in range(k + 1)], 1)
+            own = np.bincount(of, weights=(p[:, 1:] ** 2).sum(1), minlength=len(chosen))
+            z = parameters[-1, 0] + sums[:, 0] + 0.5 * ((sums[:, 1:] ** 2).sum(1) - own)
+            error = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y[chosen]) / len(chosen)
+            each = error[of]
+            grad = s.penalty * parameters
+            grad[-1] = [error.sum(), *[0.0] * k]
+            grad[:-1, 0] += np.bincount(feature, weights=each, minlength=size)
+            for j in range(1, k + 1):
+                grad[:-1, j] += np.bincount(feature, weights=each * (sums[of, j] - p[:, j]), minlength=size)
+            step += 1
+            mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad**2
+            parameters = parameters - s.rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+    return Model(model.terms, float(parameters[-1, 0]), parameters[:-1, 0].copy(), parameters[:-1, 1:].copy(), s)
 
 
 class _Rows(dict):
@@ -156,18 +186,20 @@ class _Rows(dict):
 
     def __init__(self, model: Model, limit: int = 300_000):
         self.model, self.limit = model, limit
+        self.place = {int(t): i for i, t in enumerate(model.terms)}
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) >= self.limit:
             self.clear()
-        h, terms = np.array(terms_of(word, self.model.settings.buckets)), self.model.terms
-        at = np.searchsorted(terms, h)
-        found = self[word] = tuple(int(i) for i, x in zip(at, h) if i < len(terms) and terms[i] == x)
+        at = map(self.place.get, terms_of(word, self.model.settings.buckets))
+        found = self[word] = tuple(i for i in at if i is not None)
         return found
 
+    def of(self, text: bytes) -> np.ndarray:
+        return np.array(sorted({r for w in words_of(text) for r in self[w]}), np.int64)
+
     def score(self, text: bytes) -> float:
-        rows = {r for w in words_of(text) for r in self[w]}
-        return self.model.score(np.array(sorted(rows), np.int64))
+        return self.model.score(self.of(text))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
