@@ -22,7 +22,7 @@ extra columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -94,51 +94,48 @@ def _places(words: int):
     return run
 
 
-def _fold(keys: list[str], places: list[str], out: list[str]) -> Callable:
-    """Streams rows sorted by keys, kind and places: of a key with two places or more, or a mark, every place once.
+def _whole_keys(it: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of sorted rows, none of which splits a key: a batch's last key waits for the next batch."""
+    rest = None
+    for b in it:
+        t = pa.Table.from_batches([b] if rest is None else [*rest.to_batches(), b])
+        if t.num_rows:
+            values = t.column(key).to_numpy()
+            cut = int(np.argmax(values == values[-1]))
+            if cut:
+                yield t.slice(0, cut)
+            rest = t.slice(cut)
+    if rest is not None:
+        yield rest
 
-    The last key of a batch is held back for the next one; a key has few open rows (see the top).
+
+def _judge(keys: list[np.ndarray], kind: np.ndarray, places: list[np.ndarray], count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows, sorted by keys, kind and places, have a key with two places or a mark; and its frequency.
+
+    A place counts and stays once for each kind.
     """
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for b in it:
-            t = pa.Table.from_batches([b] if rest is None else [rest, b]).combine_chunks()
-            if not t.num_rows:
-                continue
-            same = np.ones(t.num_rows, bool)
-            for k in keys:
-                v = t.column(k).to_numpy()
-                same &= v == v[-1]
-            cut = int(np.argmax(same))
-            yield from settled(t.slice(0, cut))
-            rest = (t.slice(cut).to_batches() or [None])[0]
-        if rest is not None:
-            yield from settled(pa.Table.from_batches([rest]))
-
-    def settled(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        if not t.num_rows:
-            return
-
-        def changes(names):
-            new = np.zeros(t.num_rows, bool)
-            new[0] = True
-            for c in names:
-                v = t.column(c).to_numpy()
-                new[1:] |= v[1:] != v[:-1]
-            return new
-
-        kind = t.column("kind").to_numpy()
-        group = np.cumsum(changes(keys)) - 1
-        new = changes([*keys, "kind", *places])
-        weight = np.where(kind == MARK, np.maximum(t.column("count").to_numpy(), 2), (new & (kind == OPEN)).astype(np.int64))
-        total = np.bincount(group, weights=weight).astype(np.int64)[group]
-        keep = new & ((kind == SETTLED) | ((kind == OPEN) & (total > 1)))
-        most = np.where(kind == SETTLED, t.column("count").to_numpy(), total).astype(np.int32)
-        t = t.set_column(t.column_names.index("count"), "count", pa.array(most)).filter(pa.array(keep)).select(out)
-        yield from t.to_batches()
+    def changes(columns):
+        new = np.zeros(len(kind), bool)
+        new[:1] = True
+        for v in columns:
+            new[1:] |= v[1:] != v[:-1]
+        return new
 
-    return run
+    group = np.cumsum(changes(keys)) - 1
+    new = changes([*keys, kind, *places])
+    weight = np.where(kind == MARK, np.maximum(count, 2), (new & (kind == OPEN)).astype(np.int64))
+    total = np.bincount(group, weights=weight).astype(np.int64)[group] if len(kind) else count
+    return new & ((kind == SETTLED) | ((kind == OPEN) & (total > 1))), np.where(kind == SETTLED, count, total).astype(np.int32)
+
+
+def _shared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of super-k-mers sorted by minimiser, kind and place: those whose minimiser has two places."""
+    for t in _whole_keys(it, "minimiser"):
+        c = {n: t.column(n).to_numpy() for n in ("minimiser", "kind", "k1", "k2", "start", "count")}
+        keep, most = _judge([c["minimiser"]], c["kind"], [c["k1"], c["k2"], c["start"]], c["count"])
+        t = t.set_column(t.column_names.index("count"), "count", pa.array(most)).filter(pa.array(keep))
+        yield from t.select(["minimiser", "k1", "k2", "doc_id", "start", "n", "count"]).to_batches()
 
 
 def _window_rows(rows: list[tuple[int, int, list[bytes]]], words: int) -> tuple[np.ndarray, ...]:
@@ -200,22 +197,25 @@ def _cut(words: int):
     return run
 
 
-_WINDOWS = "kind int, d1 bigint, d2 bigint, text_no bigint, start int, count int"
+def _repeated_windows(words: int):
+    """Of buckets in their order: cuts out the packed windows, sorts all, and gives text_no, start of repeated ones.
 
-
-def _expand(words: int):
-    """The windows of packed strings; single windows go through."""
+    A bucket has few rows from each batch (see the top), so it is sorted in memory.
+    """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "d1", "d2", "text_no", "start", "count"]
-        for b in batches(it, 1 << 20):
-            single = b.column("packed").is_null()
-            yield pa.RecordBatch.from_arrays([b.column(c).filter(single) for c in names], names)
-            own = b.filter(b.column("packed").is_valid())
-            rows = [(t, s, p.split(b" ")) for t, s, p in zip(*(own.column(c).to_pylist() for c in ("text_no", "start", "packed")))]
-            d1, d2, number, start = _window_rows(rows, words)
-            columns = (np.full(len(d1), OPEN, np.int32), d1, d2, number, start, np.ones(len(d1), np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+        for t in _whole_keys(it, "route"):
+            packed = t.column("packed")
+            own, single = t.filter(packed.is_valid()), t.filter(packed.is_null())
+            rows = [(n, s, p.split(b" ")) for n, s, p in zip(*(own.column(c).to_pylist() for c in ("text_no", "start", "packed")))]
+            cut = _window_rows(rows, words)
+            kind = np.concatenate([single.column("kind").to_numpy(), np.full(len(cut[0]), OPEN, np.int32)])
+            count = np.concatenate([single.column("count").to_numpy(), np.ones(len(cut[0]), np.int32)])
+            d1, d2, number, start = (np.concatenate([single.column(c).to_numpy(), x]) for c, x in zip(("d1", "d2", "text_no", "start"), cut))
+            order = np.lexsort((start, number, kind, d2, d1))
+            d1, d2, number, start, kind, count = (x[order] for x in (d1, d2, number, start, kind, count))
+            keep, _ = _judge([d1, d2], kind, [number, start], count)
+            yield pa.RecordBatch.from_arrays([pa.array(number[keep]), pa.array(start[keep].astype(np.int32))], ["text_no", "start"])
 
     return run
 
@@ -239,15 +239,13 @@ def repeated(docs: DataFrame, words: int = 35) -> tuple[DataFrame, DataFrame]:
     kind = docs.schema["doc_id"].dataType.simpleString()
     places = rows.mapInArrow(_places(words), f"route bigint, kind int, minimiser bigint, k1 bigint, k2 bigint, doc_id {kind}, start int, n int, count int")
     sorted_places = places.repartition("route").drop("route").sortWithinPartitions("minimiser", "kind", "k1", "k2", "start")
-    out = ["minimiser", "k1", "k2", "doc_id", "start", "n", "count"]
-    shared = sorted_places.mapInArrow(_fold(["minimiser"], ["k1", "k2", "start"], out), f"minimiser bigint, k1 bigint, k2 bigint, doc_id {kind}, start int, n int, count int")
+    shared = sorted_places.mapInArrow(_shared, f"minimiser bigint, k1 bigint, k2 bigint, doc_id {kind}, start int, n int, count int")
     lists = shared.groupBy("k1", "k2").agg(F.min("doc_id").alias("one"), F.collect_list(F.struct("start", "n", "minimiser", "count")).alias("found"))
     found = materialize(lists.withColumn("text_no", F.monotonically_increasing_id()), "super-kmers")
     texts = rows.join(found, ["k1", "k2"]).where(F.col("doc_id").eqNullSafe(F.col("one"))).select("text_no", "k1", "k2", "text", "found")
     texts = materialize(texts, "super-kmer-texts")
     cut = texts.select("text_no", "text", "found").mapInArrow(_cut(words), _CUT)
-    windows = cut.repartition("route").mapInArrow(_expand(words), _WINDOWS).sortWithinPartitions("d1", "d2", "kind", "text_no", "start")
-    starts = windows.mapInArrow(_fold(["d1", "d2"], ["text_no", "start"], ["text_no", "start"]), "text_no bigint, start int")
+    starts = cut.repartition("route").sortWithinPartitions("route").mapInArrow(_repeated_windows(words), "text_no bigint, start int")
     return texts.select("text_no", "k1", "k2", "text"), starts.groupBy("text_no").agg(F.collect_set("start").alias("starts"))
 
 
