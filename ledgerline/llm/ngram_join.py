@@ -17,9 +17,9 @@ the fewer heavy ones, plus what that set has beyond bound the overlap. Pairs bel
 Dense documents have more heavy shingles than the room allows: large groups of near copies. Among
 themselves only, they are joined on their whole sets, with heaviness counted anew: pairs that share a
 light shingle as above, and pairs that share heavy ones only. For the latter a set's heavy shingles
-must reach o; in each heavy list all documents are compared with the one that has fewest light
-shingles, and only pairs that are still in different components and pass the same bound are compared
-one by one.
+must reach o. In TURNS turns, each heavy list compares the documents outside its largest component
+with one member of that component. Then only documents that are still outside are compared with the
+rest of their lists. A pair is compared if signatures, a bit per shingle, show no overlap below o.
 
 Candidates are verified on whole sets; components follow from the links. No list, group or pair set
 is held by one task: lists are streamed in sorted order and a list that is heavy inside one batch is
@@ -46,6 +46,8 @@ from .common import WordHashes, batches, gram_hashes, materialize, utf8
 from .components import components
 
 SMALL = 400_000  #: rows of two numbers that may be broadcast
+TURNS = 2  #: of stars inside heavy lists; any number gives the same components
+BITS = 2048  #: of a set's signature; any power of two from 64 on gives the same links
 
 
 @dataclass(frozen=True)
@@ -200,24 +202,70 @@ def _dense_links(sets: DataFrame, rule: Rule) -> DataFrame:
     # Pairs that share heavy shingles only: both sets' heavy shingles reach the least overlap.
     able = facts.where(F.col("n_heavy") >= F.ceil(rule.percent * F.col("n") / F.lit(100) - 1e-9)).select("node", "n", "n_heavy")
     prefix = F.slice("shingles", 1, (F.col("n") - F.ceil(rule.percent * F.col("n") / F.lit(100) - 1e-9) + 1).cast("int"))
-    lists = sets.select("node", F.explode(prefix).alias("shingle")).join(heavy, "shingle").join(able, "node")
+    marked = sets.mapInArrow(_signed, "node bigint, n int, shingles array<bigint>, bits array<bigint>")
+    lists = marked.select("node", "bits", F.explode(prefix).alias("shingle")).join(heavy, "shingle").join(able, "node")
     lists = materialize(lists, "dense-lists")
-    leaders = lists.groupBy("shingle").agg(F.min(F.struct((F.col("n") - F.col("n_heavy")).alias("light"), "node", "n", "n_heavy")).alias("first"))
-    stars = lists.join(leaders, "shingle").where("node != first.node")
-
-    def reach(n1, h1, n2, h2):
-        return F.least(h1, h2) >= rule.overlap(n1, n2)
-
-    stars = stars.where(reach(F.col("n"), F.col("n_heavy"), F.col("first.n"), F.col("first.n_heavy"))).select(F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b"))
-    links = materialize(_verified(near.union(stars).distinct(), sets, rule), "dense-links")
-    label = components(links)
-    labelled = lists.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    x, y = (labelled.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "n_heavy", "component")]) for s in "ab")
-    apart = x.join(y, "shingle").where("node_a < node_b and component_a != component_b").where(reach(*(F.col(c) for c in ("n_a", "n_heavy_a", "n_b", "n_heavy_b"))))
-    rest = apart.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    links = materialize(_verified(near.distinct(), sets, rule), "dense-links")
+    for turn in range(TURNS):
+        split, top = _split_lists(lists, links, turn)
+        stars = split.join(top, "shingle").where("component != top.component").where(_reach(rule, F.struct(*FACTS), F.col("top.first")))
+        stars = stars.select(F.least("node", "top.first.node").alias("a"), F.greatest("node", "top.first.node").alias("b")).distinct()
+        fresh = materialize(_verified(stars, sets, rule), "dense-links")
+        if fresh.isEmpty():
+            break
+        links = links.union(fresh)
+    split, top = _split_lists(lists, links, TURNS)
+    largest = top.select("shingle", F.col("top.component").alias("largest"))
+    y = split.join(largest, "shingle").select("shingle", "largest", F.col("component").alias("component_b"), F.struct(*FACTS).alias("y"))
+    x = y.where("component_b != largest").select("shingle", F.col("component_b").alias("component_a"), F.col("y").alias("x"))
+    apart = x.join(y, "shingle").where("component_a != component_b and (component_b = largest or x.node < y.node)").where(_reach(rule, F.col("x"), F.col("y")))
+    rest = apart.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     return links.union(_verified(rest, sets, rule))
 
 
+FACTS = ("node", "n", "n_heavy", "bits")
+
+
+def _signed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds bits: a set's shingles as marks in BITS places."""
+    for b in batches(it):
+        marks = np.zeros((b.num_rows, BITS), np.uint8)
+        lists = b.column("shingles")
+        marks[np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy() & (BITS - 1)] = 1
+        words = np.packbits(marks, axis=1).view(np.int64)
+        bits = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * words.shape[1], pa.int32()), pa.array(words.reshape(-1)))
+        yield pa.RecordBatch.from_arrays([b.column("node"), b.column("n"), lists, bits], ["node", "n", "shingles", "bits"])
+
+
+def _reach(rule: Rule, x: Column, y: Column) -> Column:
+    """Whether two sets, of FACTS, can link by heavy shingles alone.
+
+    A place that only one set marks is a shingle, at least, that the other lacks.
+    """
+    def lacking(s: Column, t: Column) -> Column:
+        each = F.zip_with(s["bits"], t["bits"], lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v))))
+        return F.aggregate(each, F.lit(0), lambda total, u: total + u)
+
+    least = rule.overlap(x["n"], y["n"])
+    return (F.least(x["n_heavy"], y["n_heavy"]) >= least) & (x["n"] - lacking(x, y) >= least) & (y["n"] - lacking(y, x) >= least)
+
+
+def _split_lists(lists: DataFrame, links: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """The rows, with component, of heavy lists that hold several components; and of each such list
+    top: the number, the component and a member of its largest one.
+
+    In the first turn that is the member with the fewest light shingles, then another one each turn.
+    """
+    labelled = lists.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = materialize(labelled, "dense-labels")
+    order = F.xxhash64("node", "shingle", F.lit(turn)) if turn else (F.col("n") - F.col("n_heavy")).cast("bigint")
+    parts = labelled.groupBy("shingle", "component").agg(F.count("*").alias("size"), F.min_by(F.struct(*FACTS), F.struct(order, "node")).alias("first"))
+    most = F.max_by(F.struct("component", "first"), F.struct("size", "component")).alias("top")
+    top = parts.groupBy("shingle").agg(most, F.count("*").alias("parts")).where("parts > 1").select("shingle", "top")
+    top = materialize(top, "dense-tops")
+    return labelled.join(top.select("shingle"), "shingle", "left_semi"), top
+
+
 def classes(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """Rows doc_id, n, key; and of each distinct set node, key, n, first_id, place, shingles (its prefix)."""
     rows = materialize(_rows(docs).mapInArrow(_sets(rule, False), _set_schema(docs)), "shingles")
