@@ -9,10 +9,12 @@ repeated window covers is removed.
 What needn't travel stays: equal texts count as one text with copies (their windows are all repeated),
 and a first pass sends only minimisers and places, since a super-k-mer whose minimiser occurs nowhere
 else has no repeated window. Minimisers with more than HOT super-k-mers have their windows sent one by
-one, dealt by the window's own digest, so no bucket holds a common passage's neighbourhoods.
+one, dealt by the window's own digest, so no bucket holds a common passage's neighbourhoods. That is
+decided once for a minimiser, by its total, since equal windows meet only if they travel alike.
 
 Both shuffles are combined on the way out: rows with one key inside a batch are settled there and only
-a mark is sent, so a key gets at most a row from each batch, however frequent it is.
+a mark is sent, so a key gets at most a row from each batch, however frequent it is. A hot minimiser's
+marks go back to the rows settled in their batches, by minimiser and batch.
 
 Text and window identity are 128-bit hashes. Defined results: a null text has no words; texts shorter
 than a window keep all words; the same window twice in one text is repeated; repeated rows are copies;
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,11 +66,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _places(words: int):
-    """route, kind, minimiser, k1, k2, doc_id, start, n, hot: the super-k-mers of texts, each text once a task."""
+    """route, kind, minimiser, batch, k1, k2, doc_id, start, n, count: the super-k-mers of texts, each text once a task."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
-        for b in batches(it, 16 << 20):
+        for number, b in enumerate(batches(it, 16 << 20), TaskContext.get().partitionId() << 32):
             row, parts = [], []
             for i, (text, k1, k2) in enumerate(zip(*(b.column(c).to_pylist() for c in ("text", "k1", "k2")))):
                 if (k1, k2) in seen:
@@ -88,8 +91,8 @@ def _places(words: int):
             taken = b.select(["k1", "k2", "doc_id"]).take(pa.array(row[at]))
             k1 = taken.column("k1").to_numpy()
             route = np.where(kind == SETTLED, k1 ^ start[at], minimiser[at])
-            columns = (route, kind, minimiser[at], k1, taken.column("k2").to_numpy(), taken.column("doc_id"), start[at].astype(np.int32), n[at].astype(np.int32), count[at].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["route", "kind", "minimiser", "k1", "k2", "doc_id", "start", "n", "count"])
+            columns = (route, kind, minimiser[at], np.full(len(at), number), k1, taken.column("k2").to_numpy(), taken.column("doc_id"), start[at].astype(np.int32), n[at].astype(np.int32), count[at].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["route", "kind", "minimiser", "batch", "k1", "k2", "doc_id", "start", "n", "count"])
 
     return run
 
@@ -110,7 +113,8 @@ def _whole_keys(it: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 
 def _judge(keys: list[np.ndarray], kind: np.ndarray, places: list[np.ndarray], count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows, sorted by keys, kind and places, have a key with two places or a mark; and its frequency.
+    """Which rows, sorted by keys, kind and places, have a key with two places or a mark; and the key's
+    frequency, which settled rows do not add to: it is known only where a key's marks and open rows are.
 
     A place counts and stays once for each kind.
     """
@@ -126,16 +130,18 @@ def _judge(keys: list[np.ndarray], kind: np.ndarray, places: list[np.ndarray], c
     new = changes([*keys, kind, *places])
     weight = np.where(kind == MARK, np.maximum(count, 2), (new & (kind == OPEN)).astype(np.int64))
     total = np.bincount(group, weights=weight).astype(np.int64)[group] if len(kind) else count
-    return new & ((kind == SETTLED) | ((kind == OPEN) & (total > 1))), np.where(kind == SETTLED, count, total).astype(np.int32)
+    return new & ((kind == SETTLED) | ((kind == OPEN) & (total > 1))), total
 
 
 def _shared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of super-k-mers sorted by minimiser, kind and place: those whose minimiser has two places."""
+    """Of super-k-mers sorted by minimiser, kind and place: those whose minimiser has two places, with
+    hot, which settled ones don't know yet; and the marks of hot minimisers."""
     for t in _whole_keys(it, "minimiser"):
         c = {n: t.column(n).to_numpy() for n in ("minimiser", "kind", "k1", "k2", "start", "count")}
-        keep, most = _judge([c["minimiser"]], c["kind"], [c["k1"], c["k2"], c["start"]], c["count"])
-        t = t.set_column(t.column_names.index("count"), "count", pa.array(most)).filter(pa.array(keep))
-        yield from t.select(["minimiser", "k1", "k2", "doc_id", "start", "n", "count"]).to_batches()
+        keep, total = _judge([c["minimiser"]], c["kind"], [c["k1"], c["k2"], c["start"]], c["count"])
+        hot = (c["kind"] != SETTLED) & (total > HOT)
+        t = t.append_column("hot", pa.array(hot)).filter(pa.array(keep | (hot & (c["kind"] == MARK))))
+        yield from t.select(["kind", "minimiser", "batch", "k1", "k2", "doc_id", "start", "n", "hot"]).to_batches()
 
 
 def _window_rows(rows: list[tuple[int, int, list[bytes]]], words: int) -> tuple[np.ndarray, ...]:
@@ -166,9 +172,9 @@ def _cut(words: int):
                     continue
                 done.add(number)
                 tokens = text.split()
-                for x in {x["start"]: x for x in sorted(found, key=lambda x: x["count"])}.values():
+                for x in {x["start"]: x for x in found}.values():
                     run_ = tokens[x["start"] : x["start"] + x["n"] + words - 1]
-                    if x["count"] > HOT:
+                    if x["hot"]:
                         hot.append((number, x["start"], run_))
                     else:
                         packed.append((x["minimiser"], number, x["start"], b" ".join(run_)))
@@ -237,10 +243,15 @@ def repeated(docs: DataFrame, words: int = 35) -> tuple[DataFrame, DataFrame]:
     """text_no, k1, k2, text of texts that may have repeated windows; and text_no, starts of those windows."""
     rows = _keyed(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    places = rows.mapInArrow(_places(words), f"route bigint, kind int, minimiser bigint, k1 bigint, k2 bigint, doc_id {kind}, start int, n int, count int")
+    places = rows.mapInArrow(_places(words), f"route bigint, kind int, minimiser bigint, batch bigint, k1 bigint, k2 bigint, doc_id {kind}, start int, n int, count int")
     sorted_places = places.repartition("route").drop("route").sortWithinPartitions("minimiser", "kind", "k1", "k2", "start")
-    shared = sorted_places.mapInArrow(_shared, f"minimiser bigint, k1 bigint, k2 bigint, doc_id {kind}, start int, n int, count int")
-    lists = shared.groupBy("k1", "k2").agg(F.min("doc_id").alias("one"), F.collect_list(F.struct("start", "n", "minimiser", "count")).alias("found"))
+    shared = sorted_places.mapInArrow(_shared, f"kind int, minimiser bigint, batch bigint, k1 bigint, k2 bigint, doc_id {kind}, start int, n int, hot boolean")
+    shared = materialize(shared, "shared")
+    marks = materialize(shared.where(F.col("kind") == MARK).select("minimiser", "batch", F.lit(True).alias("marked")), "hot-minimisers")
+    settled = shared.where(F.col("kind") == SETTLED).join(marks, ["minimiser", "batch"], "left").withColumn("hot", F.col("marked").isNotNull())
+    columns = ["k1", "k2", "doc_id", "start", "n", "minimiser", "hot"]
+    known = shared.where(F.col("kind") == OPEN).select(columns).union(settled.select(columns))
+    lists = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("one"), F.collect_list(F.struct("start", "n", "minimiser", "hot")).alias("found"))
     found = materialize(lists.withColumn("text_no", F.monotonically_increasing_id()), "super-kmers")
     texts = rows.join(found, ["k1", "k2"]).where(F.col("doc_id").eqNullSafe(F.col("one"))).select("text_no", "k1", "k2", "text", "found")
     texts = materialize(texts, "super-kmer-texts")

@@ -49,5 +49,34 @@ def test_removal_equals_brute_force(spark, words, parts):
     assert got == sorted(map(str, brute(texts, words)))
 
 
+@pytest.fixture
+def apart(spark):
+    """Many partitions: in a few, rows with different routes meet by chance."""
+    conf = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize(("copies", "lone"), [(3, 1), (3, 0), (1, 3), (70, 3)])
+def test_a_minimiser_is_hot_or_not_in_all_batches(spark, apart, copies, lone):
+    """A passage in all batches; another one once in the first and once in the last batch."""
+    rng = random.Random(copies)
+    text = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    gram, passage = text(8), text(60)
+    passage[26:34] = gram
+    variant = [*text(24), *gram, *text(24)]  # may share minimisers with the passage
+    size = max(copies, lone) + 3
+    batch = lambda n, other: [*[text(5) + passage + text(5) for _ in range(n)], *[text(5) + variant + text(5)] * other, *[text(60) for _ in range(size)]][:size]
+    parts = [batch(copies, i == 0) for i in range(30)] + [batch(lone, 1)]
+    texts = [(i, " ".join(w)) for i, w in enumerate(w for p in parts for w in p)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize([(i, t, 1, 2, "k") for i, t in texts], len(parts)), DOC)
+    got = sorted(map(str, (tuple(r) for r in substring_dedup.deduplicate(docs).collect())))
+    assert got == sorted(map(str, brute(texts, 35)))
+
+
 def test_empty_table(spark):
     assert substring_dedup.deduplicate(spark.createDataFrame([], DOC)).count() == 0
