@@ -6,7 +6,8 @@ later ones are `continuation` records. Spark's text writer and reader move the b
 be in any store that Spark reaches, and no row ever holds more than a chunk beside its header.
 
 The reader separates records at the version line. The writer ends a segment inside any payload bytes
-that look like that line, so it stands before records only. Reading back sorts segments by record and
+that look like that line, alone or with the record end behind them, and puts a blank behind a url that
+ends so; thus the line stands before records only. Reading back sorts segments by record and
 number and folds them one by one: memory holds one chunk and a digest.
 
 Of payloads of `least` bytes or more that are equal, the record with the largest page_id is a response
@@ -30,20 +31,24 @@ from .common import batches, utf8
 
 CHUNK = 1 << 20
 LEAST = 1000
-VERSION = b"WARC/1.1\r\n"
+NAME = b"WARC/1.1"
+VERSION = NAME + b"\r\n"
 END = "\r\n\r\n"
 
 
 def cuts(payload: bytes, chunk: int) -> list[int]:
-    """Where the segments of a payload end: after a chunk, or inside what looks like a version line."""
-    ends, start, seen = [], 0, payload.find(VERSION)
+    """Where the segments of a payload end: after a chunk, or inside what looks like a version line.
+
+    A segment that ends in the version would become such a line by the record end behind it.
+    """
+    ends, start = [], 0
     while True:
         end = min(start + chunk, len(payload))
-        while 0 <= seen < start - 4:
-            seen = payload.find(VERSION, seen + 1)
-        if 0 <= seen and start < seen + 4 < end:
+        seen = payload.find(VERSION, start, end)
+        if seen >= 0:
             end = seen + 4
-            seen = payload.find(VERSION, seen + 1)
+        elif payload.endswith(NAME, start, end):
+            end -= 4
         ends.append(end)
         if end >= len(payload):
             return ends
@@ -78,7 +83,7 @@ def chunk_rows(decided: DataFrame, chunk: int = CHUNK, date: str = "2024-01-01T0
                         f"WARC-Type: {kind if number == 1 else 'continuation'}",
                         f"WARC-Record-ID: <urn:uuid:{record}{'' if number == 1 else f'-{number}'}>",
                         f"WARC-Date: {date}",
-                        f"WARC-Target-URI: {url}",
+                        f"WARC-Target-URI: {url}{' ' if url.endswith(NAME.decode()) else ''}",
                         f"WARC-Page-ID: {'' if page is None else page}",
                         f"WARC-Segment-Number: {number}",
                         f"WARC-Segment-Origin-ID: <urn:uuid:{record}>",

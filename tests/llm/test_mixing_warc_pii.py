@@ -105,6 +105,17 @@ def test_warc_round_trip(spark, tmp_path, chunk):
     assert any(e[3] == "revisit" for e in expect)
 
 
+@pytest.mark.parametrize("chunk", [8, 97, 1 << 20])
+def test_warc_payloads_that_end_in_the_version(spark, tmp_path, chunk):
+    name = "WARC/1.1"
+    htmls = [name, "a page about " + name, name + "\r", name + "\r\n", name * 3, "x" * (97 - 8) + name + " is a format", "x" * (97 - 4) + name + "\r\n" + name + "\r\n" + "y" * 60, "x" * (97 - 9) + name + "\r\n"]
+    pages = [(i, f"http://a/{name}" if i % 2 else "u", h, "p", "q") for i, h in enumerate(htmls)]
+    folder = str(tmp_path / "archive")
+    warc.write(spark.createDataFrame(pages, PAGE), folder, chunk)
+    got = sorted(tuple(r) for r in warc.read(spark, folder).collect())
+    assert got == [(i, len(h), hashlib.sha1(h.encode()).hexdigest(), "response", None) for i, h in enumerate(htmls)]
+
+
 def test_warc_of_no_pages_and_damaged_archives(spark, tmp_path):
     warc.write(spark.createDataFrame([], PAGE), str(tmp_path / "none"))
     assert warc.read(spark, str(tmp_path / "none")).count() == 0
