@@ -1,4 +1,4 @@
-"""N-gram Jaccard join with adaptive multi-match prefixes.
+"""N-gram Jaccard join with multi-match prefixes of a length fixed by the set's size.
 
 Documents are sets of hashed word shingles; two link when 100 * intersection >= percent * union. Equal
 sets are one class and are handled once.
@@ -6,10 +6,11 @@ sets are one class and are handled once.
 Prefixes. Shingles are ordered by hash. Of linked sets with sizes a and b, overlap at least
 o = ceil(percent * (a+b) / (100+percent)), the prefixes of p + l - 1 shingles (p = a - ceil(percent*a/100)
 + 1) share l shingles or more, for every l. A shingle in more than `light` prefixes is heavy: its list of
-documents costs too many candidates and is never paired. A document with h heavy shingles in its prefix
-therefore needs l = h + 1: its prefix is longer by h, and since it must then share h + 1 shingles, one of
-them is light. Prefixes are written once with room for `extra(a)` more shingles; lists of light shingles
-give candidate pairs with the number they share.
+documents costs too many candidates and is never paired. Linked sets share h + 1 shingles of prefixes
+longer by h, so with h heavy ones at most, one of them is light. Which shingles are heavy isn't known when
+prefixes are written: each gets the same room for its size, `extra(a)` more shingles. In lists of light
+shingles one shared shingle makes a candidate pair; the number shared is counted, and the requirement is
+applied as a bound (see Filter). Sets with more heavy shingles than the room are dense.
 
 Filter. Both prefixes cover all hashes up to the smaller one's last, so shared light shingles, plus
 the fewer heavy ones, plus what that set has beyond bound the overlap. Pairs below o are dropped.
