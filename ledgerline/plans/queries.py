@@ -8,7 +8,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -136,25 +136,42 @@ def json_flatten(spark, sf_dir):
     return flatten.flatten(nested)
 
 
+#: Customer keys, and so records at most, of a response.
+PAGE = 1000
+
+
 def _responses(spark, sf_dir) -> DataFrame:
-    """A search response per nation, its records made from customers; every seventh element is no object."""
+    """Search responses of a nation's customers, page by page; every seventh element is no object.
+
+    call_ordinal holds the nation above the page.
+    """
     c = _t(spark, sf_dir, "customer")
     record = F.to_json(F.struct(F.col("c_custkey").alias("FHRSID"), F.col("c_name").alias("BusinessName"), F.struct(F.col("c_acctbal").cast("string").alias("Hygiene")).alias("Scores")))
     element = F.when(F.col("c_custkey") % 7 == 0, F.lit("7")).otherwise(record)
     body = F.concat(F.lit('{"FHRSEstablishment": {"EstablishmentCollection": {"EstablishmentDetail": ['), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", element.alias("e")))), lambda x: x["e"]), ", "), F.lit("]}}}"))
-    return c.groupBy(F.col("c_nationkey").alias("call_ordinal")).agg(body.alias("body"))
+    call = F.shiftleft(F.col("c_nationkey").cast("bigint"), 32) + F.floor(F.col("c_custkey") / PAGE)
+    return c.groupBy(call.alias("call_ordinal")).agg(body.alias("body"))
+
+
+def _nation(call_ordinal: str):
+    return F.shiftright(call_ordinal, 32).cast("int")
 
 
 @query(
     'SELECT c_nationkey AS call_ordinal, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS INTEGER) AS pos, c_custkey % 7 = 0 AS skipped, CAST(c_custkey AS VARCHAR) AS "FHRSID", c_name AS "BusinessName" FROM customer QUALIFY NOT skipped'
 )
 def fetch_union(spark, sf_dir):
-    return records.parse(_responses(spark, sf_dir)).select("call_ordinal", "pos", F.lit(False).alias("skipped"), "FHRSID", "BusinessName")
+    responses = _responses(spark, sf_dir)
+    before = Window.partitionBy(_nation("call_ordinal")).orderBy("call_ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    starts = records.record_count(responses).select("call_ordinal", F.coalesce(F.sum("n_results").over(before), F.lit(0)).alias("start"))
+    rows = records.parse(responses).join(starts, "call_ordinal")
+    return rows.select(_nation("call_ordinal").alias("call_ordinal"), (F.col("start") + F.col("pos")).cast("int").alias("pos"), F.lit(False).alias("skipped"), "FHRSID", "BusinessName")
 
 
 @query("SELECT c_nationkey AS call_ordinal, count(*)::BIGINT AS n_results FROM customer GROUP BY 1")
 def record_count(spark, sf_dir):
-    return records.record_count(_responses(spark, sf_dir))
+    pages = records.record_count(_responses(spark, sf_dir))
+    return pages.groupBy(_nation("call_ordinal").alias("call_ordinal")).agg(F.sum("n_results").alias("n_results"))
 
 
 @query("SELECT user_id, count(*)::BIGINT AS n_results, count(*) = 60 AS maybe_capped FROM events GROUP BY 1")

@@ -12,7 +12,7 @@ from ledgerline.errors import InvalidTablePath, NameCollision, SourceError
 from ledgerline.functions import coerce
 from ledgerline.functions.names import sanitize, sanitize_all
 from ledgerline.operators import flatten, ingest, insights, recent, store, updates
-from ledgerline.plans import workflows
+from ledgerline.plans import queries, workflows
 from ledgerline.sources import records, uploads
 from ledgerline.sources.master import load_master
 from ledgerline.streaming.landing import ingest_stream
@@ -275,3 +275,12 @@ def test_caps_and_counts(spark):
     assert {r.call: (r.n_results, r.maybe_capped) for r in ingest.cap_check(df, "call", 2).collect()} == {0: (2, True), 1: (1, False)}
     b = batch(spark, [("1", "a"), ("2", "b")])
     assert tuple(ingest.ingest_summary(b, ingest.ingest_new(b, master(spark, ["1"]), DAY)).first()) == (2, 1)
+
+
+def test_responses_are_bounded_pages(spark, tmp_path):
+    spark.range(1, 5001).selectExpr("cast(id as int) c_custkey", "concat('n', id) c_name", "cast(id % 3 % 2 as int) c_nationkey", "1.5D c_acctbal").write.parquet(str(tmp_path / "customer.parquet"))
+    assert records.record_count(queries._responses(spark, str(tmp_path))).agg(F.max("n_results")).first()[0] <= 1000
+    of = {n: [i for i in range(1, 5001) if i % 3 % 2 == n] for n in (0, 1)}
+    expect = sorted((n, pos, False, str(i), f"n{i}") for n, ids in of.items() for pos, i in enumerate(ids) if i % 7)
+    assert sorted(tuple(r) for r in queries.fetch_union(spark, str(tmp_path)).collect()) == expect
+    assert {tuple(r) for r in queries.record_count(spark, str(tmp_path)).collect()} == {(n, len(ids)) for n, ids in of.items()}
