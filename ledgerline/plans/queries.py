@@ -375,7 +375,7 @@ def key_lookup(spark, sf_dir):
 @query("SELECT CAST(s_suppkey AS VARCHAR) AS fhrsid, s_name AS name FROM supplier")
 def csv_roundtrip(spark, sf_dir):
     folder = store.scratch_table(spark, "upload").folder
-    _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("FhrsID"), F.col("s_name").alias("name")).coalesce(1).write.option("header", True).csv(folder)
+    _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("FhrsID"), F.col("s_name").alias("name")).write.option("header", True).csv(folder)
     return uploads.read_updates(spark, folder).select("fhrsid", "name")
 
 

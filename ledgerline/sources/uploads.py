@@ -14,12 +14,13 @@ ID = "fhrsid"
 
 
 def read_updates(spark: SparkSession, path: str, id_column: str = ID) -> DataFrame:
-    """The file's rows as texts, with csv_ordinal, their place in the file; the id column is `fhrsid`.
+    """The rows of a file, or of a folder's files by name, as texts, with csv_ordinal, their file and
+    place in it; the id column is `fhrsid`.
 
     Blank cells are null, and so are the missing cells of short rows. Errors: no data, a header only,
     no column with the id's name in any case (the first one counts), a row with more cells than the
-    header. One partition reads the file, since its order matters and such a file is small; lines of
-    a quoted cell may break.
+    header. A file is read by one task, since lines of a quoted cell may break; a folder's files are
+    read side by side.
     """
     try:
         head = spark.read.text(path).limit(1).collect()
@@ -33,8 +34,8 @@ def read_updates(spark: SparkSession, path: str, id_column: str = ID) -> DataFra
         raise SourceError(f"{path}: the column {id_column!r} is missing")
     names[at] = id_column
     wide = [*names, "_beyond"]
-    rows = spark.read.option("multiLine", True).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").schema(", ".join(f"`{n}` string" for n in wide)).csv(path).coalesce(1)
-    rows = rows.withColumn("csv_ordinal", F.monotonically_increasing_id())
+    rows = spark.read.option("multiLine", True).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").schema(", ".join(f"`{n}` string" for n in wide)).csv(path)
+    rows = rows.withColumn("csv_ordinal", F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place")))
     state = rows.agg(F.count("*").alias("n"), F.count("_beyond").alias("long")).first()
     if not state.n:
         raise SourceError(f"{path}: empty")

@@ -277,6 +277,14 @@ def test_caps_and_counts(spark):
     assert tuple(ingest.ingest_summary(b, ingest.ingest_new(b, master(spark, ["1"]), DAY)).first()) == (2, 1)
 
 
+def test_csv_of_several_files(spark, tmp_path):
+    rows = spark.range(0, 400, 1, 8).select(F.col("id").alias("FhrsID"), F.format_string("a,\n%d", "id").alias("name"))
+    rows.write.option("header", True).csv(str(tmp_path / "parts"))
+    got = uploads.read_updates(spark, str(tmp_path / "parts"))
+    assert got.rdd.getNumPartitions() > 1
+    assert [(r.fhrsid, r.name) for r in got.orderBy("csv_ordinal").collect()] == [(str(i), f"a,\n{i}") for i in range(400)]
+
+
 def test_responses_are_bounded_pages(spark, tmp_path):
     spark.range(1, 5001).selectExpr("cast(id as int) c_custkey", "concat('n', id) c_name", "cast(id % 3 % 2 as int) c_nationkey", "1.5D c_acctbal").write.parquet(str(tmp_path / "customer.parquet"))
     assert records.record_count(queries._responses(spark, str(tmp_path))).agg(F.max("n_results")).first()[0] <= 1000
