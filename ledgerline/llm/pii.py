@@ -6,7 +6,8 @@ American phone numbers, IPv4 addresses, dates, and e-mail addresses. A value is
 format: a card becomes a card of the same length that passes the check, a phone number keeps country
 code, area code and punctuation, an address becomes an address, a date a date. The permutation depends
 on the key and the kind only, so equal values get equal pseudonyms in all documents and different ones
-stay different. An e-mail address's name part has no fixed format; it becomes a keyed digest.
+stay different. A date with slashes is read day first; where the middle number is no month, month first, and
+it is permuted among such dates. Dates outside 1800 to 2199 stay. An e-mail address's name part has no fixed format; it becomes a keyed digest.
 Numbers that fail their check are no personal data and stay.
 
 The network: a value is a pair (l, r) below sizes (a, b); ten rounds add a keyed hash of one half to
@@ -32,6 +33,8 @@ ANY = "|".join((EMAIL, DATE, ADDRESS, PHONE, CARD))
 KINDS = ("email", "date", "address", "phone", "card")
 #: The days of a 400-year cycle from 1800-01-01: 146,097 = 189 * 773.
 FIRST_DAY, DAY_SIZES = "1800-01-01", (189, 773)
+#: Its 4,800 months without their first twelve days: 88,497 = 9 * 9833.
+MONTHS, LATE_SIZES = 4800, (9, 9833)
 
 
 def _hash(key: str, kind: str, round_: Column, half: Column, size: Column) -> Column:
@@ -95,8 +98,32 @@ def kind_of(match: Column) -> Column:
     )
 
 
+def _month_first(match: Column) -> Column:
+    return match.contains("/") & (F.substring(match, F.lit(4), F.lit(2)) > "12")
+
+
+def late_rank(day: Column) -> Column:
+    """The number of earlier days that are beyond the twelfth of their month, for such a day."""
+    first = F.lit(FIRST_DAY).cast("date")
+    month = (F.year(day) - F.year(first)) * 12 + F.month(day)
+    return (F.datediff(day, first) - 12 * month).cast("bigint")
+
+
+def late_day(rank: Column) -> Column:
+    """The day of a late_rank. A month's estimate is off by one at most."""
+    first = F.lit(FIRST_DAY).cast("date")
+
+    def of(r: Column) -> Column:
+        guess = F.floor(r * MONTHS / (LATE_SIZES[0] * LATE_SIZES[1])).cast("int")
+        begun = lambda m: F.datediff(F.add_months(first, m), first) - 12 * m <= r
+        month = F.when(begun(guess + 1), guess + 1).when(begun(guess), guess).otherwise(guess - 1)
+        return F.date_add(first, (r + 12 * (month + 1)).cast("int"))
+
+    return F.element_at(F.transform(F.array(rank), of), 1)
+
+
 def _day(match: Column) -> Column:
-    day = F.when(match.contains("-"), F.try_to_date(match, "yyyy-MM-dd")).when(match.contains("/"), F.try_to_date(match, "dd/MM/yyyy")).otherwise(F.try_to_date(match, "dd.MM.yyyy"))
+    day = F.when(match.contains("-"), F.try_to_date(match, "yyyy-MM-dd")).when(_month_first(match), F.try_to_date(match, "MM/dd/yyyy")).when(match.contains("/"), F.try_to_date(match, "dd/MM/yyyy")).otherwise(F.try_to_date(match, "dd.MM.yyyy"))
     return F.when(day.between(F.lit(FIRST_DAY).cast("date"), F.lit("2199-12-31").cast("date")), day)
 
 
@@ -114,7 +141,8 @@ def pseudonym(match: Column, kind: Column, key: str) -> Column:
     a, b = (F.lit(x).cast("bigint") for x in DAY_SIZES)
     first = F.lit(FIRST_DAY).cast("date")
     day = F.date_add(first, feistel(F.datediff(_day(match), first).cast("bigint"), a, b, key, "date").cast("int"))
-    date = F.when(match.contains("-"), F.date_format(day, "yyyy-MM-dd")).when(match.contains("/"), F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "dd.MM.yyyy"))
+    late = late_day(feistel(late_rank(_day(match)), *(F.lit(x).cast("bigint") for x in LATE_SIZES), key, "month-first"))
+    date = F.when(match.contains("-"), F.date_format(day, "yyyy-MM-dd")).when(_month_first(match), F.date_format(late, "MM/dd/yyyy")).when(match.contains("/"), F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "dd.MM.yyyy"))
     email = F.concat(F.lit("user-"), F.substring(F.sha2(F.concat(F.lit(f"{key}|email|"), F.lower(match)), 256), 1, 16), F.lit("@example.invalid"))
     return (
         F.when(kind == "email", email)

@@ -170,3 +170,18 @@ def test_network_is_a_permutation(spark):
     assert sorted(r.v for r in n.collect()) == list(range(77))
     digits = spark.range(10_000).select(pii.permuted_digits(F.lpad(F.col("id").cast("string"), 4, "0"), "k", "x").alias("v"))
     assert digits.distinct().count() == 10_000 and {len(r.v) for r in digits.collect()} == {4}
+
+
+def test_month_first_dates_become_month_first_dates(spark):
+    first = datetime.date(1800, 1, 1)
+    days = [d for d in (first + datetime.timedelta(i) for i in range(146_097)) if d.day > 12]
+    ranks = spark.createDataFrame(list(enumerate(days)), "i bigint, d date")
+    assert len(days) == 88_497 and ranks.where((pii.late_rank(F.col("d")) != F.col("i")) | (pii.late_day(F.col("i")) != F.col("d"))).count() == 0
+    old = [d.strftime("%m/%d/%Y") for d in days if d.year in (1800, 2000, 2019, 2199)]
+    docs = spark.createDataFrame([(i, f"on {t}.") for i, t in enumerate(old)] + [(-1, "not 13/13/2020 or 02/30/2020")], "doc_id bigint, text string")
+    out = {r.doc_id: r for r in pii.pseudonymize(docs, "k1").collect()}
+    assert out.pop(-1).text == "not 13/13/2020 or 02/30/2020"
+    new = [out[i].text[3:-1] for i in range(len(old))]
+    assert len(set(new)) == len(old) and all(r.n_date == 1 for r in out.values())
+    assert all(1800 <= d.year <= 2199 and d.day > 12 for d in (datetime.datetime.strptime(t, "%m/%d/%Y") for t in new))
+    assert sum(a == b for a, b in zip(old, new)) < 5
