@@ -29,6 +29,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have, in either case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def utf8(text: Column) -> Column:
     """The text's UTF-8 bytes; null counts as the empty text."""
     return F.coalesce(text.cast("binary"), F.lit(b""))

@@ -1,4 +1,4 @@
-"""N-gram Jaccard join with multi-match prefixes of a length fixed by the set's size.
+"""N-gram Jaccard join with adaptive multi-match prefixes.
 
 Documents are sets of hashed word shingles; two link when 100 * intersection >= percent * union. Equal
 sets are one class and are handled once.
@@ -17,10 +17,8 @@ the fewer heavy ones, plus what that set has beyond bound the overlap. Pairs bel
 
 Dense documents have more heavy shingles than the room allows: large groups of near copies. Among
 themselves only, they are joined on their whole sets, with heaviness counted anew: pairs that share a
-light shingle as above, and pairs that share heavy ones only. For the latter a set's heavy shingles
-must reach o. In TURNS turns, each heavy list compares the documents outside its largest component
-with one member of that component. Then only documents that are still outside are compared with the
-rest of their lists. A pair is compared if signatures, a bit per shingle, show no overlap below o.
+light shingle as above, and pairs that share heavy ones only by prefixes of their differences from a pivot,
+whose length and number of shared elements follow from the estimated cost of candidates (dense_join.py).
 
 Candidates are verified on whole sets; components follow from the links. No list, group or pair set
 is held by one task: lists are streamed in sorted order and a list that is heavy inside one batch is
@@ -29,50 +27,26 @@ sent as a single mark.
 Shingle identity is a 64-bit hash; class identity 128 bits. Defined results: a text with fewer words
 than a shingle is one shingle of them all; null, empty and blank texts have no shingles and are their
 own component; a component's id is its smallest id that isn't null, or null if all are; rows with the
-same id are judged each; extra columns are not read.
+same id are judged each; extra columns are not read by `join` and come back unchanged from `keep_one`,
+whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batches, gram_hashes, materialize, utf8
+from . import dense_join
+from .common import WordHashes, batches, gram_hashes, materialize, unused, utf8
 from .components import components
+from .jaccard import Rule, verified
 
-SMALL = 400_000  #: rows of two numbers that may be broadcast
-TURNS = 2  #: of stars inside heavy lists; any number gives the same components
-BITS = 2048  #: of a set's signature; any power of two from 64 on gives the same links
-
-
-@dataclass(frozen=True)
-class Rule:
-    """Shingles of `words` words; links at `percent` per cent of the union."""
-
-    words: int = 3
-    percent: int = 90
-    light: int = 32  #: documents in a list that is paired; any value gives the same links
-
-    def least_partner(self, a):
-        return -(-self.percent * a // 100)
-
-    def prefix(self, a):
-        return a - self.least_partner(a) + 1
-
-    def window(self, a):
-        return min(a, self.prefix(a) + a // 10 + 8)
-
-    def extra(self, a):
-        return self.window(a) - self.prefix(a)
-
-    def overlap(self, a: Column, b: Column) -> Column:
-        return F.ceil(self.percent * (a + b) / F.lit(100 + self.percent) - 1e-9)
+SMALL_BYTES = 8 << 20  #: of 8-byte place hashes that may be broadcast
 
 
 def shingles(text: bytes, n: int, hashes: WordHashes) -> np.ndarray:
@@ -166,15 +140,18 @@ def _pair_lists(rule: Rule):
     return run
 
 
-def _paired(sets: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of sets node, n, shingles: pairs a, b, shared; heavy shingles; node, n_heavy."""
+def _paired(sets: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """Of sets node, n, shingles: pairs a, b, shared; node, shingle of each heavy shingle."""
     postings = sets.mapInArrow(_postings(rule.light), "shingle bigint, node bigint, n int")
     listed = postings.repartition("shingle").sortWithinPartitions("shingle", "node")
     found = materialize(listed.mapInArrow(_pair_lists(rule), "heavy bigint, a bigint, b bigint"), "lists")
     heavy = found.where("heavy is not null").select(F.col("heavy").alias("shingle"))
     pairs = found.where("a is not null and a != b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    counts = sets.select("node", F.explode("shingles").alias("shingle")).join(heavy, "shingle").groupBy("node").agg(F.count("*").alias("n_heavy"))
-    return pairs, heavy, counts
+    return pairs, sets.select("node", F.explode("shingles").alias("shingle")).join(heavy, "shingle")
+
+
+def _with_heavy(facts: DataFrame, counts: DataFrame) -> DataFrame:
+    return facts.join(counts, "node", "left").withColumn("n_heavy", F.coalesce("n_heavy", F.lit(0)))
 
 
 def _bounded(pairs: DataFrame, facts: DataFrame, rule: Rule) -> DataFrame:
@@ -186,85 +163,15 @@ def _bounded(pairs: DataFrame, facts: DataFrame, rule: Rule) -> DataFrame:
     return known.where(most >= rule.overlap(F.col("n_a"), F.col("n_b"))).select("a", "b")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs that link, by their whole sets."""
-    left, right = (sets.select(F.col("node").alias(s), F.col("shingles").alias(f"set_{s}")) for s in "ab")
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    union = F.size("set_a") + F.size("set_b") - both
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= rule.percent * union).select("a", "b")
-
-
 def _dense_links(sets: DataFrame, rule: Rule) -> DataFrame:
     """Links a, b among dense documents, enough of them for the components."""
-    pairs, heavy, counts = _paired(sets, rule)
-    facts = sets.select("node", "n", F.col("n").alias("w"), F.lit(0).alias("last")).join(counts, "node", "left").withColumn("n_heavy", F.coalesce("n_heavy", F.lit(0)))
-    facts = materialize(facts, "dense-facts")
-    near = _bounded(pairs, facts, rule)
-    # Pairs that share heavy shingles only: both sets' heavy shingles reach the least overlap.
-    able = facts.where(F.col("n_heavy") >= F.ceil(rule.percent * F.col("n") / F.lit(100) - 1e-9)).select("node", "n", "n_heavy")
-    prefix = F.slice("shingles", 1, (F.col("n") - F.ceil(rule.percent * F.col("n") / F.lit(100) - 1e-9) + 1).cast("int"))
-    marked = sets.mapInArrow(_signed, "node bigint, n int, shingles array<bigint>, bits array<bigint>")
-    lists = marked.select("node", "bits", F.explode(prefix).alias("shingle")).join(heavy, "shingle").join(able, "node")
-    lists = materialize(lists, "dense-lists")
-    links = materialize(_verified(near.distinct(), sets, rule), "dense-links")
-    for turn in range(TURNS):
-        split, top = _split_lists(lists, links, turn)
-        stars = split.join(top, "shingle").where("component != top.component").where(_reach(rule, F.struct(*FACTS), F.col("top.first")))
-        stars = stars.select(F.least("node", "top.first.node").alias("a"), F.greatest("node", "top.first.node").alias("b")).distinct()
-        fresh = materialize(_verified(stars, sets, rule), "dense-links")
-        if fresh.isEmpty():
-            break
-        links = links.union(fresh)
-    split, top = _split_lists(lists, links, TURNS)
-    largest = top.select("shingle", F.col("top.component").alias("largest"))
-    y = split.join(largest, "shingle").select("shingle", "largest", F.col("component").alias("component_b"), F.struct(*FACTS).alias("y"))
-    x = y.where("component_b != largest").select("shingle", F.col("component_b").alias("component_a"), F.col("y").alias("x"))
-    apart = x.join(y, "shingle").where("component_a != component_b and (component_b = largest or x.node < y.node)").where(_reach(rule, F.col("x"), F.col("y")))
-    rest = apart.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    return links.union(_verified(rest, sets, rule))
-
-
-FACTS = ("node", "n", "n_heavy", "bits")
-
-
-def _signed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds bits: a set's shingles as marks in BITS places."""
-    for b in batches(it):
-        marks = np.zeros((b.num_rows, BITS), np.uint8)
-        lists = b.column("shingles")
-        marks[np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy() & (BITS - 1)] = 1
-        words = np.packbits(marks, axis=1).view(np.int64)
-        bits = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * words.shape[1], pa.int32()), pa.array(words.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([b.column("node"), b.column("n"), lists, bits], ["node", "n", "shingles", "bits"])
-
-
-def _reach(rule: Rule, x: Column, y: Column) -> Column:
-    """Whether two sets, of FACTS, can link by heavy shingles alone.
-
-    A place that only one set marks is a shingle, at least, that the other lacks.
-    """
-    def lacking(s: Column, t: Column) -> Column:
-        each = F.zip_with(s["bits"], t["bits"], lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v))))
-        return F.aggregate(each, F.lit(0), lambda total, u: total + u)
-
-    least = rule.overlap(x["n"], y["n"])
-    return (F.least(x["n_heavy"], y["n_heavy"]) >= least) & (x["n"] - lacking(x, y) >= least) & (y["n"] - lacking(y, x) >= least)
-
-
-def _split_lists(lists: DataFrame, links: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-    """The rows, with component, of heavy lists that hold several components; and of each such list
-    top: the number, the component and a member of its largest one.
-
-    In the first turn that is the member with the fewest light shingles, then another one each turn.
-    """
-    labelled = lists.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    labelled = materialize(labelled, "dense-labels")
-    order = F.xxhash64("node", "shingle", F.lit(turn)) if turn else (F.col("n") - F.col("n_heavy")).cast("bigint")
-    parts = labelled.groupBy("shingle", "component").agg(F.count("*").alias("size"), F.min_by(F.struct(*FACTS), F.struct(order, "node")).alias("first"))
-    most = F.max_by(F.struct("component", "first"), F.struct("size", "component")).alias("top")
-    top = parts.groupBy("shingle").agg(most, F.count("*").alias("parts")).where("parts > 1").select("shingle", "top")
-    top = materialize(top, "dense-tops")
-    return labelled.join(top.select("shingle"), "shingle", "left_semi"), top
+    pairs, held = _paired(sets, rule)
+    held = materialize(held, "dense-heavy")
+    counts = held.groupBy("node").agg(F.count("*").alias("n_heavy"))
+    facts = sets.select("node", "n", F.col("n").alias("w"), F.lit(0).alias("last"))
+    near = _bounded(pairs, _with_heavy(facts, counts), rule)
+    known = materialize(verified(near, sets, rule), "dense-links")
+    return dense_join.links(sets, held, known, rule)
 
 
 def classes(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
@@ -279,17 +186,20 @@ def classes(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
 def _whole_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     """node, n, shingles (all) of wanted classes (node, key, first_id, place), from their first rows' texts."""
     wanted = materialize(wanted, "wanted")
-    side = F.broadcast(wanted) if wanted.count() <= SMALL else wanted
-    rows = _rows(docs).join(side.select(F.col("first_id"), F.col("place").alias("at")).distinct(), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("place") == F.col("at")), "left_semi")
+    places = wanted.select("place").distinct()
+    small = 8 * places.count() <= SMALL_BYTES
+    rows = _rows(docs).join(F.broadcast(places) if small else places, "place", "left_semi")
+    rows = rows.join(wanted.select("first_id", "place"), F.col("doc_id").eqNullSafe(F.col("first_id")) & (rows.place == wanted.place), "left_semi")
     sets = rows.dropDuplicates(["doc_id", "place"]).mapInArrow(_sets(rule, True), _set_schema(docs))
-    return materialize(sets.select("key", "n", "shingles").join(side.select("node", "key"), "key").select("node", "n", "shingles"), "sets")
+    return materialize(sets.select("key", "n", "shingles").join(wanted.select("node", "key"), "key").select("node", "n", "shingles"), "sets")
 
 
 def links(docs: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
     """Links a, b between the classes' nodes: all that aren't implied by others' components."""
-    pairs, _, counts = _paired(found.select("node", "n", "shingles"), rule)
-    facts = found.select("node", "n", F.size("shingles").alias("w"), F.element_at("shingles", -1).alias("last")).join(counts, "node", "left").withColumn("n_heavy", F.coalesce("n_heavy", F.lit(0)))
-    facts = materialize(facts, "facts")
+    pairs, held = _paired(found.select("node", "n", "shingles"), rule)
+    counts = held.groupBy("node").agg(F.count("*").alias("n_heavy"))
+    facts = found.select("node", "n", F.size("shingles").alias("w"), F.element_at("shingles", -1).alias("last"))
+    facts = materialize(_with_heavy(facts, counts), "facts")
     near = materialize(_bounded(pairs, facts, rule), "near")
     partner = F.ceil(rule.percent * F.col("n") / F.lit(100) - 1e-9)
     room = F.least(F.ceil(rule.percent * partner / F.lit(100) - 1e-9) - 1, F.floor(partner / 10) + 8)
@@ -297,7 +207,7 @@ def links(docs: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
     ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(dense, "node", "full")
     wanted = found.select("node", "key", "first_id", "place").join(ends, "node")
     sets = _whole_sets(docs, wanted.select("node", "key", "first_id", "place"), rule)
-    some = _verified(near, sets, rule)
+    some = verified(near, sets, rule)
     dense_sets = materialize(sets.join(dense.select("node"), "node"), "dense-sets")
     return some if dense_sets.isEmpty() else some.union(_dense_links(dense_sets, rule))
 
@@ -309,8 +219,12 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     named = found.select("node", "key", "first_id").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     of_key = named.join(least, "component").select("key", "component_id", F.lit(True).alias("known"))
-    joined = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(of_key, "key", "left")
-    return joined.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    full = rows.where("n > 0").select("doc_id", "n", "key").join(of_key, "key", "left")
+    joined = full.select("doc_id", "n", "component_id", "known").union(
+        rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("known")))
+    return joined.select(
+        "doc_id", F.col("n").cast("bigint").alias("n_shingles"),
+        F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -323,14 +237,18 @@ def keep_one(docs: DataFrame, rule: Rule) -> DataFrame:
     named = found.select("node", "key", "first_id", "place").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = named.groupBy("component").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("id"), F.col("place").alias("at"))).alias("best"))
     winners = named.join(best, "component").select("key", "best.id", "best.at")
-    name = F.xxhash64("doc_id", F.col("doc_id").isNull())
-    judged = rows.where("n > 0").join(winners, "key").select(name.alias("_name"), F.col("place").alias("_place"), (F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("place") == F.col("at"))).alias("wins"))
+    id_hash = F.xxhash64("doc_id", F.col("doc_id").isNull())
+    wins = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("place") == F.col("at"))
+    judged = rows.where("n > 0").join(winners, "key").select(F.struct(id_hash.alias("id"), F.col("place").alias("at")).alias("row"), wins.alias("wins"))
     judged = materialize(judged, "judged")
-    losers = judged.where("not wins").select("_name", "_place").distinct()
-    kept = docs.withColumns({"_name": name, "_place": F.xxhash64(utf8(F.col("text")))}).join(losers, ["_name", "_place"], "left_anti")
-    twice = judged.where("wins").groupBy("_name", "_place").agg(F.count("*").alias("n")).where("n > 1")
+    here, nth = unused(docs, "row"), unused(docs, "nth")
+    marked = docs.withColumn(here, F.struct(id_hash.alias("id"), F.xxhash64(utf8(F.col("text"))).alias("at")))
+    losers = judged.where("not wins").select(F.col("row").alias(here)).distinct()
+    twice = judged.where("wins").groupBy(F.col("row").alias(here)).agg(F.count("*").alias("n")).where("n > 1").select(here)
+    twice = materialize(twice, "twice")
+    kept = marked.join(losers, here, "left_anti")
     if not twice.isEmpty():
-        order = Window.partitionBy("_name", "_place").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-        blank = F.trim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\f\r")) == ""
-        kept = kept.withColumn("_nth", F.row_number().over(order)).where((F.col("_nth") == 1) | blank)
+        order = Window.partitionBy(here).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+        again = kept.join(twice, here, "left_semi").withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(nth)
+        kept = kept.join(twice, here, "left_anti").union(again)
     return kept.select([F.col(f"`{c}`") for c in docs.columns])

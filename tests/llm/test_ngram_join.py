@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from ledgerline.llm import ngram_join
@@ -87,6 +88,40 @@ def test_one_of_each_group_stays(spark):
     assert sorted(map(str, (r.doc_id for r in out.collect()))) == sorted(map(str, expect))
 
 
+def near_copies(seed, n):
+    """A group without its original: copies of 150 words with one to six edits each, half of them of a second version."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(150)]
+    other = base[:40] + [f"c{i}" for i in range(20)] + base[60:]
+    out = []
+    for i in range(n):
+        words = list(rng.choice([base, base, other]))
+        for _ in range(rng.choice([1, 2, 2, 3, 3, 3, 4, 6]) + 1):
+            words[rng.randrange(150)] = f"x{rng.randrange(10**9)}" if rng.random() < 0.9 else "common"
+        out.append((i, " ".join(words[: rng.choice([150, 150, 140])])))
+    return out
+
+
+@pytest.mark.parametrize(("words", "percent"), [(5, 80), (3, 90)])
+def test_large_group_of_near_copies_of_which_many_are_unlinked(spark, words, percent):
+    texts = near_copies(words, 2500)
+    sets = brute_sets(texts, words)
+    numbers = {x: i for i, x in enumerate(sorted(set().union(*sets)))}
+    marks = np.zeros((len(sets), len(numbers)), np.float32)
+    for i, s in enumerate(sets):
+        marks[i, [numbers[x] for x in s]] = 1
+    both = marks @ marks.T
+    sizes = marks.sum(1)
+    linked = 100 * both >= percent * (sizes[:, None] + sizes[None] - both)
+    label = np.arange(len(sets))
+    while (new := np.array([label[linked[i]].min() for i in range(len(sets))])).tolist() != label.tolist():
+        label = new
+    assert 200 < len(set(label.tolist())) < 2400
+    docs = spark.createDataFrame([(i, t, "c", 1, "k") for i, t in texts], DOC).repartition(5)
+    got = {r.doc_id: r.component_id for r in ngram_join.join(docs, ngram_join.Rule(words, percent)).collect()}
+    assert got == dict(enumerate(label.tolist()))
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], DOC)
     assert ngram_join.join(none).count() == 0 and ngram_join.keep_one(none, ngram_join.Rule()).count() == 0
