@@ -34,8 +34,9 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
-    warc.write(table(spark, sf_dir, "pages"), folder)
-    return warc.read(spark, folder)
+    pages = table(spark, sf_dir, "pages")
+    warc.write(pages, folder)
+    return warc.read(spark, folder, pages.schema["page_id"].dataType.simpleString())
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """WARC archives as chunked record tables.
 
-A page becomes one WARC/1.1 record. Its payload is streamed as rows of (record, chunk number), each
-CHUNK bytes at most and carrying the running SHA-1 of the payload so far; a chunk is a WARC segment,
-later ones are `continuation` records. Spark's text writer and reader move the bytes, so archives may
-be in any store that Spark reaches, and no row ever holds more than a chunk beside its header.
+A page becomes one WARC/1.1 record. Spark cuts its payload into rows of (record, chunk number), CHUNK bytes at
+most; Python sees one chunk after the other and carries the running SHA-1 of the payload so far, so no task
+holds a record beside the cell it was read from. A chunk is a WARC segment, later ones are `continuation`
+records. Spark's text writer and reader move the bytes, so archives may be in any store that Spark reaches.
 
 The reader separates records at the version line. The writer ends a segment inside any payload bytes
 that look like that line, alone or with the record end behind them, and puts a blank behind a url that
@@ -11,23 +11,26 @@ ends so; thus the line stands before records only. Reading back sorts segments b
 number and folds them one by one: memory holds one chunk and a digest.
 
 Of payloads of `least` bytes or more that are equal, the record with the largest page_id is a response
-and the others revisit it, without a payload; they carry length and digest of the full one.
+and the others revisit it, without a payload; they carry length and digest of the full one. Which digests
+occur more than once is found without the payloads, as a table, which Spark broadcasts if it is small.
 
 Defined results: a null html is an empty payload; rows with the same page_id and payload are responses
 alike; a null page_id is below all others and, alone among equals, a response; a null url is an empty
-one; control characters in a url become blanks; extra columns are not read.
+one; control characters in a url become blanks; extra columns are not read. page_id may have any type that
+casts to text and back; `read` is told the type.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from urllib.parse import unquote_plus
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, utf8
+from .common import batches, materialize, utf8
 
 CHUNK = 1 << 20
 LEAST = 1000
@@ -58,53 +61,71 @@ def cuts(payload: bytes, chunk: int) -> list[int]:
 def decide(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """page_id, url, payload, kind (response or revisit) and keeper, the response's page_id."""
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), utf8(F.col("html")).alias("payload"))
-    rows = rows.withColumns({"key": F.unhex(F.sha2("payload", 256)), "long": F.octet_length("payload") >= least})
-    several = rows.where("long").groupBy("key").agg(F.count("*").alias("n"), F.max("page_id").alias("top")).where("n > 1 and top is not null").select("key", "top")
-    revisit = F.expr("long and top is not null and (page_id is null or page_id < top)")
-    return rows.join(several, "key", "left").select("page_id", "url", "payload", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("top")).alias("keeper"))
+    digest = F.when(F.octet_length("payload") >= least, F.unhex(F.sha2("payload", 256)))
+    keys = rows.select("page_id", digest.alias("key")).where("key is not null")
+    several = keys.groupBy("key").agg(F.count("*").alias("n"), F.max("page_id").alias("top")).where("n > 1 and top is not null")
+    several = materialize(several.select("key", "top"), "repeated")
+    joined = rows.withColumn("key", digest).join(several, "key", "left")
+    revisit = F.expr("top is not null and (page_id is null or page_id < top)")
+    return joined.select("page_id", "url", "payload", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("top")).alias("keeper"))
 
 
 def chunk_rows(decided: DataFrame, chunk: int = CHUNK, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """record_id, chunk_no, running_sha1 and record: header and bytes of each segment."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        running, number, total = hashlib.sha1(), 0, 0
         for b in batches(it):
-            out: list[tuple] = []
-            held = 0
-            for record, page, url, payload, kind, keeper in zip(*(b.column(c).to_pylist() for c in ("record_id", "page_id", "url", "payload", "kind", "keeper"))):
-                whole = hashlib.sha1(payload).hexdigest() if kind == "revisit" else None
-                ends = cuts(payload, chunk) if kind == "response" else [0]
-                running, start = hashlib.sha1(), 0
-                for number, end in enumerate(ends, 1):
-                    data = payload[start:end]
+            out, held = [], 0
+            for r in b.to_pylist():
+                if r["chunk"] == 0:
+                    running, number, total = hashlib.sha1(), 0, 0
+                start, ends = 0, cuts(r["data"], chunk)
+                for end in ends:
+                    data = r["data"][start:end]
                     running.update(data)
-                    last = number == len(ends)
-                    head = [
-                        f"WARC-Type: {kind if number == 1 else 'continuation'}",
-                        f"WARC-Record-ID: <urn:uuid:{record}{'' if number == 1 else f'-{number}'}>",
-                        f"WARC-Date: {date}",
-                        f"WARC-Target-URI: {url}{' ' if url.endswith(NAME.decode()) else ''}",
-                        f"WARC-Page-ID: {'' if page is None else page}",
-                        f"WARC-Segment-Number: {number}",
-                        f"WARC-Segment-Origin-ID: <urn:uuid:{record}>",
-                        f"WARC-Running-Digest: sha1:{running.hexdigest()}",
-                        f"Content-Length: {len(data)}",
-                    ]
-                    if last:
-                        head.append(f"WARC-Segment-Total-Length: {len(payload)}")
-                        head.append(f"WARC-Payload-Digest: sha1:{whole or running.hexdigest()}")
-                    if kind == "revisit":
-                        head.append(f"WARC-Refers-To-Page-ID: {keeper}")
-                    out.append((record, number, running.hexdigest(), VERSION + ("\r\n".join(head) + END).encode() + data))
+                    number, total, start = number + 1, total + len(data), end
+                    last = end == ends[-1] and r["chunk"] == r["chunks"] - 1
+                    out.append((r["record_id"], number, running.hexdigest(), segment(r, data, number, running.hexdigest(), total, last, date)))
                     held += len(out[-1][-1])
-                    start = end
-                    if held >= 4 << 20:
-                        yield _rows(out)
-                        out, held = [], 0
+                if held >= 4 << 20:
+                    yield _rows(out)
+                    out, held = [], 0
             yield _rows(out)
 
-    clean = decided.withColumns({"record_id": F.uuid(), "url": F.regexp_replace("url", r"[\x00-\x1f\x7f]", " ")})
-    return clean.mapInArrow(run, "record_id string, chunk_no int, running_sha1 string, record binary")
+    text = lambda c: F.url_encode(F.col(c).cast("string"))
+    known = decided.select(
+        F.uuid().alias("record_id"), text("page_id").alias("page_id"), text("keeper").alias("keeper"), "kind",
+        F.regexp_replace("url", r"[\x00-\x1f\x7f]", " ").alias("url"), F.octet_length("payload").alias("full"),
+        F.when(F.col("kind") == "revisit", F.sha1("payload")).alias("sha1"), F.when(F.col("kind") == "response", F.col("payload")).otherwise(F.lit(b"")).alias("payload"),
+    )
+    counted = known.withColumn("chunks", F.greatest(F.lit(1), F.ceil(F.octet_length("payload") / chunk).cast("int")))
+    rows = counted.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.withColumn("data", F.expr(f"substring(payload, chunk * {chunk} + 1, {chunk})")).drop("payload")
+    return rows.mapInArrow(run, "record_id string, chunk_no int, running_sha1 string, record binary")
+
+
+def segment(r: dict, data: bytes, number: int, running: str, total: int, last: bool, date: str) -> bytes:
+    """The bytes of a WARC segment, without the end of the record."""
+    record, url = r["record_id"], r["url"]
+    head = [
+        f"WARC-Type: {r['kind'] if number == 1 else 'continuation'}",
+        f"WARC-Record-ID: <urn:uuid:{record}{'' if number == 1 else f'-{number}'}>",
+        f"WARC-Date: {date}",
+        f"WARC-Target-URI: {url}{' ' if url.endswith(NAME.decode()) else ''}",
+        f"WARC-Segment-Number: {number}",
+        f"WARC-Segment-Origin-ID: <urn:uuid:{record}>",
+        f"WARC-Running-Digest: sha1:{running}",
+        f"Content-Length: {len(data)}",
+    ]
+    if r["page_id"] is not None:
+        head.append(f"WARC-Page-ID: ={r['page_id']}")
+    if last:
+        head.append(f"WARC-Segment-Total-Length: {total if r['sha1'] is None else r['full']}")
+        head.append(f"WARC-Payload-Digest: sha1:{r['sha1'] or running}")
+    if r["keeper"] is not None:
+        head.append(f"WARC-Refers-To-Page-ID: ={r['keeper']}")
+    return VERSION + ("\r\n".join(head) + END).encode() + data
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
@@ -118,48 +139,58 @@ def write(pages: DataFrame, folder: str, chunk: int = CHUNK, least: int = LEAST)
     records.write.option("lineSep", END).option("compression", "gzip").text(folder)
 
 
+SEGMENT = pa.schema([
+    ("record_id", pa.string()), ("number", pa.int32()), ("page_id", pa.string()), ("kind", pa.string()), ("keeper", pa.string()), ("running_sha1", pa.string()),
+    ("payload_sha1", pa.string()), ("total", pa.int64()), ("length", pa.int64()), ("sha1", pa.string()), ("data", pa.binary()),
+])
+FIELDS = (
+    "record_id string, number int, page_id string, kind string, keeper string, running_sha1 string, "
+    "payload_sha1 string, total bigint, length bigint, sha1 string, data binary"
+)
+
+
 def segments(spark: SparkSession, folder: str) -> DataFrame:
-    """The segments of a folder's archives, a row each.
+    """The segments of a folder's archives, a row each; ids as texts.
 
     A record of one segment is digested where it is read and goes on without its bytes.
     """
     raw = spark.read.option("lineSep", VERSION.decode()).text(folder).where("value != ''").select(F.col("value").cast("binary").alias("value"))
-    fields = "record_id string, number int, page_id bigint, kind string, keeper bigint, running_sha1 string, payload_sha1 string, total bigint, length bigint, sha1 string, data binary"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}[k]) for n, k in (f.split() for f in fields.split(", "))])
         for b in batches(it):
-            out = []
-            for value in b.column("value").to_pylist():
-                head, _, rest = value.partition(END.encode())
-                h = dict(line.split(": ", 1) for line in head.decode().split("\r\n") if ": " in line)
-                length, number = int(h["Content-Length"]), int(h["WARC-Segment-Number"])
-                data = rest[:length]
-                total = h.get("WARC-Segment-Total-Length")
-                alone = number == 1 and total is not None
-                number_of = lambda k: int(h[k]) if h.get(k) not in (None, "", "None") else None
-                out.append({
-                    "record_id": h["WARC-Segment-Origin-ID"], "number": number, "page_id": number_of("WARC-Page-ID"), "kind": h["WARC-Type"], "keeper": number_of("WARC-Refers-To-Page-ID"),
-                    "running_sha1": h["WARC-Running-Digest"][5:], "payload_sha1": h.get("WARC-Payload-Digest", "")[5:] or None, "total": None if total is None else int(total), "length": len(data),
-                    "sha1": hashlib.sha1(data).hexdigest() if alone else None, "data": None if alone else data,
-                })
-            yield pa.RecordBatch.from_pylist(out, schema)
-
-    return raw.mapInArrow(run, fields)
-
-
-def read(spark: SparkSession, folder: str) -> DataFrame:
+            yield pa.RecordBatch.from_pylist([parsed(value) for value in b.column("value").to_pylist()], SEGMENT)
+
+    return raw.mapInArrow(run, FIELDS)
+
+
+def parsed(value: bytes) -> dict:
+    """Header fields and bytes of a segment behind its version line."""
+    head, _, rest = value.partition(END.encode())
+    h = dict(line.split(": ", 1) for line in head.decode().split("\r\n") if ": " in line)
+    data, number, total = rest[: int(h["Content-Length"])], int(h["WARC-Segment-Number"]), h.get("WARC-Segment-Total-Length")
+    alone = number == 1 and total is not None
+    id_of = lambda k: unquote_plus(h[k][1:]) if k in h else None
+    return {
+        "record_id": h["WARC-Segment-Origin-ID"], "number": number, "page_id": id_of("WARC-Page-ID"), "kind": h["WARC-Type"], "keeper": id_of("WARC-Refers-To-Page-ID"),
+        "running_sha1": h["WARC-Running-Digest"][5:], "payload_sha1": h.get("WARC-Payload-Digest", "")[5:] or None, "total": None if total is None else int(total),
+        "length": len(data), "sha1": hashlib.sha1(data).hexdigest() if alone else None, "data": None if alone else data,
+    }
+
+
+PAGE = pa.schema([("page_id", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string())])
+
+
+def read(spark: SparkSession, folder: str, id_type: str = "bigint") -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to: a row per record.
 
     Lengths and digests are those of the bytes read; where they differ from the record's own, the
     read fails.
     """
     parts = segments(spark, folder).repartition("record_id").sortWithinPartitions("record_id", "number")
-    schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
     def fold(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, digest, size, expect = None, None, 0, 1
-        for b in it:
+        for b in batches(it):
             out = []
             for r in b.to_pylist():
                 if r["number"] == 1:
@@ -176,8 +207,10 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     revisit = first["kind"] == "revisit"
                     if not revisit and (size != r["total"] or running != r["payload_sha1"]):
                         raise ValueError(f"{r['record_id']}: wrong length or digest")
-                    out.append({"page_id": r["page_id"], "payload_bytes": r["total"], "payload_digest": r["payload_sha1"] if revisit else running, "record_type": first["kind"], "refers_to": first["keeper"]})
+                    sha1 = r["payload_sha1"] if revisit else running
+                    out.append({"page_id": r["page_id"], "payload_bytes": r["total"], "payload_digest": sha1, "record_type": first["kind"], "refers_to": first["keeper"]})
                     first = None
-            yield pa.RecordBatch.from_pylist(out, schema)
+            yield pa.RecordBatch.from_pylist(out, PAGE)
 
-    return parts.mapInArrow(fold, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    pages = parts.mapInArrow(fold, "page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string")
+    return pages.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})

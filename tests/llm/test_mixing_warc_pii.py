@@ -117,6 +117,19 @@ def test_warc_payloads_that_end_in_the_version(spark, tmp_path, chunk):
     assert got == [(i, len(h), hashlib.sha1(h.encode()).hexdigest(), "response", None) for i, h in enumerate(htmls)]
 
 
+def test_warc_cuts_of_the_version_at_all_borders(spark, tmp_path):
+    """Every part of the version line at the end of a payload and at a chunk's border."""
+    line = "WARC/1.1\r\n\r\nWARC/1.1\r\n"
+    htmls = ["x" * fill + line[:n] + tail for fill in (0, 3, 20) for n in range(len(line) + 1) for tail in ("", "y" * 30)]
+    pages = [(f"id {i}/é", "u", h, "p", "q") for i, h in enumerate(htmls)] + [("", "u", "empty id", "p", "q"), (None, "u", "no id", "p", "q")]
+    docs = spark.createDataFrame(pages, PAGE.replace("page_id bigint", "page_id string"))
+    for chunk in (9, 23):
+        folder = str(tmp_path / f"archive{chunk}")
+        warc.write(docs, folder, chunk)
+        got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.read(spark, folder, "string").collect()}
+        assert got == {i: (len(h), hashlib.sha1(h.encode()).hexdigest()) for i, _, h, *_ in pages}
+
+
 def test_warc_of_no_pages_and_damaged_archives(spark, tmp_path):
     warc.write(spark.createDataFrame([], PAGE), str(tmp_path / "none"))
     assert warc.read(spark, str(tmp_path / "none")).count() == 0
