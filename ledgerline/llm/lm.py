@@ -72,6 +72,16 @@ def _blocks(doc_id_type: pa.DataType):
     return run
 
 
+def _pack_counts(values: np.ndarray) -> bytes:
+    """Whole numbers in the narrowest width that holds them all, 64 bits at most; the width is the first byte."""
+    kind = np.min_scalar_type(int(values.max(initial=0)))
+    return bytes([kind.itemsize]) + _pack(values.astype(kind))
+
+
+def _unpack_counts(data: bytes) -> np.ndarray:
+    return _unpack(data[1:], f"u{data[0]}").astype(np.int64)
+
+
 class Block:
     """The tokens and pairs of a block's documents, as places in sorted tables of distinct hashes."""
 
@@ -113,14 +123,14 @@ def _requests(owners: int):
                 block = Block(lengths, packed, hashes)
                 train = np.repeat(np.array(parts) != 0, block.sizes).astype(np.float64)
                 for kind in ("word", "pair"):
-                    counts = np.bincount(block.places[kind], weights=train).astype(np.uint32)
+                    counts = np.bincount(block.places[kind], weights=train).astype(np.int64)
                     order, bounds = block.by_owner(kind, owners)
                     own = np.flatnonzero(np.diff(bounds))
                     keys, counts = block.keys[kind][order], counts[order]
                     cut = [(keys[bounds[o] : bounds[o + 1]], counts[bounds[o] : bounds[o + 1]]) for o in own]
                     n = len(own)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(own, pa.int32()), pa.array([kind] * n), pa.array([name] * n), pa.array([deleted] * n), pa.array([k.tobytes() for k, _ in cut], pa.binary()), pa.array([_pack(c) for _, c in cut], pa.binary())],
+                        [pa.array(own, pa.int32()), pa.array([kind] * n), pa.array([name] * n), pa.array([deleted] * n), pa.array([k.tobytes() for k, _ in cut], pa.binary()), pa.array([_pack_counts(c) for _, c in cut], pa.binary())],
                         ["owner", "kind", "block", "deleted", "keys", "counts"],
                     )
 
@@ -130,6 +140,13 @@ def _requests(owners: int):
 _ANSWER = pa.schema([("block", pa.string()), ("deleted", pa.bool_()), ("kind", pa.string()), ("owner", pa.int32()), ("total", pa.binary()), ("kept", pa.binary()), ("stats", pa.list_(pa.int64()))])
 
 
+def _sums(places: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The sum of the 64-bit values of each place."""
+    out = np.zeros(int(places.max(initial=-1)) + 1, np.int64)
+    np.add.at(out, places, values)
+    return out
+
+
 def _answer(group: pa.Table) -> pa.Table:
     """Adds up one owner's counts of one kind; answers each request, and a row of totals.
 
@@ -137,17 +154,18 @@ def _answer(group: pa.Table) -> pa.Table:
     """
     rows = group.to_pylist()
     keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
-    counts = [_unpack(r["counts"], np.uint32).astype(np.int64) for r in rows]
+    counts = [_unpack_counts(r["counts"]) for r in rows]
     known, back = np.unique(np.concatenate(keys), return_inverse=True)
     flat = np.concatenate(counts)
-    total = np.bincount(back, weights=flat).astype(np.int64)
+    total = _sums(back, flat)
     gone = np.concatenate([np.full(len(k), r["deleted"]) for k, r in zip(keys, rows)])
-    kept = total - np.bincount(back, weights=flat * gone).astype(np.int64)
+    kept = total - _sums(back, flat * gone)
     out, at = [], 0
     for r, k in zip(rows, keys):
         own = back[at : at + len(k)]
         at += len(k)
-        out.append({"block": r["block"], "deleted": r["deleted"], "kind": r["kind"], "owner": r["owner"], "total": _pack(total[own].astype(np.uint32)), "kept": _pack(kept[own].astype(np.uint32)) if r["deleted"] else None, "stats": None})
+        kept_own = _pack_counts(kept[own]) if r["deleted"] else None
+        out.append({"block": r["block"], "deleted": r["deleted"], "kind": r["kind"], "owner": r["owner"], "total": _pack_counts(total[own]), "kept": kept_own, "stats": None})
     stats = [int(total.sum()), int((total > 0).sum()), int(kept.sum()), int((kept > 0).sum())]
     out.append({"block": None, "deleted": None, "kind": rows[0]["kind"], "owner": rows[0]["owner"], "total": None, "kept": None, "stats": stats})
     return pa.Table.from_pylist(out, _ANSWER)
@@ -161,7 +179,7 @@ def _counts(block: Block, answers: list[dict], owners: int, which: str) -> dict[
         sorted_counts = np.zeros(len(order), np.int64)
         for a in answers:
             if a["kind"] == kind:
-                sorted_counts[bounds[a["owner"]] : bounds[a["owner"] + 1]] = _unpack(a[which], np.uint32)
+                sorted_counts[bounds[a["owner"]] : bounds[a["owner"] + 1]] = _unpack_counts(a[which])
         found[kind] = np.empty(len(order), np.int64)
         found[kind][order] = sorted_counts
     return found

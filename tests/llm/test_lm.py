@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerline.llm import lm
@@ -89,6 +90,18 @@ def test_probabilities_sum_to_one():
     assert lm.bucket_of(np.array([0, 1, 2, 3, 4, 1 << 40])).tolist() == [0, 1, 2, 2, 3, lm.BUCKETS - 1]
 
 
+def test_counts_beyond_32_bits():
+    """An owner adds up blocks whose counts together pass 2**32, and answers with the whole sum."""
+    keys = np.array([3, 9], np.uint64)
+    rows = [{"owner": 0, "kind": "word", "block": b, "deleted": d, "keys": keys.tobytes(), "counts": lm._pack_counts(np.array(c))} for b, d, c in (("a", False, [2**32 - 1, 1]), ("b", True, [2**31 + 7, 0]), ("c", False, [2**52, 5]))]
+    out = lm._answer(pa.Table.from_pylist(rows)).to_pylist()
+    assert [lm._unpack_counts(r["total"]).tolist() for r in out[:3]] == [[2**52 + 2**32 + 2**31 + 6, 6]] * 3
+    assert lm._unpack_counts(out[1]["kept"]).tolist() == [2**52 + 2**32 - 1, 6] and out[0]["kept"] is None
+    assert out[3]["stats"] == [2**52 + 2**32 + 2**31 + 12, 2, 2**52 + 2**32 + 5, 2]
+    for values in ([], [0], [255, 256], [2**63 - 1]):
+        assert lm._unpack_counts(lm._pack_counts(np.array(values, np.int64))).tolist() == values
+
+
 def test_small_and_empty_corpora(spark):
     docs = spark.createDataFrame([(i, t, 0.0, 0) for i, t in [(1, None), (2, "a b"), (3, "")]], DOC)
     rows = lm.score(docs).collect()
