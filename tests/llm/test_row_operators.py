@@ -1,9 +1,11 @@
 """Operators that judge each document by itself, against brute force."""
 
 import hashlib
+import math
 import random
 import re
 
+import numpy as np
 import pytest
 
 from ledgerline.llm import decontaminate, secret_scan, toxicity
@@ -140,3 +142,57 @@ def test_toxicity_learns_pairs_and_scores_held_out_rows(spark):
     assert {r.doc_id for r in toxicity.keep_civil(docs, model).collect()} == {i for i, r in out.items() if not r.predicted}
     again = toxicity.fit(docs.repartition(7), marks, "toxic", marks.doc_id % 4 != 2)
     assert (again.weights == model.weights).all() and len(toxicity.fit(docs, marks.where("toxic = 0"), "toxic").terms) == 0
+
+
+def brute_probability(bias, weights, vectors, rows):
+    """The model's probability by a direct sum over pairs of terms."""
+    z = bias + sum(weights[i] for i in rows)
+    z += sum(float(vectors[i] @ vectors[j]) for n, i in enumerate(rows) for j in rows[:n])
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_equal_a_direct_sum_over_pairs(spark):
+    rng = np.random.default_rng(4)
+    settings = toxicity.Settings(buckets=1 << 20)
+    words = [w.encode() for w in ("scum", "folk", "clowns", "sunshine", "sunflowers", "é1", "tree")]
+    terms = np.array(sorted({t for w in words[:-1] for t in toxicity.terms_of(w, settings.buckets)}), np.int64)
+    model = toxicity.Model(terms, -0.3, rng.normal(0, 0.5, len(terms)), rng.normal(0, 0.4, (len(terms), 8)), settings)
+    texts = [b" ".join(rng.choice(words, rng.integers(0, 9))).decode() for _ in range(40)] + ["SCUM folk, scum!", None, ""]
+    place = {int(t): i for i, t in enumerate(terms)}
+    for r in toxicity.score(documents(spark, list(enumerate(texts))), model).collect():
+        found = {t for w in re.findall("[0-9a-z\x80-\uffff]+", (texts[r.doc_id] or "").lower()) for t in toxicity.terms_of(w.encode(), settings.buckets)}
+        expect = brute_probability(model.bias, model.weights, model.vectors, sorted(place[t] for t in found if t in place))
+        assert r.score == pytest.approx(expect, abs=1e-12) and r.predicted == (expect >= settings.threshold)
+
+
+def test_gradient_equals_finite_differences():
+    rng = np.random.default_rng(9)
+    parameters = np.vstack([rng.normal(0, 0.5, (7, 4)), [[0.2, 0, 0, 0]]])
+    docs = [rng.choice(7, n, replace=False) for n in (1, 3, 7, 0, 4)]
+    y, penalty = np.array([1.0, 0, 1, 0, 0]), 0.01
+
+    def loss(p):
+        probabilities = [brute_probability(p[-1, 0], p[:-1, 0], p[:-1, 1:], list(d)) for d in docs]
+        return -np.mean([math.log(q if t else 1 - q) for q, t in zip(probabilities, y)]) + penalty / 2 * (p[:-1] ** 2).sum()
+
+    grad = toxicity.gradient(parameters, docs, y, penalty)
+    for i in range(8):
+        for j in range(4 if i < 7 else 1):
+            step = np.zeros_like(parameters)
+            step[i, j] = 1e-6
+            assert grad[i, j] == pytest.approx((loss(parameters + step) - loss(parameters - step)) / 2e-6, abs=1e-6)
+
+
+def test_labelled_rows_are_bounded_however_often_an_id_occurs(spark):
+    rows = [(1, f"scum {i % 40}") for i in range(400)] + [(i, "sun") for i in range(2, 60)]
+    marks = spark.createDataFrame([(1, 1)] + [(i, 0) for i in range(2, 60)], "doc_id bigint, toxic int")
+    seen = []
+    settings = toxicity.Settings(max_rows=60)
+    learn, toxicity._learn = toxicity._learn, lambda model, docs, y: seen.append(len(docs)) or learn(model, docs, y)
+    try:
+        few = toxicity.fit(documents(spark, rows), marks, "toxic", settings=settings)
+        all_ = toxicity.fit(documents(spark, rows), marks, "toxic")
+    finally:
+        toxicity._learn = learn
+    assert seen == [60, 40 + 58] and len(few.terms) and len(all_.terms)
+    assert len(toxicity.fit(documents(spark, rows), marks.limit(0), "toxic").terms) == 0
