@@ -60,7 +60,8 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.describe(table(spark, sf_dir, "documents"))
+    folder = f"{scratch_dir(spark)}/media-{uuid.uuid4().hex}"
+    return media.describe(media.write(table(spark, sf_dir, "documents"), folder, with_tensors=False))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
