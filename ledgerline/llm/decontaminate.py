@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batches, gram_hashes, utf8, window_min
+from .common import WordHashes, batches, gram_hashes, unused, utf8, window_min
 
 WINDOW, GRAM = 13, 5
 WIDTH = WINDOW - GRAM + 1
@@ -146,8 +146,9 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, most_bytes: int = 32 << 20
     if _size(items) > most_bytes:
         key = F.unhex(F.md5(utf8(F.col("text"))))
         texts = docs.select(key.alias("doc_id"), "text").dropDuplicates(["doc_id"])
-        bad = _by_join(texts, items).where(CONTAMINATED).select(F.col("doc_id").alias("_key"))
-        return docs.withColumn("_key", key).join(bad, "_key", "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
+        name = unused(docs, "key")
+        bad = _by_join(texts, items).where(CONTAMINATED).select(F.col("doc_id").alias(name))
+        return docs.withColumn(name, key).join(bad, name, "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
     known = docs.sparkSession.sparkContext.broadcast(Items([(r[0], bytes(r[1])) for r in items.collect()]))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

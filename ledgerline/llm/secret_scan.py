@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import batches, utf8
 
@@ -246,8 +247,9 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[secret]") -> DataFrame:
     """All rows and columns of docs; spans in text give way to the mask, joined where they overlap.
 
-    A text without spans, null included, stays as it is. n_chars, if there, follows the text.
+    A text without spans, null included, stays as it is. n_chars, if it is there as a whole number, follows the text.
     """
+    counted = isinstance(docs.schema["n_chars"].dataType, IntegralType) if "n_chars" in docs.columns else False
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, 4 << 20):
@@ -258,7 +260,8 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[secre
                 texts = [masked(t, x, mask) if x else t for t, x in zip(texts, found)]
                 columns = list(b.columns)
                 columns[at] = pa.array(texts, b.schema.field(at).type)
-                if (n := b.schema.get_field_index("n_chars")) >= 0:
+                if counted:
+                    n = b.schema.get_field_index("n_chars")
                     lengths = [len(t) if x else old for t, x, old in zip(texts, found, b.column(n).to_pylist())]
                     columns[n] = pa.array(lengths, b.schema.field(n).type)
                 b = pa.RecordBatch.from_arrays(columns, schema=b.schema)
