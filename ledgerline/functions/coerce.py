@@ -12,6 +12,7 @@ from pyspark.sql.types import DateType, StringType, TimestampNTZType, TimestampT
 from ..schemas import NOT_REVIEWED
 
 _INTEGER = r"^\s*[+-]?[0-9]+(_[0-9]+)*\s*$"
+_DIGITS = r"^\s*[+-]?[0-9]+\s*$"
 _NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
@@ -33,9 +34,11 @@ def to_double(value: Column) -> Column:
 
 
 def to_long(value: Column) -> Column:
-    """Whole numbers, '5.0' included; a fraction or a number beyond 64 bits is null."""
-    number = to_double(value)
-    return F.when(number == F.floor(number), number.try_cast("bigint"))
+    """Whole numbers, '5.0' and '1e3' included, exact in all 64 bits; a fraction or a number beyond them is null."""
+    text = value.cast("string")
+    number, exact = to_double(value), text.try_cast("decimal(38,10)")
+    whole = (number == F.floor(number)) & (exact == F.floor(exact))
+    return F.when(text.rlike(_DIGITS), text.try_cast("bigint")).when(text.rlike(_NUMBER) & whole, exact.try_cast("bigint"))
 
 
 def to_bool(value: Column) -> Column:

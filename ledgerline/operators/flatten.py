@@ -40,11 +40,6 @@ def keep(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     return df.select([F.col(f"`{n}`") if n in df.columns else F.lit(None).cast("string").alias(n) for n in names])
 
 
-def records_only(elements: Column) -> Column:
-    """Of an array<variant> the elements that are objects."""
-    return F.filter(elements, lambda e: F.schema_of_variant(e).startswith("OBJECT"))
-
-
 def append_projection(new_records: DataFrame) -> DataFrame:
     """New records as the append takes them: flat, sanitised, typed, in the order of its schema."""
     flat = sanitize_columns(flatten(new_records))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,3 +53,23 @@ def cap_check(results: DataFrame, call: str, max_results: int) -> DataFrame:
 def ingest_summary(batch: DataFrame, new: DataFrame) -> DataFrame:
     """One row: records in the batch, and new ones."""
     return batch.agg(F.count("*").alias("n_batch")).crossJoin(new.agg(F.count("*").alias("n_new")))
+
+
+def find_keys(df: DataFrame, key: str, *ids: str) -> DataFrame:
+    """Rows whose key is one of the ids, in any spelling of a whole number."""
+    return df.where(coerce.canonical_id(F.col(key)).isin([_plain(i) for i in ids]))
+
+
+def _plain(value: str) -> str:
+    """coerce.canonical_id of one text."""
+    text = value.strip()
+    digits = text.replace("_", "").lstrip("+-")
+    if not re.fullmatch(r"[+-]?[0-9]+(_[0-9]+)*", text):
+        return value
+    number = digits.lstrip("0") or "0"
+    return f"-{number}" if text.startswith("-") and number != "0" else number
+
+
+def distinct_values(df: DataFrame, column: str) -> DataFrame:
+    """The values of one column, null included."""
+    return df.select(column).distinct()

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -47,11 +52,61 @@ def build_prompt(base: str, name: Column, line1: Column, line2: Column, line3: C
 
 def offline(prompts: list[str], options: ModelOptions) -> list[str | None]:
     """Stands in for a model: the same text for the same prompt, without a network."""
-    import hashlib
-
     return [hashlib.md5(p.encode()).hexdigest() for p in prompts]
 
 
+#: Takes an address, headers and a body, gives the status and the answer. Must be picklable; tests supply their own.
+Post = Callable[[str, dict, bytes], tuple[int, str]]
+
+
+def post(url: str, headers: dict, body: bytes) -> tuple[int, str]:
+    try:
+        with urllib.request.urlopen(urllib.request.Request(url, body, headers), timeout=120) as r:
+            return r.status, r.read().decode()
+    except urllib.error.HTTPError as e:
+        return e.code, ""
+
+
+@dataclass(frozen=True)
+class Service:
+    """A provider that asks a service: one JSON call for each prompt, with a few more tries.
+
+    The call holds prompt, model and the options; `field` names the text in the answer, as a path of keys.
+    headers() is called on the executors, so that secrets stay out of plans. A prompt whose calls all fail
+    gets no text.
+    """
+
+    address: str
+    field: tuple[str, ...] = ("text",)
+    headers: Callable[[], dict] = dict
+    post: Post = post
+    tries: int = 3
+    pause: float = 1.0
+
+    def __call__(self, prompts: list[str], options: ModelOptions) -> list[str | None]:
+        return [self.one(p, options) for p in prompts]
+
+    def one(self, prompt: str, options: ModelOptions) -> str | None:
+        call = {"prompt": prompt, "model": options.endpoint, "temperature": options.temperature, "max_output_tokens": options.max_output_tokens}
+        call |= {"top_p": options.top_p, "seed": options.seed, "search": options.search}
+        headers = {"Content-Type": "application/json", **self.headers()}
+        for turn in range(self.tries):
+            try:
+                status, answer = self.post(self.address, headers, json.dumps(call).encode())
+                if status == 200:
+                    found = json.loads(answer)
+                    for key in self.field:
+                        found = found[key]
+                    return found if isinstance(found, str) else None
+                if status < 500 and status != 429:
+                    return None
+            except (OSError, ValueError, LookupError, TypeError):
+                pass
+            if turn + 1 < self.tries:
+                time.sleep(self.pause * 2**turn)
+        return None
+
+
 def generate(df: DataFrame, prompt: Column, provider: Provider = offline, options: ModelOptions = ModelOptions()) -> DataFrame:
     """df with gemini_insights from the provider."""
 

@@ -97,13 +97,21 @@ class Table:
         version, segment = max(self._segments(), default=(1, 0))
         df.write.mode("overwrite").parquet(self._place(version, segment + 1))
 
-    def drop_old(self) -> None:
-        """Deletes all versions but the newest."""
+    def drop_old(self, keep: int = 1) -> None:
+        """Deletes all versions but the newest `keep`; readers of a deleted one fail."""
         versions = sorted({v for v, _ in self._segments()})
-        for v in versions[:-1]:
+        for v in versions[:-keep]:
             at = self._path(f"v{v}")
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
+    def compact(self, most: int = 64) -> bool:
+        """Rewrites the newest version as one segment if it has more than `most`."""
+        segments = self._segments()
+        if sum(v == segments[-1][0] for v, _ in segments) <= most if segments else True:
+            return False
+        self.overwrite(self.read())
+        return True
+
 
 def _typed(df: DataFrame, schema: StructType) -> DataFrame:
     """The schema's columns in its order, coerced: bad numbers and flags become null."""

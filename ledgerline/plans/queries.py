@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import schemas
 from ..functions import coerce
@@ -17,6 +18,7 @@ from ..functions.names import sanitize_columns
 from ..operators import flatten, ingest, insights, recent, store, updates
 from ..sources import records, uploads
 from ..sources.master import load_master
+from . import workflows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -66,7 +68,9 @@ def _even_customers(spark, sf_dir) -> DataFrame:
 
 @query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def scan_master(spark, sf_dir):
-    return _t(spark, sf_dir, "customer")
+    table = store.scratch_table(spark, "scan")
+    table.overwrite(_t(spark, sf_dir, "customer"))
+    return table.read()
 
 
 @query("SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'P'), 'not reviewed') AS manual_review FROM orders")
@@ -206,7 +210,7 @@ def bool_coerce(spark, sf_dir):
 
 @query(f"SELECT DISTINCT {_FLAGS} AS flag FROM orders")
 def distinct_flag_values(spark, sf_dir):
-    return _t(spark, sf_dir, "orders").select(F.expr(_FLAGS).alias("flag")).distinct()
+    return ingest.distinct_values(_t(spark, sf_dir, "orders").withColumn("flag", F.expr(_FLAGS)), "flag")
 
 
 @query("SELECT o_orderkey, CAST(nullif(o_custkey, 5) AS VARCHAR) AS id FROM orders")
@@ -356,7 +360,7 @@ _PATHS = "CASE n_nationkey % 5 WHEN 0 THEN concat('p.', n_name) WHEN 1 THEN conc
 @query(f"SELECT n_nationkey, path, len(string_split(path, '.')) = 3 AND NOT list_contains(string_split(path, '.'), '') AS valid FROM (SELECT n_nationkey, {_PATHS} AS path FROM nation)")
 def path_validate(spark, sf_dir):
     paths = _t(spark, sf_dir, "nation").select("n_nationkey", F.expr(_PATHS).alias("path"))
-    return paths.withColumn("valid", uploads.path_is_valid(F.col("path")))
+    return paths.withColumn("valid", store.is_table_path(F.col("path")))
 
 
 @query(
@@ -369,7 +373,9 @@ def infer_schema(spark, sf_dir):
 
 @query("SELECT s_suppkey, s_name, s_nationkey FROM supplier WHERE s_acctbal > 0 AND CAST(s_suppkey AS VARCHAR) = '7' OR s_suppkey = 9")
 def key_lookup(spark, sf_dir):
-    return _t(spark, sf_dir, "supplier").where("s_acctbal > 0 and cast(s_suppkey as string) = '7' or s_suppkey = 9").select("s_suppkey", "s_name", "s_nationkey")
+    suppliers = _t(spark, sf_dir, "supplier")
+    found = ingest.find_keys(suppliers.where("s_acctbal > 0"), "s_suppkey", " 007 ").unionByName(ingest.find_keys(suppliers, "s_suppkey", "9"))
+    return found.select("s_suppkey", "s_name", "s_nationkey")
 
 
 @query("SELECT CAST(s_suppkey AS VARCHAR) AS fhrsid, s_name AS name FROM supplier")
@@ -381,4 +387,120 @@ def csv_roundtrip(spark, sf_dir):
 
 @query("SELECT count(*)::BIGINT AS n_rows FROM customer")
 def table_rows(spark, sf_dir):
-    return _t(spark, sf_dir, "customer").agg(F.count("*").alias("n_rows"))
+    table = store.scratch_table(spark, "rows")
+    table.overwrite(_t(spark, sf_dir, "customer"))
+    return spark.createDataFrame([(table.rows(),)], "n_rows bigint")
+
+
+_LONGS = (
+    "CASE p_partkey % 6 WHEN 0 THEN concat('900719925474', 1000000 + p_partkey) WHEN 1 THEN concat('900719925474', 1000000 + p_partkey, '.0') WHEN 2 THEN concat('900719925474', 1000000 + p_partkey, '.5') "
+    "WHEN 3 THEN '9223372036854775807' WHEN 4 THEN '-9223372036854775809' ELSE concat(' +', p_partkey, ' ') END"
+)
+
+
+@query(
+    "SELECT p_partkey, coalesce(CASE p_partkey % 6 WHEN 0 THEN 9007199254740000000 + 1000000 + p_partkey WHEN 1 THEN 9007199254740000000 + 1000000 + p_partkey "
+    "WHEN 3 THEN 9223372036854775807 WHEN 5 THEN p_partkey END, -1)::BIGINT AS number FROM part"
+)
+def long_ids(spark, sf_dir):
+    raw = _t(spark, sf_dir, "part").select("p_partkey", F.expr(_LONGS).alias("raw"))
+    return raw.select("p_partkey", F.coalesce(coerce.to_long(F.col("raw")), F.lit(-1)).alias("number"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 > 0 THEN p_retailprice END AS price FROM part")
+def nan_values(spark, sf_dir):
+    price = F.when(F.col("p_size") % 3 > 0, F.col("p_retailprice")).otherwise(F.lit(float("nan")))
+    return _t(spark, sf_dir, "part").select("p_partkey", coerce.nan_to_null(price).alias("price"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS fhrsid, o_orderstatus AS business_name, o_orderdate AS first_seen FROM orders WHERE date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-08-01') < 30")
+def staged_readback(spark, sf_dir):
+    rows = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fhrsid"), F.col("o_orderstatus").alias("Business Name"), F.col("o_orderdate").alias("first_seen"))
+    table = store.scratch_table(spark, "staged")
+    recent.stage(recent.recent_rows(rows, 30, DAY), table)
+    return table.read()
+
+
+MASTER_PATH = "project.dataset.master"
+
+
+def _workflow_master(spark, sf_dir, rows: DataFrame) -> str:
+    """A new folder of tables with `rows` as its master."""
+    root = store.scratch_table(spark, "workflow").folder
+    store.Table.at(spark, root, MASTER_PATH).overwrite(rows)
+    return root
+
+
+def _master_rows(spark, sf_dir) -> DataFrame:
+    """Customers as master rows, first seen within the last three weeks."""
+    typed = {"fhrsid": F.col("c_custkey").cast("string"), "businessname": F.col("c_name"), "addressline1": F.col("c_mktsegment"), "first_seen": F.date_sub(F.lit(DAY), (F.col("c_custkey") % 20).cast("int"))}
+    none = F.lit(None)
+    return _t(spark, sf_dir, "customer").select([typed.get(f.name, none).cast(f.dataType).alias(f.name) for f in schemas.MASTER.fields])
+
+
+def _pages(spark, sf_dir):
+    """Coordinates (nation, page) as text, and a search service that answers with that nation's customers of the page."""
+    size = 5000
+    place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
+    customers = _t(spark, sf_dir, "customer").withColumn("page", F.floor(place / size).cast("int"))
+    found = F.collect_list(F.struct(F.concat(F.lit("00"), "c_custkey").alias("FHRSID"), F.col("c_name").alias("BusinessName")))
+    body = F.concat(F.lit('{"FHRSEstablishment": {"EstablishmentCollection": {"EstablishmentDetail": '), F.to_json(found), F.lit("}}}"))
+    table = store.scratch_table(spark, "service")
+    table.overwrite(customers.groupBy(F.col("c_nationkey").alias("nation"), "page").agg(body.alias("body")))
+    bodies = table.read()
+
+    def transport(url: str) -> tuple[int, str]:
+        nation, page = (int(float(x)) for x in url.split("/")[-5:-3])
+        return 200, bodies.where((F.col("nation") == nation) & (F.col("page") == page)).first().body
+
+    places = bodies.select("nation", "page").orderBy("nation", "page").collect()  # a call of the service for each
+    return "\n".join(f"{r.nation},{r.page}" for r in places), transport
+
+
+@query(
+    "SELECT CAST(c_custkey AS VARCHAR) AS fhrsid, c_name AS businessname, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS addressline1, "
+    "CASE WHEN c_custkey % 2 = 0 THEN DATE '2001-08-01' - CAST(c_custkey % 20 AS INTEGER) ELSE DATE '2001-08-01' END AS first_seen, 'not reviewed' AS manual_review FROM customer"
+)
+def fetch_workflow(spark, sf_dir):
+    known = _master_rows(spark, sf_dir).where(F.col("fhrsid").cast("bigint") % 2 == 0).drop("gemini_insights").withColumn("manual_review", F.lit(schemas.NOT_REVIEWED))
+    root = _workflow_master(spark, sf_dir, known)
+    coordinates, transport = _pages(spark, sf_dir)
+    workflows.fetch_and_append(spark, coordinates, 5000, root, MASTER_PATH, f"{root}/landing", transport, 0, DAY)
+    return store.Table.at(spark, root, MASTER_PATH).read().select("fhrsid", "businessname", "addressline1", "first_seen", "manual_review")
+
+
+@query(
+    "SELECT CAST(c_custkey AS VARCHAR) AS fhrsid, c_name AS businessname, CASE WHEN c_custkey % 20 < 7 THEN md5(" + _PROMPT.format("c_name", "c_mktsegment", "''", "''", "''") + ") END AS gemini_insights FROM customer"
+)
+def recent_workflow(spark, sf_dir):
+    root = _workflow_master(spark, sf_dir, _master_rows(spark, sf_dir))
+    workflows.recent_analysis(spark, root, MASTER_PATH, 7, DAY)
+    workflows.enrich_recent(spark, root, MASTER_PATH, "About ", write_back=True)
+    return store.Table.at(spark, root, MASTER_PATH).read().select("fhrsid", "businessname", "gemini_insights")
+
+
+@query(
+    "SELECT CAST(c_custkey AS VARCHAR) AS fhrsid, CASE WHEN c_custkey % 5 = 0 THEN c_name ELSE concat(c_name, ' and sons') END AS businessname, "
+    "CASE WHEN c_custkey % 5 = 0 THEN c_mktsegment END AS addressline1, CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 2 = 0 END AS newratingpending FROM customer"
+)
+def csv_workflow(spark, sf_dir):
+    """Every row of the master has two changes in the file, of which each fifth key's fail."""
+    root = _workflow_master(spark, sf_dir, _master_rows(spark, sf_dir))
+    flag = F.when(F.col("c_custkey") % 5 == 0, "maybe").when(F.col("c_custkey") % 2 == 0, "TRUE").otherwise("false")
+    change = lambda name, segment: _t(spark, sf_dir, "customer").select(F.concat(F.lit("0"), "c_custkey").alias("FhrsID"), name.alias("businessname"), segment.alias("addressline1"), flag.alias("newratingpending"))
+    first, last = change(F.lit("replaced later"), F.col("c_mktsegment")), change(F.concat("c_name", F.lit("' and sons")), F.lit(None).cast("string"))
+    for name, rows in (("a", first), ("b", last)):
+        rows.write.option("header", True).csv(f"{root}/changes/{name}")
+    for name in "ab":
+        workflows.update_from_csv(spark, root, MASTER_PATH, f"{root}/changes/{name}")
+    return store.Table.at(spark, root, MASTER_PATH).read().select("fhrsid", "businessname", "addressline1", "newratingpending")
+
+
+@query("SELECT n_nationkey AS id, n_name AS \"detail.name\", n_regionkey AS \"detail.region\" FROM nation")
+def json_readback(spark, sf_dir):
+    """One document over several lines: an array of nested records."""
+    folder = store.scratch_table(spark, "json").folder
+    nested = F.struct(F.col("n_nationkey").alias("id"), F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")).alias("detail"))
+    text = F.array_join(F.collect_list(F.to_json(nested)), ",\n")
+    _t(spark, sf_dir, "nation").agg(F.concat(F.lit("[\n"), text, F.lit("\n]"))).write.text(folder)
+    return flatten.flatten(records.read_json(spark, folder, StructType.fromDDL("id int, detail struct<name: string, region: int>")))

@@ -32,10 +32,13 @@ def today() -> datetime.date:
     return datetime.date.today()
 
 
-def fetch_and_append(spark: SparkSession, coordinates_text: str, max_results: int, root: str, path: str, landing: str, transport: records.Transport = records.http, pause: float = 4, as_of: datetime.date | None = None, sleep: Callable[[float], None] = time.sleep) -> Result:
+def fetch_and_append(
+    spark: SparkSession, coordinates_text: str, max_results: int, root: str, path: str, landing: str, transport: records.Transport = records.http,
+    pause: float = 4, as_of: datetime.date | None = None, sleep: Callable[[float], None] = time.sleep,
+) -> Result:
     """Searches, finds the records that the master lacks and appends them.
 
-    df is the master as it was before; shown holds the new records. The path is checked before any
+    df is the master as it was before; shown holds the new records; failed calls are warnings. The path is checked before any
     call goes out. Reading, comparing and appending are separate steps: one writer at a time.
     """
     places, bad = uploads.coordinates(spark, coordinates_text)
@@ -44,7 +47,9 @@ def fetch_and_append(spark: SparkSession, coordinates_text: str, max_results: in
         return Result(None, {}, [*warnings, "no valid coordinates"])
     split_path(path)
     table = Table.at(spark, root, path)
-    responses = records.land(spark, places, max_results, landing, transport, pause, sleep)
+    landed = records.land(spark, places, max_results, landing, transport, pause, sleep)
+    responses = landed.responses
+    warnings += [f"call {k}: {problem}" for k, problem in landed.failures.items()]
     calls = records.record_count(responses).collect()  # a row per call made above
     warnings += [f"call {r.call_ordinal}: {r.n_results} results, maybe cut off" for r in calls if r.n_results == max_results]
     batch = records.parse(responses)
@@ -68,16 +73,30 @@ def recent_analysis(spark: SparkSession, root: str, path: str, n_days: int = 7,
     return Result(rows, {}, [] if staged else ["no recent rows"])
 
 
-def enrich_recent(spark: SparkSession, root: str, path: str, prompt: str = insights.DEFAULT_PROMPT, provider: insights.Provider = insights.offline, write_back: bool = False) -> Result:
-    """Generates texts for the staged rows; write_back also stores them in the master."""
+def enrich_recent(
+    spark: SparkSession, root: str, path: str, prompt: str = insights.DEFAULT_PROMPT, provider: insights.Provider = insights.offline, write_back: bool = False,
+) -> Result:
+    """Generates texts for the staged rows; write_back also stores them in the master.
+
+    counts: rows in the results table, and those of them that got a text.
+    """
     project, dataset, _ = split_path(path)
     staged = Table.at(spark, root, f"{project}.{dataset}.recent_restaurants_temp").read()
-    found = insights.insight_pipeline(staged, Table.at(spark, root, f"{project}.{dataset}.genairesults_temp"), prompt, provider)
+    results = Table.at(spark, root, f"{project}.{dataset}.genairesults_temp")
+    found = insights.insight_pipeline(staged, results, prompt, provider)
+    counts = {"generated": results.rows(), "with_text": found.count()}
     if write_back:
         table = Table.at(spark, root, path)
         news = found.select(INSIGHTS[0], INSIGHTS[-1]).withColumn("csv_ordinal", F.lit(0))
-        table.overwrite(updates.update_overlay(table.read(), news, strip=False))
-    return Result(found)
+        _replace(table, updates.update_overlay(table.read(), news, strip=False))
+    missing = counts["generated"] - counts["with_text"]
+    return Result(found, counts, [f"{missing} rows got no text"] if missing else [])
+
+
+def _replace(table: Table, df: DataFrame) -> None:
+    """A new version of the table; the one before stays for those who are reading it, older ones go."""
+    table.overwrite(df)
+    table.drop_old(keep=2)
 
 
 def update_from_csv(spark: SparkSession, root: str, path: str, csv_path: str) -> Result:
@@ -87,7 +106,7 @@ def update_from_csv(spark: SparkSession, root: str, path: str, csv_path: str) ->
     master = table.read()
     counts = updates.update_summary(changes, master).first().asDict()
     if counts["n_success"]:
-        table.overwrite(updates.update_overlay(master, changes))
+        _replace(table, updates.update_overlay(master, changes))
     return Result(table.read(), counts, [f"{counts['n_error']} rows failed"] if counts["n_error"] else [])
 
 
@@ -101,7 +120,7 @@ def update_row(spark: SparkSession, root: str, path: str, key: str, values: dict
     master = table.read()
     if updates.update_summary(change, master).first().n_error:
         return False
-    table.overwrite(updates.update_overlay(master, change))
+    _replace(table, updates.update_overlay(master, change))
     return True
 
 

@@ -6,14 +6,16 @@ import json
 import time
 import urllib.error
 import urllib.request
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..errors import SourceError
-from ..operators.flatten import explode_records, records_only
+from ..operators.flatten import explode_records
 from ..schemas import RECORD_PATH, SOURCE_RECORD
 
 #: Fixed value: the search service's address; distance and page are always 1.
@@ -32,39 +34,50 @@ def http(url: str) -> tuple[int, str]:
         return e.code, ""
 
 
-def fetch(longitude: float, latitude: float, max_results: int, transport: Transport = http) -> str | None:
-    """The JSON text of one search; None if the call fails or the body isn't JSON."""
+def fetch(longitude: float, latitude: float, max_results: int, transport: Transport = http) -> tuple[str | None, str | None]:
+    """The JSON text of one search, or None and what went wrong: a status, a failed call, or no JSON."""
     try:
         status, body = transport(SEARCH_URL.format(longitude=longitude, latitude=latitude, max_results=max_results))
         if status != 200:
-            return None
+            return None, f"status {status}"
         json.loads(body)
-        return body
-    except (OSError, ValueError):
-        return None
+        return body, None
+    except ValueError as e:
+        return None, f"no JSON: {e}"
+    except OSError as e:
+        return None, f"call failed: {e}"
 
 
-def land(spark: SparkSession, coordinates: list[tuple[float, float]], max_results: int, folder: str, transport: Transport = http, pause: float = 4, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+@dataclass
+class Landed:
+    """The responses of one run of searches, and a message for each failed call, by its ordinal."""
+
+    responses: DataFrame
+    failures: dict[int, str]
+
+
+def land(
+    spark: SparkSession, coordinates: list[tuple[float, float]], max_results: int, folder: str,
+    transport: Transport = http, pause: float = 4, sleep: Callable[[float], None] = time.sleep,
+) -> Landed:
     """Searches around each coordinate in turn and adds the responses to a folder of Parquet files.
 
     One call at a time with a pause after each: the service's limit holds for all callers together,
-    so calls aren't spread over executors. Failed calls leave no row. max_results: 1 to 5000.
+    so calls aren't spread over executors. Failed calls leave no row. Each run has a folder of its own
+    below `folder` and gives back its own responses only. max_results: 1 to 5000.
     """
     if not 1 <= max_results <= 5000:
         raise ValueError("max_results must be from 1 to 5000")
+    run, failures = f"{folder.rstrip('/')}/run-{uuid.uuid4().hex}", {}
     for k, (longitude, latitude) in enumerate(coordinates):
-        body = fetch(longitude, latitude, max_results, transport)
+        body, problem = fetch(longitude, latitude, max_results, transport)
         sleep(pause)
-        if body is not None:
-            spark.createDataFrame([(k, longitude, latitude, body)], RESPONSES).coalesce(1).write.mode("append").parquet(folder)
-    if not coordinates:
-        return spark.createDataFrame([], RESPONSES)
-    try:
-        return spark.read.schema(RESPONSES).parquet(folder)
-    except Exception as e:  # no call succeeded, so there is no folder
-        if "PATH_NOT_FOUND" in str(e):
-            return spark.createDataFrame([], RESPONSES)
-        raise
+        if problem:
+            failures[k] = problem
+        else:
+            spark.createDataFrame([(k, longitude, latitude, body)], RESPONSES).coalesce(1).write.mode("append").parquet(run)
+    some = len(failures) < len(coordinates)
+    return Landed(spark.read.schema(RESPONSES).parquet(run) if some else spark.createDataFrame([], RESPONSES), failures)
 
 
 def _leaf(record: Column, path: tuple[str, ...], kind) -> Column:
@@ -92,10 +105,6 @@ def record_count(responses: DataFrame, body: str = "body") -> DataFrame:
     return responses.select("call_ordinal", F.coalesce(F.size(v), F.lit(0)).cast("bigint").alias("n_results"))
 
 
-def objects_only(elements: Column) -> Column:
-    return records_only(elements)
-
-
 def read_json(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
     """A JSON file, which may span lines. A missing file or bad JSON is an error, raised at once."""
     reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")

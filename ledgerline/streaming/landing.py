@@ -17,7 +17,8 @@ from ..sources.master import load_master
 def ingest_stream(spark: SparkSession, landing: str, master: Table, checkpoint: str, as_of: datetime.date, once: bool = True) -> StreamingQuery:
     """Starts a query over the landing folder; each micro-batch appends the records that are new.
 
-    A repeated batch adds nothing, since its records are in the master by then.
+    A repeated batch adds nothing, since its records are in the master by then. Many small segments of the
+    master are rewritten as one.
     """
 
     def step(batch: DataFrame, _: int) -> None:
@@ -25,7 +26,10 @@ def ingest_stream(spark: SparkSession, landing: str, master: Table, checkpoint:
         ready = append_projection(new).persist()
         if not ready.isEmpty():
             append_table(master, ready, ready.schema)
+            if master.compact():
+                master.drop_old(keep=2)
         ready.unpersist()
 
-    stream = spark.readStream.schema(records.RESPONSES).parquet(landing).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    source = spark.readStream.schema(records.RESPONSES).option("recursiveFileLookup", True).parquet(landing)
+    stream = source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (stream.trigger(availableNow=True) if once else stream).start()

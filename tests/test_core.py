@@ -32,7 +32,9 @@ def test_canonical_id(spark):
 
 def test_numbers_flags_dates(spark):
     assert values(spark, ["1", " 2.5 ", "1d", "nan", "inf", "", "0x10", "1_0", ".5", "1e2", None], coerce.to_double) == [1.0, 2.5, None, None, None, None, None, None, 0.5, 100.0, None]
-    assert values(spark, ["1", "2.0", "2.5", "x", "1e30", None], coerce.to_long) == [1, 2, None, None, None, None]
+    assert values(spark, ["1", "2.0", "2.5", "x", "1e30", "1e3", " +7 ", "1.00000000001", None], coerce.to_long) == [1, 2, None, None, None, 1000, 7, None, None]
+    large = ["9007199254740993", "-9007199254740993.0", "9007199254740993.5", str(2**63 - 1), str(2**63), str(-(2**63)), "9223372036854775807.0", "9223372036854775808.0"]
+    assert values(spark, large, coerce.to_long) == [2**53 + 1, -(2**53) - 1, None, 2**63 - 1, None, -(2**63), 2**63 - 1, None]
     assert values(spark, ["true", "FALSE", "True", "yes", "1", " true ", None], coerce.to_bool) == [True, False, True, None, None, None, None]
     assert values(spark, ["2024-01-02", "2024-01-02 03:04:05", "soon", None], coerce.to_date) == [datetime.date(2024, 1, 2)] * 2 + [None, None]
     assert values(spark, ["val'ue", "x", None], coerce.strip_quotes) == ["value", "x", None]
@@ -216,6 +218,51 @@ def test_insights(spark, tmp_path):
     assert {r.fhrsid for r in insights.insight_pipeline(staged, table, "Q: ").collect()} == {"1", "2", "4"}
 
 
+class Answers:
+    """A service that fails once for each prompt, then answers; prompts with 'never' fail for good."""
+
+    def __init__(self):
+        self.seen = set()
+
+    def __call__(self, url, headers, body):
+        call = json.loads(body)
+        assert url == "http://model" and headers["X-Key"] == "k" and call["seed"] == 0 and call["model"] == "gemini-2.0-flash-001"
+        if "never" in call["prompt"]:
+            return 400, ""
+        if call["prompt"] not in self.seen:
+            self.seen.add(call["prompt"])
+            raise OSError("down")
+        return 200, json.dumps({"candidates": [{"text": "about " + call["prompt"]}]})
+
+
+def test_model_service(spark):
+    service = insights.Service("http://model", ("candidates", 0, "text"), lambda: {"X-Key": "k"}, Answers(), pause=0)
+    rows = spark.createDataFrame([("a",), ("never",), ("b",)], "p string").coalesce(1)
+    assert [r.gemini_insights for r in insights.generate(rows, F.col("p"), service).collect()] == ["about a", None, "about b"]
+    for answer in ((200, "no json"), (200, "{}"), (500, ""), (429, "")):
+        assert insights.Service("http://model", post=lambda *_, a=answer: a, pause=0)(["x"], insights.ModelOptions()) == [None]
+
+
+def test_keys_and_values(spark):
+    rows = spark.createDataFrame([("1",), ("01",), (" 1 ",), ("-0",), ("x",), ("1.0",), (None,)], "k string")
+    for ids, expect in ((["+0_1"], ["1", "01", " 1 "]), (["0"], ["-0"]), (["x", "1.0"], ["x", "1.0"]), (["-5", "1__0"], [])):
+        assert [r.k for r in ingest.find_keys(rows, "k", *ids).collect()] == expect
+    assert {r.k for r in ingest.distinct_values(rows.union(rows), "k").collect()} == {r.k for r in rows.collect()}
+
+
+def test_segments_become_one(spark, tmp_path):
+    table = store.Table(spark, str(tmp_path / "t"))
+    assert not table.compact()
+    for i in range(4):
+        table.append(spark.createDataFrame([(i,)], "i int"))
+    before = table.read()
+    assert not table.compact(4) and table.compact(3)
+    assert sorted(r.i for r in table.read().collect()) == sorted(r.i for r in before.collect()) == [0, 1, 2, 3]
+    table.overwrite(table.read().where("i > 1"))
+    table.drop_old(keep=2)
+    assert table.rows() == 2 and len({v for v, _ in table._segments()}) == 2
+
+
 def serve(pages):
     def transport(url):
         if "/1.0/1.0/" in url:
@@ -240,8 +287,10 @@ def test_workflows(spark, tmp_path):
     waits.clear()
     first = run("l1")
     assert first.counts == {"fetched": 3, "new": 2} and waits == [4, 4, 4] and first.df.count() == 0
-    assert first.warnings == ["line 4: not a coordinate", "call 0: 3 results, maybe cut off"]
+    assert first.warnings == ["line 4: not a coordinate", "call 1: status 500", "call 2: call failed: no network", "call 0: 3 results, maybe cut off"]
     assert run("l2").counts["new"] == 0 and table.rows() == 2
+    again = run("l1")  # the same folder: earlier responses don't count again
+    assert again.counts == {"fetched": 3, "new": 0}
     assert run("l3", "x").warnings[-1] == "no valid coordinates"
     assert run("l4", "2.0,2.0").counts == {"fetched": 0, "new": 0}
     with pytest.raises(InvalidTablePath):
@@ -249,7 +298,9 @@ def test_workflows(spark, tmp_path):
     table.overwrite(load_master(table).withColumn("gemini_insights", F.lit(None).cast("string")))
     assert workflows.recent_analysis(spark, root, path, 7, DAY).df.count() == 2
     assert workflows.recent_analysis(spark, root, path, 7, DAY + datetime.timedelta(30)).warnings == ["no recent rows"]
-    found = workflows.enrich_recent(spark, root, path, write_back=True).df.collect()
+    enriched = workflows.enrich_recent(spark, root, path, write_back=True)
+    assert enriched.counts == {"generated": 2, "with_text": 2} and not enriched.warnings
+    found = enriched.df.collect()
     assert {r.fhrsid for r in found} == {"123", "5"} and table.read().where("gemini_insights is null").isEmpty()
     (tmp_path / "u.csv").write_text("FHRSID,postcode,newratingpending\n00123,N1 'x,FALSE\n5,N2,maybe\n99,N3,true\n")
     done = workflows.update_from_csv(spark, root, path, str(tmp_path / "u.csv"))
