@@ -4,16 +4,21 @@ Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. Of
 consecutive GRAM-word hashes of a text the least is kept as a fingerprint. Two texts that share
 WIDTH + GRAM - 1 = 13 consecutive words share all hashes of that span and so its least one: no
 shared window is missed. A document's fingerprints are joined to the items' and every match is
-extended word by word in both directions; runs of 13 words or more are hits. An item of fewer
-words is one window; those are found by the hashes of all runs of their lengths.
+extended to both sides; runs of 13 words or more are hits. An item of fewer words is one window;
+those are found by the hashes of all runs of their lengths.
 
-Items whose text is small (`most_bytes`, checked first) travel as a broadcast and one pass over the
-documents does all, without a shuffle. Larger sets take `_by_join`: fingerprints are shuffled and
-joined, and only pairs that share one are compared. Both give the same rows.
+Items whose text is small (`most_bytes`, checked first) travel as a broadcast of sorted arrays and one
+pass over the documents does all, without a shuffle. Larger sets take `_by_join`: fingerprints travel with
+the hashes of the windows that they stand for; those that no item has go first, and then the windows are
+joined. So a phrase that is common in documents and items meets no pairs, only equal windows, and no text
+is moved. Both ways give the same rows.
+
+Words are compared by 64-bit hashes, windows by two of them.
 
 Defined results: a null text has no words; an item without words has no windows; rows of equal text
-have equal results; items of equal or null id count once per distinct id, a null one as ''; extra
-columns are not read.
+have equal results; items of equal or null id count once per distinct id, a null one as ''; without items
+nothing is hit; extra columns are not read by `decontaminate` and come back unchanged from `keep_clean`,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batches, gram_hashes, unused, utf8, window_min
+from .common import WordHashes, batches, gram_hashes, materialize, unused, utf8, window_min
 
 WINDOW, GRAM = 13, 5
 WIDTH = WINDOW - GRAM + 1
@@ -46,55 +51,68 @@ def fingerprints(words: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """The items' fingerprints and words, as they are broadcast."""
+    """The items' fingerprints and words as sorted arrays, as they are broadcast."""
 
     def __init__(self, rows: list[tuple[str, bytes]]):
         hashes = WordHashes()
         self.ids = [i for i, _ in rows]
-        self.words = [words_of(t) for _, t in rows]
-        places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for k, words in enumerate(self.words):
-            if len(words) >= WINDOW:
-                h = hashes.of(words)
-                kept = fingerprints(h)
+        words = [hashes.of(words_of(t)) for _, t in rows]
+        self.ends = np.cumsum([0, *map(len, words)])
+        self.words = np.concatenate([*words, np.empty(0, np.uint64)])
+        prints, items, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        short: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for k, h in enumerate(words):
+            if len(h) >= WINDOW:
                 grams = gram_hashes(h, GRAM)
-                for q in np.flatnonzero(np.isin(grams, kept)).tolist():
-                    places[int(grams[q])].append((k, q))
-            elif words:
-                short[len(words)][int(gram_hashes(hashes.of(words), len(words))[0])].append(k)
-        self.places = dict(places)
-        self.short = {n: dict(x) for n, x in short.items()}
-        self.keys = np.array(sorted(self.places), np.uint64)
-        self.short_keys = {n: np.array(sorted(x), np.uint64) for n, x in self.short.items()}
-
-    def hits(self, words: list[bytes], hashes: np.ndarray) -> tuple[np.ndarray, set[int]]:
-        """Which words are hit, and the items with a window that occurs."""
+                at = np.flatnonzero(np.isin(grams, fingerprints(h)))
+                prints.append(grams[at])
+                items.append(np.full(len(at), k))
+                places.append(at)
+            elif len(h):
+                short[len(h)].append((int(gram_hashes(h, len(h))[0]), k))
+        flat = np.concatenate(prints)
+        order = np.argsort(flat, kind="stable")
+        self.prints, self.items, self.places = flat[order], np.concatenate(items)[order], np.concatenate(places)[order]
+        self.keys = np.unique(self.prints)
+        self.short = {}
+        for n, found in short.items():
+            found.sort()
+            self.short[n] = np.array([h for h, _ in found], np.uint64), np.array([k for _, k in found])
+
+    def of(self, k: int) -> np.ndarray:
+        return self.words[self.ends[k] : self.ends[k + 1]]
+
+    def hits(self, words: np.ndarray) -> tuple[np.ndarray, set[int]]:
+        """Which words, given by their hashes, are hit, and the items with a window that occurs."""
         hit, items = np.zeros(len(words), bool), set()
         if len(words) >= WINDOW and len(self.keys):
-            grams = gram_hashes(hashes, GRAM)
+            grams = gram_hashes(words, GRAM)
             kept = np.unique(window_min(grams, WIDTH))
             shared = kept[_among(kept, self.keys)]
-            if len(shared):
-                done: dict[tuple[int, int], int] = {}
-                for p in np.flatnonzero(_among(grams, shared)).tolist():
-                    for k, q in self.places[int(grams[p])]:
-                        if p < done.get((k, p - q), 0):
-                            continue
-                        start, end = extend(words, self.words[k], p, q)
-                        done[k, p - q] = end
-                        if end - start >= WINDOW:
-                            hit[start:end] = True
-                            items.add(k)
-        for n, keys in self.short_keys.items():
-            grams = gram_hashes(hashes, n)
+            done: dict[tuple[int, int], int] = {}
+            for p in np.flatnonzero(_among(grams, shared)).tolist():
+                for k, q in self._at(p, grams):
+                    if p < done.get((k, p - q), 0):
+                        continue
+                    start, end = extend(words, self.of(k), p, q)
+                    done[k, p - q] = end
+                    if end - start >= WINDOW:
+                        hit[start:end] = True
+                        items.add(k)
+        for n, (keys, of) in self.short.items():
+            grams = gram_hashes(words, n)
             for p in np.flatnonzero(_among(grams, keys)).tolist():
-                for k in self.short[n][int(grams[p])]:
-                    if self.words[k] == words[p : p + n]:
+                for k in of[np.searchsorted(keys, grams[p]) : np.searchsorted(keys, grams[p], "right")].tolist():
+                    if (self.of(k) == words[p : p + n]).all():
                         hit[p : p + n] = True
                         items.add(k)
         return hit, items
 
+    def _at(self, p: int, grams: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Items and places in them of a fingerprint."""
+        some = slice(np.searchsorted(self.prints, grams[p]), np.searchsorted(self.prints, grams[p], "right"))
+        return zip(self.items[some].tolist(), self.places[some].tolist())
+
 
 def _among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
     if not len(keys):
@@ -104,15 +122,16 @@ def _among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return keys[at] == values
 
 
-def extend(words: list[bytes], item: list[bytes], p: int, q: int) -> tuple[int, int]:
+def _equal(a: np.ndarray, b: np.ndarray) -> int:
+    """How many first values of a and b are equal."""
+    n = min(len(a), len(b))
+    other = np.flatnonzero(a[:n] != b[:n])
+    return int(other[0]) if len(other) else n
+
+
+def extend(words: np.ndarray, item: np.ndarray, p: int, q: int) -> tuple[int, int]:
     """The longest run of words around p that equals the item's around q."""
-    back = 0
-    while p - back > 0 and q - back > 0 and words[p - back - 1] == item[q - back - 1]:
-        back += 1
-    on = 0
-    while p + on < len(words) and q + on < len(item) and words[p + on] == item[q + on]:
-        on += 1
-    return p - back, p + on
+    return p - _equal(words[:p][::-1][:q], item[:q][::-1]), p + _equal(words[p : p + len(item) - q], item[q:])
 
 
 _RESULT = "doc_id {0}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string"
@@ -145,9 +164,9 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, most_bytes: int = 32 << 20
     items = _items(benchmark)
     if _size(items) > most_bytes:
         key = F.unhex(F.md5(utf8(F.col("text"))))
-        texts = docs.select(key.alias("doc_id"), "text").dropDuplicates(["doc_id"])
         name = unused(docs, "key")
-        bad = _by_join(texts, items).where(CONTAMINATED).select(F.col("doc_id").alias(name))
+        judged = _by_join(docs.select(key.alias("doc_id"), "text"), items)
+        bad = judged.where(CONTAMINATED).select(F.col("doc_id").alias(name)).distinct()
         return docs.withColumn(name, key).join(bad, name, "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
     known = docs.sparkSession.sparkContext.broadcast(Items([(r[0], bytes(r[1])) for r in items.collect()]))
 
@@ -156,8 +175,8 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, most_bytes: int = 32 << 20
         for b in batches(it):
             keep = []
             for text in b.column("text").cast(pa.binary()).to_pylist():
-                words = words_of(text or b"")
-                n_hit = int(known.value.hits(words, hashes.of(words))[0].sum())
+                words = hashes.of(words_of(text or b""))
+                n_hit = int(known.value.hits(words)[0].sum())
                 keep.append(not (n_hit and 20 * n_hit >= len(words)))
             yield b.filter(pa.array(keep, pa.bool_()))
 
@@ -173,86 +192,101 @@ def _by_broadcast(docs: DataFrame, items: DataFrame) -> DataFrame:
         for b in batches(it):
             n_words, n_hit, n_items, digest = [], [], [], []
             for text in b.column("text").to_pylist():
-                words = words_of(text)
-                hit, found = items.hits(words, hashes.of(words))
+                words = hashes.of(words_of(text))
+                hit, found = items.hits(words)
                 ids = {items.ids[k] for k in found}
                 n_words.append(len(words))
                 n_hit.append(int(hit.sum()))
                 n_items.append(len(ids))
                 digest.append(_digest(ids) if ids else empty)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n_words, n_hit, n_items)), pa.array(digest, pa.string())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
+            numbers = [pa.array(x, pa.int64()) for x in (n_words, n_hit, n_items)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *numbers, pa.array(digest, pa.string())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
 
     rows = docs.select("doc_id", utf8(F.col("text")).alias("text"))
     return rows.mapInArrow(run, _RESULT.format(rows.schema["doc_id"].dataType.simpleString()))
 
 
-def _keys(short: bool):
-    """Rows (key, print): fingerprints of a text, and, under the lengths given, its short runs' hashes."""
+_SPOTS = "key binary, print bigint, n int, starts array<int>, windows array<bigint>"
+
+
+def _spots(lengths: list[int], own: bool):
+    """Of texts with a key: each fingerprint, and starts and hashes of the windows whose fingerprint it is.
+
+    Windows have 13 words, and the lengths given; of items (own) the whole text alone if it is shorter than 13.
+    """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches(it, 1 << 20):
-            keys, lengths = b.column("key").to_pylist(), b.column("lengths").to_pylist()
-            for key, text, wanted in zip(keys, b.column("text").to_pylist(), lengths):
+            rows, parts = [], []
+            for i, text in enumerate(b.column("text").to_pylist()):
                 h = hashes.of(words_of(text))
-                prints = [fingerprints(h)] if not short or len(h) >= WINDOW else []
-                prints += [gram_hashes(h, n) for n in (wanted if not short else [len(h)] if 0 < len(h) < WINDOW else [])]
-                prints = np.unique(np.concatenate(prints)) if prints else np.empty(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(prints), b.column("key").type), pa.array(prints.view(np.int64))], ["key", "print"])
+                sizes = ([WINDOW] if len(h) >= WINDOW else [len(h)]) if own else [WINDOW, *lengths]
+                for n in [n for n in sizes if 0 < n <= len(h)]:
+                    prints = window_min(gram_hashes(h, GRAM), WIDTH) if n == WINDOW else gram_hashes(h, n)
+                    windows = gram_hashes(h[::-1].copy(), n)[::-1]
+                    parts.append((prints, np.full(len(prints), n), np.arange(len(prints)), windows))
+                    rows.append(np.full(len(prints), i))
+            if not parts:
+                continue
+            row, prints, n, starts, windows = np.concatenate(rows), *(np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((starts, n, prints, row))
+            row, prints, n, starts, windows = (x[order] for x in (row, prints, n, starts, windows))
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (prints[1:] != prints[:-1]) | (n[1:] != n[:-1])
+            first = np.flatnonzero(new)
+            ends = pa.array(np.append(first, len(row)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (starts.astype(np.int32), windows.view(np.int64))]
+            columns = [b.column("key").take(pa.array(row[first])), pa.array(prints[first].view(np.int64)), pa.array(n[first], pa.int32()), *lists]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "print", "n", "starts", "windows"])
 
     return run
 
 
-def _compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
-    for b in batches(it, 1 << 20):
-        keys, ids, hits = [], [], []
-        for key, text, item, item_text in zip(*(b.column(c).to_pylist() for c in ("key", "text", "item", "item_text"))):
-            words = words_of(text)
-            hit, found = Items([(item, item_text)]).hits(words, hashes.of(words))
-            if found:
-                keys.append(key)
-                ids.append(item)
-                hits.append(np.flatnonzero(hit).tolist())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.string()), pa.array(hits, pa.list_(pa.int32()))], ["key", "item", "hits"])
+def _covered(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, n_hit: how many words the windows of each key cover."""
+    for b in batches(it):
+        found = []
+        for spots in b.column("spots").to_pylist():
+            start, n = (np.array([x[c] for x in spots]) for c in ("start", "n"))
+            steps = np.zeros(int((start + n).max()) + 1, np.int64)
+            np.add.at(steps, start, 1)
+            np.add.at(steps, start + n, -1)
+            found.append(int((np.cumsum(steps) > 0).sum()))
+        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(found, pa.int64())], ["key", "n_hit"])
 
 
 def _by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """For item sets too large to broadcast: equal fingerprints meet in a shuffle join."""
+    """For item sets too large to broadcast: equal fingerprints, then equal windows meet in shuffle joins.
+
+    What is gathered of a document is its hit places and the ids of items found in it; nothing is by pair.
+    """
     rows = docs.select("doc_id", utf8(F.col("text")).alias("text")).withColumn("key", F.unhex(F.md5("text")))
-    items = items.withColumn("key", F.unhex(F.md5(F.concat(F.octet_length("item").cast("string").cast("binary"), F.lit(b":"), F.col("item").cast("binary"), F.col("words"))))).withColumnRenamed("words", "text")
-    n = F.size(F.expr("filter(split(cast(text as string), '[\\\\x00-\\\\x2F\\\\x3A-\\\\x40\\\\x5B-\\\\x60\\\\x7B-\\\\x7F]+'), x -> x != '')"))
-    lengths = sorted(r[0] for r in items.select(n.alias("n")).where(f"n > 0 and n < {WINDOW}").distinct().collect())  # 12 at most
-    wanted = F.lit(lengths) if lengths else F.array().cast("array<int>")
-    key_print = "key binary, print bigint"
-    texts = rows.dropDuplicates(["key"]).select("key", "text")
-    prints = texts.withColumn("lengths", wanted).mapInArrow(_keys(False), key_print)
-    item_prints = items.dropDuplicates(["key"]).select("key", "text").withColumn("lengths", F.array().cast("array<int>")).mapInArrow(_keys(True), key_print)
-    pairs = prints.join(item_prints.select(F.col("key").alias("item_key"), "print"), "print").select("key", "item_key").distinct()
-    compared = (
-        pairs.join(texts, "key")
-        .join(items.select(F.col("key").alias("item_key"), "item", F.col("text").alias("item_text")).dropDuplicates(["item_key"]), "item_key")
-        .select("key", "text", "item", "item_text")
-        .mapInArrow(_compare, "key binary, item string, hits array<int>")
-    )
-    hits = compared.select("key", F.explode("hits").alias("at")).distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
-    ids = compared.select("key", "item").distinct().groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("ids"))
+    whole = items.select(F.col("item").cast("binary").alias("key"), F.col("words").alias("text"))
+    window = ["print", "n", "window"]
+    known = whole.mapInArrow(_spots([], True), _SPOTS).select(F.col("key").cast("string").alias("item"), "print", "n", F.explode("windows").alias("window"))
+    known = materialize(known.distinct(), "item-windows")
+    lengths = sorted(r.n for r in known.where(F.col("n") < WINDOW).select("n").distinct().collect())  # 12 at most
+    spots = rows.select("key", "text").mapInArrow(_spots(lengths, False), _SPOTS)
+    spots = spots.join(known.select("print", "n").distinct(), ["print", "n"], "left_semi").dropDuplicates(["key", "print", "n"])
+    spots = spots.select("key", "print", "n", F.explode(F.arrays_zip("starts", "windows")).alias("w"))
+    spots = spots.select("key", "print", "n", F.col("w.starts").alias("start"), F.col("w.windows").alias("window"))
+    hits = materialize(spots.join(known.select(window).distinct(), window, "left_semi"), "hits")
+    covered = hits.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("spots")).mapInArrow(_covered, "key binary, n_hit bigint")
+    ids = hits.select("key", *window).distinct().join(known, window).groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("ids"))
+    found = covered.join(ids, "key")
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array([len(words_of(t)) for t in b.column("text").to_pylist()], pa.int64())], ["doc_id", "key", "n_words"])
+            n_words = [len(words_of(t)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(n_words, pa.int64())], ["doc_id", "key", "n_words"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return (
-        rows.select("doc_id", "text", "key")
-        .mapInArrow(count, f"doc_id {kind}, key binary, n_words bigint")
-        .join(hits, "key", "left")
-        .join(ids, "key", "left")
-        .select(
-            "doc_id",
-            "n_words",
-            F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
-            F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias("n_items"),
-            F.sha2(F.coalesce(F.array_join("ids", ","), F.lit("")), 256).alias("items_sha256"),
-        )
+    counted = rows.select("doc_id", "text", "key").mapInArrow(count, f"doc_id {kind}, key binary, n_words bigint")
+    return counted.join(found, "key", "left").select(
+        "doc_id",
+        "n_words",
+        F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
+        F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias("n_items"),
+        F.sha2(F.coalesce(F.array_join("ids", ","), F.lit("")), 256).alias("items_sha256"),
     )

@@ -121,6 +121,26 @@ def test_contamination_equals_brute_force(spark, most_bytes):
     assert any(x[-1] for x in got) and not all(x[-1] for x in got)
 
 
+@pytest.mark.parametrize("most_bytes", [1 << 30, -1])
+def test_contamination_of_long_texts_common_phrases_and_no_items(spark, most_bytes):
+    """Items and documents that all share a phrase of twelve words, a very long document, an empty benchmark."""
+    rng = random.Random(7)
+    text = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    phrase = text(12)
+    items = [(i, " ".join(text(9) + phrase + text(9))) for i in range(30)] + [(30, " ".join(phrase))]
+    docs = [(i, " ".join(text(5) + phrase + text(5))) for i in range(30)]
+    long = text(30_000)
+    docs += [(100, " ".join(long[:9_000] + items[0][1].split() + long[9_000:] + items[1][1].split()[4:])), (101, " ".join(items[2][1].split()[:13])), (102, None)]
+    schema = "item_id bigint, text string"
+    for some in (items, items[:30]):
+        found = decontaminate.decontaminate(documents(spark, docs), spark.createDataFrame(some, schema), most_bytes).collect()
+        got = sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in found)
+        assert [g for g in got if g[0] != 100] == sorted((i, *brute_contamination(t, some)) for i, t in docs if i != 100)
+        assert [g[1:4] for g in got if g[0] == 100] == [(30_056, 30 + 26, 2 + (len(some) > 30))]
+    none = decontaminate.decontaminate(documents(spark, docs), spark.createDataFrame([], schema), most_bytes).collect()
+    assert len(none) == len(docs) and not any(r.n_hit or r.n_items or r.contaminated for r in none)
+
+
 def test_toxicity_learns_pairs_and_scores_held_out_rows(spark):
     """An insult counts only beside a group's name: no sum of single terms can tell."""
     rng = random.Random(5)
