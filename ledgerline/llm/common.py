@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,18 @@ from ..operators.store import scratch_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of a table's files up to which its rows are dealt out to all cores.
+SMALL_TABLE = 24 << 20
+#: Folders of scratch tables; those of an open `temporary` block are in a list of their own.
+_made: list[list[str]] = [[]]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table's rows. A small one, which may be a single row group and so a single task's, is dealt out."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL_TABLE:
+        return df
+    return df.repartition(spark.sparkContext.defaultParallelism)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -26,9 +37,42 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _made[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A block whose scratch tables are deleted at its end, but for those that a DataFrame passed to
+    what the block gets reads."""
+    kept: list[str] = []
+    _made.append([])
+
+    def keep(df: DataFrame) -> DataFrame:
+        files = df.inputFiles()
+        kept.extend(p for p in _made[-1] if any(f"/{p.rsplit('/', 1)[1]}/" in f for f in files))
+        return df
+
+    try:
+        yield keep
+    finally:
+        made = _made.pop()
+        _made[-1].extend(p for p in made if p in kept)
+        _delete(spark, [p for p in made if p not in kept])
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all scratch tables made so far; results that weren't written before can't be read any more."""
+    _delete(spark, _made[0])
+    _made[0].clear()
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def unused(docs: DataFrame, name: str) -> str:
     """A column name that docs doesn't have, in either case."""
     taken = {c.lower() for c in docs.columns}

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import dense_join
-from .common import WordHashes, batches, gram_hashes, materialize, unused, utf8
+from .common import WordHashes, batches, gram_hashes, materialize, temporary, unused, utf8
 from .components import components
 from .jaccard import Rule, verified
 
@@ -215,7 +215,8 @@ def links(docs: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
 def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     rows, found = classes(docs, rule)
-    label = components(links(docs, found, rule))
+    with temporary(docs.sparkSession) as keep:
+        label = keep(components(links(docs, found, rule)))
     named = found.select("node", "key", "first_id").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     of_key = named.join(least, "component").select("key", "component_id", F.lit(True).alias("known"))
@@ -233,7 +234,8 @@ def keep_one(docs: DataFrame, rule: Rule) -> DataFrame:
     A null id comes last. Rows with the same id and text are copies too. Texts without shingles stay.
     """
     rows, found = classes(docs, rule)
-    label = components(links(docs, found, rule))
+    with temporary(docs.sparkSession) as keep:
+        label = keep(components(links(docs, found, rule)))
     named = found.select("node", "key", "first_id", "place").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = named.groupBy("component").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("id"), F.col("place").alias("at"))).alias("best"))
     winners = named.join(best, "component").select("key", "best.id", "best.at")

@@ -4,7 +4,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.llm import decontaminate, lm, media, mixing, ngram_join, pii, secret_scan, substring_dedup, toxicity, warc
+from ledgerline.llm import common, decontaminate, lm, media, mixing, ngram_join, pii, secret_scan, substring_dedup, toxicity, warc
 
 LONG = " ".join(f"w{i}" for i in range(60))
 TEXTS = [
@@ -104,3 +104,21 @@ def test_pipeline_takes_empty_tables_and_clashing_columns(spark, tmp_path):
         benchmark_of(spark).limit(len(texts)).write.parquet(f"{at[name]}/benchmark.parquet")
     some, none = (corpus_pipeline.run(spark, at[k]) for k in ("some", "none"))
     assert 0 < some.count() < len(TEXTS) and none.count() == 0 and some.columns == none.columns
+
+
+def test_scratch_tables_go(spark, tmp_path, monkeypatch):
+    """Only the tables that the result reads outlive an n-gram join; clear_scratch deletes them as well."""
+    common.clear_scratch(spark)
+    monkeypatch.setattr(common, "scratch_dir", lambda spark: str(tmp_path))
+    out = ngram_join.join(docs_of(spark, TEXTS, False))
+    assert {p.name.split("-")[0] for p in tmp_path.iterdir()} == {"shingles", "classes", "labels"}
+    assert out.count() == len(TEXTS)
+    common.clear_scratch(spark)
+    assert not list(tmp_path.iterdir())
+
+
+def test_small_tables_are_dealt_out(spark, tmp_path, monkeypatch):
+    spark.range(50).coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
+    assert common.table(spark, str(tmp_path), "t").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(common, "SMALL_TABLE", 0)
+    assert common.table(spark, str(tmp_path), "t").rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
