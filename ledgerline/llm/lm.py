@@ -64,7 +64,8 @@ def _blocks(doc_id_type: pa.DataType):
                     texts = own.column("text").to_pylist()
                     lengths = np.array([len(t) for t in texts], np.int64)
                     row = [
-                        pa.array([uuid.uuid4().hex]), pa.array([deleted]), pa.array([own.column("doc_id").to_pylist()], pa.list_(doc_id_type)), pa.array([own.column("part").to_pylist()], pa.list_(pa.int32())),
+                        pa.array([uuid.uuid4().hex]), pa.array([deleted]),
+                        pa.array([own.column("doc_id").to_pylist()], pa.list_(doc_id_type)), pa.array([own.column("part").to_pylist()], pa.list_(pa.int32())),
                         pa.array([_pack(lengths)], pa.binary()), pa.array([zstandard.compress(b"".join(texts), 3)], pa.binary()),
                     ]
                     yield pa.RecordBatch.from_arrays(row, ["block", "deleted", "doc_ids", "parts", "lengths", "packed"])
@@ -129,8 +130,12 @@ def _requests(owners: int):
                     keys, counts = block.keys[kind][order], counts[order]
                     cut = [(keys[bounds[o] : bounds[o + 1]], counts[bounds[o] : bounds[o + 1]]) for o in own]
                     n = len(own)
+                    packed_keys, packed_counts = ([f(x) for x in part] for f, part in zip((np.ndarray.tobytes, _pack_counts), zip(*cut)))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(own, pa.int32()), pa.array([kind] * n), pa.array([name] * n), pa.array([deleted] * n), pa.array([k.tobytes() for k, _ in cut], pa.binary()), pa.array([_pack_counts(c) for _, c in cut], pa.binary())],
+                        [
+                            pa.array(own, pa.int32()), *(pa.array([x] * n) for x in (kind, name, deleted)),
+                            pa.array(packed_keys, pa.binary()), pa.array(packed_counts, pa.binary()),
+                        ],
                         ["owner", "kind", "block", "deleted", "keys", "counts"],
                     )
 
@@ -276,11 +281,13 @@ def score(docs: DataFrame, parts: int = 10) -> DataFrame:
     sums = answers.where("kind = 'word' and stats is not null").agg(*[F.sum(F.col("stats")[i]) for i in range(4)]).first()
     n, v, n_kept, v_kept = (x or 0 for x in sums)
     given = answers.where("stats is null")
-    held = blocks.where("deleted").groupBy("block").cogroup(given.where("deleted").groupBy("block")).applyInArrow(_histogram(owners, n_kept, v_kept), "bucket bigint, pair bigint, word bigint, tokens bigint, pair_log double, word_log double")
+    both = blocks.where("deleted").groupBy("block").cogroup(given.where("deleted").groupBy("block"))
+    held = both.applyInArrow(_histogram(owners, n_kept, v_kept), "bucket bigint, pair bigint, word bigint, tokens bigint, pair_log double, word_log double")
     cells = held.groupBy("bucket", "pair", "word").agg(*[F.sum(c) for c in ("tokens", "pair_log", "word_log")]).orderBy("bucket", "pair", "word").collect()
     table = np.array([(c[0], c[3], c[4] / c[3], c[5] / c[3]) for c in cells], np.float64).reshape(-1, 4).T
     weights = fit_weights(table[0].astype(np.int64), table[2:], table[1], v_kept)
     if not n:  # nothing to estimate from: all weight is the uniform one's
         weights = np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
-    scored = blocks.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(_scores(owners, n, v, weights, arrow_kind), f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    fields = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+    scored = blocks.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(_scores(owners, n, v, weights, arrow_kind), fields)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")

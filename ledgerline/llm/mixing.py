@@ -58,7 +58,7 @@ def targets(sources: DataFrame, share: float = 1.5, most: float = 2.0, weights:
 
     Targets are in proportion to the weights and sum to `share` of all sizes; one that would exceed
     `most` times its source's size stops there, and the excess is shared anew. Each turn of the loop
-    is one sum over the sources and caps at least one more of them.
+    is one sum over the sources and caps at least one more of them, mostly many: a few turns do.
     """
     n = len(weights)
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("place") % n + 1).cast("int"))
@@ -102,9 +102,8 @@ def plan(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = SEE
     """
     sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"))
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("source", F.lit("-")), "size"))
-    thin = materialize(
-        sized.select("doc_id", F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source"), "size", key.alias("_h")).withColumn("_bucket", F.substring("_h", 1, 3)), "sizes"
-    )
+    named = F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source")
+    thin = materialize(sized.select("doc_id", *named, "size", key.alias("_h")).withColumn("_bucket", F.substring("_h", 1, 3)), "sizes")
     by = ["no_source", "source"]
     buckets = thin.groupBy(*by, "_bucket").agg(F.sum("size").alias("_words"))
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -120,7 +119,10 @@ def plan(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = SEE
         return took, F.when(took > 0, time_of(begin / F.col("target"), F.col("kind")))
 
     (once, first), (twice, second) = use(0), use(1)
-    rows = placed.select("doc_id", F.when(~F.col("no_source"), F.col("source")).alias("source"), "size", "source_size", "target", (once + twice).alias("taken"), first.alias("position"), second.alias("repeat_position"))
+    rows = placed.select(
+        "doc_id", F.when(~F.col("no_source"), F.col("source")).alias("source"), "size", "source_size", "target",
+        (once + twice).alias("taken"), first.alias("position"), second.alias("repeat_position"),
+    )
     return rows.orderBy(F.asc_nulls_last("position"), "doc_id", "size")
 
 

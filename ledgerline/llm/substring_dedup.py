@@ -91,7 +91,8 @@ def _places(words: int):
             taken = b.select(["k1", "k2", "doc_id"]).take(pa.array(row[at]))
             k1 = taken.column("k1").to_numpy()
             route = np.where(kind == SETTLED, k1 ^ start[at], minimiser[at])
-            columns = (route, kind, minimiser[at], np.full(len(at), number), k1, taken.column("k2").to_numpy(), taken.column("doc_id"), start[at].astype(np.int32), n[at].astype(np.int32), count[at].astype(np.int32))
+            narrow = (x[at].astype(np.int32) for x in (start, n, count))
+            columns = (route, kind, minimiser[at], np.full(len(at), number), k1, taken.column("k2").to_numpy(), taken.column("doc_id"), *narrow)
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["route", "kind", "minimiser", "batch", "k1", "k2", "doc_id", "start", "n", "count"])
 
     return run
@@ -157,7 +158,10 @@ def _window_rows(rows: list[tuple[int, int, list[bytes]]], words: int) -> tuple[
 
 
 _CUT = "route bigint, kind int, packed binary, d1 bigint, d2 bigint, text_no bigint, start int, count int"
-_CUT_ARROW = pa.schema([("route", pa.int64()), ("kind", pa.int32()), ("packed", pa.binary()), ("d1", pa.int64()), ("d2", pa.int64()), ("text_no", pa.int64()), ("start", pa.int32()), ("count", pa.int32())])
+_CUT_ARROW = pa.schema([
+    ("route", pa.int64()), ("kind", pa.int32()), ("packed", pa.binary()), ("d1", pa.int64()), ("d2", pa.int64()),
+    ("text_no", pa.int64()), ("start", pa.int32()), ("count", pa.int32()),
+])
 
 
 def _cut(words: int):
@@ -181,7 +185,9 @@ def _cut(words: int):
             if packed:
                 m, number, start, strings = zip(*packed)
                 zero = pa.array(np.zeros(len(m), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(np.full(len(m), OPEN, np.int32)), pa.array(strings, pa.binary()), zero, zero, pa.array(number, pa.int64()), pa.array(start, pa.int32()), pa.array(np.ones(len(m), np.int32))], schema=_CUT_ARROW)
+                kind, count = pa.array(np.full(len(m), OPEN, np.int32)), pa.array(np.ones(len(m), np.int32))
+                columns = [pa.array(m, pa.int64()), kind, pa.array(strings, pa.binary()), zero, zero, pa.array(number, pa.int64()), pa.array(start, pa.int32()), count]
+                yield pa.RecordBatch.from_arrays(columns, schema=_CUT_ARROW)
             if hot:
                 d1, d2, number, start = _window_rows(hot, words)
                 kind, count, marks = _settle(d1, np.zeros(len(d1), bool))
@@ -268,7 +274,8 @@ def deduplicate(docs: DataFrame, words: int = 35) -> DataFrame:
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
             tokens = [t.split() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k1"), b.column("k2"), pa.array([len(t) for t in tokens], pa.int64()), pa.array([_sha(t) for t in tokens])], ["doc_id", "k1", "k2", "n_words", "sha"])
+            columns = [*(b.column(c) for c in ("doc_id", "k1", "k2")), pa.array([len(t) for t in tokens], pa.int64()), pa.array([_sha(t) for t in tokens], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "n_words", "sha"])
 
     plain = materialize(rows.mapInArrow(count, f"doc_id {kind}, k1 bigint, k2 bigint, n_words bigint, sha string"), "words")
     texts, starts = repeated(docs, words)

@@ -121,7 +121,12 @@ def _chosen_rows(model: Model):
 def association(n: int, n_positive: int) -> Column:
     """Log-likelihood ratio of a term's presence and the label, from the columns present and positive."""
     present, positive = F.col("present"), F.col("positive")
-    cells = [(positive, present, n_positive), (present - positive, present, n - n_positive), (n_positive - positive, n - present, n_positive), (n - n_positive - present + positive, n - present, n - n_positive)]
+    cells = [
+        (positive, present, n_positive),
+        (present - positive, present, n - n_positive),
+        (n_positive - positive, n - present, n_positive),
+        (n - n_positive - present + positive, n - present, n - n_positive),
+    ]
     parts = [F.when(o > 0, o * F.log(o * float(n) / (r * float(k)))).otherwise(0.0) for o, r, k in cells if k]
     return sum(parts[1:], parts[0])
 
@@ -229,7 +234,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         rows = _Rows(model)
         for b in it:
             scores = [rows.score(text) for text in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores, pa.float64()), pa.array([int(x >= model.settings.threshold) for x in scores], pa.int32())], ["doc_id", "score", "predicted"])
+            predicted = pa.array([int(x >= model.settings.threshold) for x in scores], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores, pa.float64()), predicted], ["doc_id", "score", "predicted"])
 
     rows = docs.select("doc_id", utf8(F.col("text")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
