@@ -34,7 +34,10 @@ def new_records(batch: DataFrame, master: DataFrame, key: str, master_key: str)
     return batch.join(known, F.col(key) == F.col("_key"), "left_anti")
 
 
-def ingest_new(batch: DataFrame, master: DataFrame, as_of: datetime.date, id_column: str = "FHRSID", master_id: str = "fhrsid", order: tuple[str, ...] = ("call_ordinal", "pos"), names: list[str] | None = None) -> DataFrame:
+def ingest_new(
+    batch: DataFrame, master: DataFrame, as_of: datetime.date, id_column: str = "FHRSID", master_id: str = "fhrsid",
+    order: tuple[str, ...] = ("call_ordinal", "pos"), names: list[str] | None = None,
+) -> DataFrame:
     """The batch's records that master lacks, once each, with audit columns and the kept columns only.
 
     Ids become canonical; null ids drop out; of equal ids the first in order stays.
