@@ -49,9 +49,18 @@ def _number(x: str) -> str:
     return rf"CASE WHEN regexp_full_match({x}, '\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*') THEN TRY_CAST(trim({x}) AS DOUBLE) END"
 
 
-RAW_ID = "CASE {0} % 8 WHEN 0 THEN concat('00', {0}) WHEN 1 THEN concat(' ', {0}, ' ') WHEN 2 THEN concat('+', {0}) WHEN 3 THEN concat({0}, '.0') WHEN 4 THEN concat('1_', {0}) WHEN 5 THEN concat('A', {0}) WHEN 6 THEN '-00' ELSE CAST({0} AS {1}) END"
-RAW_NUMBER = "CASE {0} % 9 WHEN 0 THEN '1d' WHEN 1 THEN 'nan' WHEN 2 THEN '' WHEN 3 THEN '0x10' WHEN 4 THEN concat({0}, '.5') WHEN 5 THEN concat({0}, 'e2') WHEN 6 THEN ' 7 ' WHEN 7 THEN concat({0}, '.0') ELSE NULL END"
-BATCH_ID = "CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 3 = 0 THEN concat('00', user_id) WHEN event_id % 3 = 1 THEN concat(' ', user_id, ' ') ELSE CAST(user_id AS {0}) END"
+RAW_ID = (
+    "CASE {0} % 8 WHEN 0 THEN concat('00', {0}) WHEN 1 THEN concat(' ', {0}, ' ') WHEN 2 THEN concat('+', {0}) WHEN 3 THEN concat({0}, '.0') WHEN 4 "
+    "THEN concat('1_', {0}) WHEN 5 THEN concat('A', {0}) WHEN 6 THEN '-00' ELSE CAST({0} AS {1}) END"
+)
+RAW_NUMBER = (
+    "CASE {0} % 9 WHEN 0 THEN '1d' WHEN 1 THEN 'nan' WHEN 2 THEN '' WHEN 3 THEN '0x10' WHEN 4 THEN concat({0}, '.5') WHEN 5 THEN concat({0}, 'e2') "
+    "WHEN 6 THEN ' 7 ' WHEN 7 THEN concat({0}, '.0') ELSE NULL END"
+)
+BATCH_ID = (
+    "CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 3 = 0 THEN concat('00', user_id) WHEN event_id % 3 = 1 THEN concat(' ', user_id, ' ') "
+    "ELSE CAST(user_id AS {0}) END"
+)
 EVENT_BATCH = f"(SELECT {_canon('raw')} AS id, event_type, event_id FROM (SELECT {BATCH_ID.format('VARCHAR')} AS raw, event_type, event_id FROM events))"
 EVEN = "(SELECT CAST(c_custkey AS VARCHAR) AS id FROM customer WHERE c_custkey % 2 = 0)"
 
@@ -59,7 +68,10 @@ EVEN = "(SELECT CAST(c_custkey AS VARCHAR) AS id FROM customer WHERE c_custkey %
 def _events(spark, sf_dir) -> DataFrame:
     """Events as a batch of incoming records: raw ids, some null, and their order."""
     e = _t(spark, sf_dir, "events")
-    return e.select(F.expr(BATCH_ID.format("STRING")).alias("FHRSID"), F.col("event_type").alias("BusinessName"), F.col("event_id").alias("pos"), F.lit(0).alias("call_ordinal"))
+    return e.select(
+        F.expr(BATCH_ID.format("STRING")).alias("FHRSID"), F.col("event_type").alias("BusinessName"), F.col("event_id").alias("pos"),
+        F.lit(0).alias("call_ordinal"),
+    )
 
 
 def _even_customers(spark, sf_dir) -> DataFrame:
@@ -93,7 +105,9 @@ def valid_ids(spark, sf_dir):
 @query(f"SELECT id, event_type, event_id FROM {EVENT_BATCH} b WHERE id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {EVEN} m WHERE m.id = b.id)")
 def new_records(spark, sf_dir):
     batch = ingest.valid_ids(_events(spark, sf_dir), "FHRSID").withColumn("FHRSID", coerce.canonical_id(F.col("FHRSID")))
-    return ingest.new_records(batch, _even_customers(spark, sf_dir), "FHRSID", "fhrsid").select(F.col("FHRSID").alias("id"), F.col("BusinessName").alias("event_type"), F.col("pos").alias("event_id"))
+    return ingest.new_records(batch, _even_customers(spark, sf_dir), "FHRSID", "fhrsid").select(
+        F.col("FHRSID").alias("id"), F.col("BusinessName").alias("event_type"), F.col("pos").alias("event_id"),
+    )
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE n = 1")
@@ -101,7 +115,10 @@ def first_wins(spark, sf_dir):
     return ingest.first_wins(_t(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
 
 
-_NEW = f"SELECT id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY event_id) AS n FROM {EVENT_BATCH} WHERE id IS NOT NULL) b WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM {EVEN} m WHERE m.id = b.id)"
+_NEW = (
+    f"SELECT id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY event_id) AS n FROM {EVENT_BATCH} WHERE id IS NOT "
+    f"NULL) b WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM {EVEN} m WHERE m.id = b.id)"
+)
 _NONE = "CAST(NULL AS VARCHAR)"
 
 
@@ -125,7 +142,10 @@ def ingest_summary(spark, sf_dir):
 )
 def keep_columns(spark, sf_dir):
     c = _t(spark, sf_dir, "customer")
-    return flatten.keep(c.select(F.col("c_custkey").cast("string").alias("FHRSID"), F.col("c_name").alias("BusinessName"), F.col("c_mktsegment").alias("LocalAuthorityName"), F.col("c_acctbal").alias("extra")))
+    return flatten.keep(c.select(
+        F.col("c_custkey").cast("string").alias("FHRSID"), F.col("c_name").alias("BusinessName"), F.col("c_mktsegment").alias("LocalAuthorityName"),
+        F.col("c_acctbal").alias("extra"),
+    ))
 
 
 @query('SELECT p_partkey AS part_key, p_name AS name, p_brand AS scoreshygiene, p_type AS post_code, p_size AS a___b, p_retailprice AS xml FROM part')
@@ -136,7 +156,10 @@ def sanitize_names(spark, sf_dir):
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS \"p.k\", event_type AS \"p.more.type\" FROM events")
 def json_flatten(spark, sf_dir):
     e = _t(spark, sf_dir, "events")
-    nested = e.select("event_id", F.struct(F.from_json("props", "k bigint").getField("k").alias("k"), F.struct(F.col("event_type").alias("type")).alias("more")).alias("p"))
+    nested = e.select(
+        "event_id",
+        F.struct(F.from_json("props", "k bigint").getField("k").alias("k"), F.struct(F.col("event_type").alias("type")).alias("more")).alias("p"),
+    )
     return flatten.flatten(nested)
 
 
@@ -169,7 +192,10 @@ def fetch_union(spark, sf_dir):
     before = Window.partitionBy(_nation("call_ordinal")).orderBy("call_ordinal").rowsBetween(Window.unboundedPreceding, -1)
     starts = records.record_count(responses).select("call_ordinal", F.coalesce(F.sum("n_results").over(before), F.lit(0)).alias("start"))
     rows = records.parse(responses).join(starts, "call_ordinal")
-    return rows.select(_nation("call_ordinal").alias("call_ordinal"), (F.col("start") + F.col("pos")).cast("int").alias("pos"), F.lit(False).alias("skipped"), "FHRSID", "BusinessName")
+    return rows.select(
+        _nation("call_ordinal").alias("call_ordinal"), (F.col("start") + F.col("pos")).cast("int").alias("pos"), F.lit(False).alias("skipped"),
+        "FHRSID", "BusinessName",
+    )
 
 
 @query("SELECT c_nationkey AS call_ordinal, count(*)::BIGINT AS n_results FROM customer GROUP BY 1")
@@ -259,10 +285,17 @@ _PROMPT = "concat('About ', {0}, ' in ', {1}, ' ', {2}, ' ', {3}, ' ', {4}, '" +
 @query("SELECT p_partkey, " + _PROMPT.format("p_name", "coalesce(nullif(p_brand, 'Brand#11'), '')", "p_type", "''", "CAST(p_size AS VARCHAR)") + " AS prompt FROM part")
 def build_prompt(spark, sf_dir):
     p = _t(spark, sf_dir, "part")
-    return p.select("p_partkey", insights.build_prompt("About ", F.col("p_name"), F.expr("nullif(p_brand, 'Brand#11')"), F.col("p_type"), F.lit(None), F.col("p_size")).alias("prompt"))
+    return p.select(
+        "p_partkey",
+        insights.build_prompt("About ", F.col("p_name"), F.expr("nullif(p_brand, 'Brand#11')"), F.col("p_type"), F.lit(None), F.col("p_size")).alias("prompt"),
+    )
 
 
-_STAGED = "SELECT CAST(c_custkey AS VARCHAR) AS fhrsid, c_name AS businessname, c_mktsegment AS addressline1, CAST(NULL AS {0}) AS addressline2, '' AS addressline3, CAST(c_nationkey AS {0}) AS postcode, CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'known' END AS gemini_insights FROM customer"
+_STAGED = (
+    "SELECT CAST(c_custkey AS VARCHAR) AS fhrsid, c_name AS businessname, c_mktsegment AS addressline1, CAST(NULL AS {0}) AS addressline2, '' AS "
+    "addressline3, CAST(c_nationkey AS {0}) AS postcode, CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'known' END AS gemini_insights "
+    "FROM customer"
+)
 
 
 @query(
@@ -271,16 +304,29 @@ _STAGED = "SELECT CAST(c_custkey AS VARCHAR) AS fhrsid, c_name AS businessname,
 def insight_pipeline(spark, sf_dir):
     c = _t(spark, sf_dir, "customer")
     known = F.expr("CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'known' END")
-    staged = c.select(F.col("c_custkey").cast("string").alias("fhrsid"), F.col("c_name").alias("businessname"), F.col("c_mktsegment").alias("addressline1"), F.lit(None).cast("string").alias("addressline2"), F.lit("").alias("addressline3"), F.col("c_nationkey").cast("string").alias("postcode"), known.alias("gemini_insights"))
+    staged = c.select(
+        F.col("c_custkey").cast("string").alias("fhrsid"), F.col("c_name").alias("businessname"), F.col("c_mktsegment").alias("addressline1"),
+        F.lit(None).cast("string").alias("addressline2"), F.lit("").alias("addressline3"), F.col("c_nationkey").cast("string").alias("postcode"),
+        known.alias("gemini_insights"),
+    )
     return insights.insight_pipeline(staged, store.scratch_table(spark, "insights"), "About ")
 
 
 def _new_customers(spark, sf_dir) -> DataFrame:
     c = _t(spark, sf_dir, "customer")
-    return flatten.keep(c.select(F.col("c_custkey").cast("string").alias("FHRSID"), F.col("c_name").alias("BusinessName"), F.col("c_acctbal").cast("string").alias("RatingValue"), F.expr("CASE c_custkey % 3 WHEN 0 THEN 'TRUE' WHEN 1 THEN 'no' ELSE 'false' END").alias("NewRatingPending"), F.lit(DAY).alias("first_seen"), F.lit(schemas.NOT_REVIEWED).alias("manual_review")))
-
-
-_APPENDED = f"SELECT CAST(c_custkey AS VARCHAR) AS fhrsid, c_name AS businessname, {_NONE} AS addressline1, {_NONE} AS addressline2, {_NONE} AS addressline3, {_NONE} AS postcode, CAST(c_acctbal AS VARCHAR) AS ratingvalue, {_NONE} AS localauthorityname, CASE c_custkey % 3 WHEN 0 THEN TRUE WHEN 2 THEN FALSE END AS newratingpending, DATE '2001-08-01' AS first_seen, 'not reviewed' AS manual_review FROM customer"
+    return flatten.keep(c.select(
+        F.col("c_custkey").cast("string").alias("FHRSID"), F.col("c_name").alias("BusinessName"),
+        F.col("c_acctbal").cast("string").alias("RatingValue"),
+        F.expr("CASE c_custkey % 3 WHEN 0 THEN 'TRUE' WHEN 1 THEN 'no' ELSE 'false' END").alias("NewRatingPending"), F.lit(DAY).alias("first_seen"),
+        F.lit(schemas.NOT_REVIEWED).alias("manual_review"),
+    ))
+
+
+_APPENDED = (
+    f"SELECT CAST(c_custkey AS VARCHAR) AS fhrsid, c_name AS businessname, {_NONE} AS addressline1, {_NONE} AS addressline2, {_NONE} AS "
+    f"addressline3, {_NONE} AS postcode, CAST(c_acctbal AS VARCHAR) AS ratingvalue, {_NONE} AS localauthorityname, CASE c_custkey % 3 WHEN 0 THEN "
+    f"TRUE WHEN 2 THEN FALSE END AS newratingpending, DATE '2001-08-01' AS first_seen, 'not reviewed' AS manual_review FROM customer"
+)
 
 
 @query(_APPENDED)
@@ -297,11 +343,18 @@ def append_readback(spark, sf_dir):
     return table.read()
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS fhrsid, p_name AS businessname, TRY_CAST(CASE WHEN p_size % 2 = 0 THEN CAST(p_retailprice AS VARCHAR) END AS DOUBLE) AS geocodelatitude, p_size % 2 = 0 AS newratingpending FROM part")
+@query(
+    "SELECT CAST(p_partkey AS VARCHAR) AS fhrsid, p_name AS businessname, TRY_CAST(CASE WHEN p_size % 2 = 0 THEN CAST(p_retailprice AS VARCHAR) END "
+    "AS DOUBLE) AS geocodelatitude, p_size % 2 = 0 AS newratingpending FROM part"
+)
 def write_truncate_readback(spark, sf_dir):
     p = _t(spark, sf_dir, "part")
     even = F.col("p_size") % 2 == 0
-    rows = p.select(F.col("p_partkey").alias("fhrsid"), F.col("p_name").alias("BusinessName"), F.when(even, F.col("p_retailprice").cast("string")).otherwise("n/a").alias("Geocode.Latitude"), F.when(even, "True").otherwise("FALSE").alias("NewRatingPending"), F.lit(1).alias("dropped"))
+    rows = p.select(
+        F.col("p_partkey").alias("fhrsid"), F.col("p_name").alias("BusinessName"),
+        F.when(even, F.col("p_retailprice").cast("string")).otherwise("n/a").alias("Geocode.Latitude"),
+        F.when(even, "True").otherwise("FALSE").alias("NewRatingPending"), F.lit(1).alias("dropped"),
+    )
     table = store.scratch_table(spark, "truncate")
     for df in (rows.limit(3), rows):  # the second write replaces the first
         store.write_table(table, df, rows.columns[:4])
@@ -315,25 +368,43 @@ def ctas_readback(spark, sf_dir):
     return table.read()
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS fhrsid, p_name AS businessname, CAST(p_size AS BIGINT) AS scoreshygiene, CAST(p_size AS VARCHAR) AS scoresstructural, p_retailprice AS geocodelatitude, CASE WHEN p_size % 2 = 0 THEN DATE '2001-08-01' END AS first_seen FROM part")
+@query(
+    "SELECT CAST(p_partkey AS VARCHAR) AS fhrsid, p_name AS businessname, CAST(p_size AS BIGINT) AS scoreshygiene, CAST(p_size AS VARCHAR) AS "
+    "scoresstructural, p_retailprice AS geocodelatitude, CASE WHEN p_size % 2 = 0 THEN DATE '2001-08-01' END AS first_seen FROM part"
+)
 def full_write_projection(spark, sf_dir):
     p = _t(spark, sf_dir, "part")
     size = F.col("p_size").cast("string")
-    nested = p.select(F.col("p_partkey").alias("FHRSID"), F.col("p_name").alias("BusinessName"), F.struct(size.alias("Hygiene"), size.alias("Structural")).alias("Scores"), F.struct(F.col("p_retailprice").cast("string").alias("Latitude")).alias("Geocode"), F.expr("CASE WHEN p_size % 2 = 0 THEN '2001-08-01' ELSE 'soon' END").alias("first_seen"))
+    nested = p.select(
+        F.col("p_partkey").alias("FHRSID"), F.col("p_name").alias("BusinessName"),
+        F.struct(size.alias("Hygiene"), size.alias("Structural")).alias("Scores"),
+        F.struct(F.col("p_retailprice").cast("string").alias("Latitude")).alias("Geocode"),
+        F.expr("CASE WHEN p_size % 2 = 0 THEN '2001-08-01' ELSE 'soon' END").alias("first_seen"),
+    )
     return flatten.full_write_projection(nested)
 
 
-_CHANGES = "(SELECT *, CASE WHEN o_orderkey % 5 = 0 THEN 'bad' ELSE CAST(o_custkey AS VARCHAR) END AS balance, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE concat(o_orderpriority, '''') END AS segment FROM orders WHERE o_orderkey % 3 = 0)"
+_CHANGES = (
+    "(SELECT *, CASE WHEN o_orderkey % 5 = 0 THEN 'bad' ELSE CAST(o_custkey AS VARCHAR) END AS balance, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE "
+    "concat(o_orderpriority, '''') END AS segment FROM orders WHERE o_orderkey % 3 = 0)"
+)
 
 
 def _changes(spark, sf_dir) -> DataFrame:
     o = _t(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
-    return o.select(F.concat(F.lit("0"), "o_custkey").alias("c_custkey"), F.expr("CASE WHEN o_orderkey % 5 = 0 THEN 'bad' ELSE CAST(o_custkey AS STRING) END").alias("c_acctbal"), F.expr("CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE concat(o_orderpriority, '\\'') END").alias("c_mktsegment"), F.col("o_orderkey").alias("csv_ordinal"))
+    return o.select(
+        F.concat(F.lit("0"), "o_custkey").alias("c_custkey"),
+        F.expr("CASE WHEN o_orderkey % 5 = 0 THEN 'bad' ELSE CAST(o_custkey AS STRING) END").alias("c_acctbal"),
+        F.expr("CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE concat(o_orderpriority, '\\'') END").alias("c_mktsegment"),
+        F.col("o_orderkey").alias("csv_ordinal"),
+    )
 
 
 @query(
-    f"SELECT c_custkey, c_name, c_nationkey, CASE WHEN o_custkey IS NULL THEN c_acctbal ELSE CAST(balance AS DOUBLE) END AS c_acctbal, CASE WHEN o_custkey IS NULL THEN c_mktsegment ELSE replace(segment, '''', '') END AS c_mktsegment "
-    f"FROM customer LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM {_CHANGES} WHERE balance <> 'bad') WHERE n = 1) ON c_custkey = o_custkey"
+    f"SELECT c_custkey, c_name, c_nationkey, CASE WHEN o_custkey IS NULL THEN c_acctbal ELSE CAST(balance AS DOUBLE) END AS c_acctbal, CASE WHEN "
+    f"o_custkey IS NULL THEN c_mktsegment ELSE replace(segment, '''', '') END AS c_mktsegment "
+    f"FROM customer LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM {_CHANGES} "
+    f"WHERE balance <> 'bad') WHERE n = 1) ON c_custkey = o_custkey"
 )
 def update_overlay(spark, sf_dir):
     return updates.update_overlay(_t(spark, sf_dir, "customer"), _changes(spark, sf_dir), "c_custkey")
@@ -344,27 +415,39 @@ def update_summary(spark, sf_dir):
     return updates.update_summary(_changes(spark, sf_dir), _t(spark, sf_dir, "customer"), "c_custkey")
 
 
-_LINES = "CASE s_suppkey % 6 WHEN 0 THEN '' WHEN 1 THEN 'a,b' WHEN 2 THEN '1' WHEN 3 THEN '1,2,3' WHEN 4 THEN concat(s_acctbal, ', ', s_nationkey) ELSE concat('-', s_nationkey, '.5,', s_suppkey) END"
+_LINES = (
+    "CASE s_suppkey % 6 WHEN 0 THEN '' WHEN 1 THEN 'a,b' WHEN 2 THEN '1' WHEN 3 THEN '1,2,3' WHEN 4 THEN concat(s_acctbal, ', ', s_nationkey) ELSE "
+    "concat('-', s_nationkey, '.5,', s_suppkey) END"
+)
 
 
 @query(
-    f"SELECT s_suppkey, line, CASE WHEN s_suppkey % 6 > 3 THEN TRY_CAST(trim(split_part(line, ',', 1)) AS DOUBLE) END AS longitude, CASE WHEN s_suppkey % 6 > 3 THEN TRY_CAST(trim(split_part(line, ',', 2)) AS DOUBLE) END AS latitude, s_suppkey % 6 > 3 AS ok FROM (SELECT s_suppkey, {_LINES} AS line FROM supplier) WHERE line <> ''"
+    f"SELECT s_suppkey, line, CASE WHEN s_suppkey % 6 > 3 THEN TRY_CAST(trim(split_part(line, ',', 1)) AS DOUBLE) END AS longitude, CASE WHEN "
+    f"s_suppkey % 6 > 3 THEN TRY_CAST(trim(split_part(line, ',', 2)) AS DOUBLE) END AS latitude, s_suppkey % 6 > 3 AS ok FROM (SELECT s_suppkey, "
+    f"{_LINES} AS line FROM supplier) WHERE line <> ''"
 )
 def parse_coordinates(spark, sf_dir):
     return uploads.parse_coordinates(_t(spark, sf_dir, "supplier").select("s_suppkey", F.expr(_LINES).alias("line")))
 
 
-_PATHS = "CASE n_nationkey % 5 WHEN 0 THEN concat('p.', n_name) WHEN 1 THEN concat('p..', n_name) WHEN 2 THEN '' WHEN 3 THEN concat('.d.', n_name) ELSE concat('p.d.', n_name) END"
+_PATHS = (
+    "CASE n_nationkey % 5 WHEN 0 THEN concat('p.', n_name) WHEN 1 THEN concat('p..', n_name) WHEN 2 THEN '' WHEN 3 THEN concat('.d.', n_name) ELSE "
+    "concat('p.d.', n_name) END"
+)
 
 
-@query(f"SELECT n_nationkey, path, len(string_split(path, '.')) = 3 AND NOT list_contains(string_split(path, '.'), '') AS valid FROM (SELECT n_nationkey, {_PATHS} AS path FROM nation)")
+@query(
+    f"SELECT n_nationkey, path, len(string_split(path, '.')) = 3 AND NOT list_contains(string_split(path, '.'), '') AS valid FROM (SELECT "
+    f"n_nationkey, {_PATHS} AS path FROM nation)"
+)
 def path_validate(spark, sf_dir):
     paths = _t(spark, sf_dir, "nation").select("n_nationkey", F.expr(_PATHS).alias("path"))
     return paths.withColumn("valid", store.is_table_path(F.col("path")))
 
 
 @query(
-    "SELECT * FROM (VALUES ('l_orderkey', 'INTEGER'), ('l_partkey', 'INTEGER'), ('l_suppkey', 'INTEGER'), ('l_linenumber', 'INTEGER'), ('l_quantity', 'FLOAT'), ('l_extendedprice', 'FLOAT'), ('l_discount', 'FLOAT'), ('l_tax', 'FLOAT'), "
+    "SELECT * FROM (VALUES ('l_orderkey', 'INTEGER'), ('l_partkey', 'INTEGER'), ('l_suppkey', 'INTEGER'), ('l_linenumber', 'INTEGER'), "
+    "('l_quantity', 'FLOAT'), ('l_extendedprice', 'FLOAT'), ('l_discount', 'FLOAT'), ('l_tax', 'FLOAT'), "
     "('l_returnflag', 'STRING'), ('l_linestatus', 'STRING'), ('l_shipdate', 'TIMESTAMP')) t(name, type)"
 )
 def infer_schema(spark, sf_dir):
@@ -393,7 +476,8 @@ def table_rows(spark, sf_dir):
 
 
 _LONGS = (
-    "CASE p_partkey % 6 WHEN 0 THEN concat('900719925474', 1000000 + p_partkey) WHEN 1 THEN concat('900719925474', 1000000 + p_partkey, '.0') WHEN 2 THEN concat('900719925474', 1000000 + p_partkey, '.5') "
+    "CASE p_partkey % 6 WHEN 0 THEN concat('900719925474', 1000000 + p_partkey) WHEN 1 THEN concat('900719925474', 1000000 + p_partkey, '.0') WHEN "
+    "2 THEN concat('900719925474', 1000000 + p_partkey, '.5') "
     "WHEN 3 THEN '9223372036854775807' WHEN 4 THEN '-9223372036854775809' ELSE concat(' +', p_partkey, ' ') END"
 )
 
@@ -413,9 +497,14 @@ def nan_values(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", coerce.nan_to_null(price).alias("price"))
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS fhrsid, o_orderstatus AS business_name, o_orderdate AS first_seen FROM orders WHERE date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-08-01') < 30")
+@query(
+    "SELECT CAST(o_orderkey AS VARCHAR) AS fhrsid, o_orderstatus AS business_name, o_orderdate AS first_seen FROM orders WHERE date_diff('day', "
+    "CAST(o_orderdate AS DATE), DATE '2001-08-01') < 30"
+)
 def staged_readback(spark, sf_dir):
-    rows = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fhrsid"), F.col("o_orderstatus").alias("Business Name"), F.col("o_orderdate").alias("first_seen"))
+    rows = _t(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("fhrsid"), F.col("o_orderstatus").alias("Business Name"), F.col("o_orderdate").alias("first_seen"),
+    )
     table = store.scratch_table(spark, "staged")
     recent.stage(recent.recent_rows(rows, 30, DAY), table)
     return table.read()
@@ -459,7 +548,8 @@ def _pages(spark, sf_dir):
 
 @query(
     "SELECT CAST(c_custkey AS VARCHAR) AS fhrsid, c_name AS businessname, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS addressline1, "
-    "CASE WHEN c_custkey % 2 = 0 THEN DATE '2001-08-01' - CAST(c_custkey % 20 AS INTEGER) ELSE DATE '2001-08-01' END AS first_seen, 'not reviewed' AS manual_review FROM customer"
+    "CASE WHEN c_custkey % 2 = 0 THEN DATE '2001-08-01' - CAST(c_custkey % 20 AS INTEGER) ELSE DATE '2001-08-01' END AS first_seen, 'not reviewed' "
+    "AS manual_review FROM customer"
 )
 def fetch_workflow(spark, sf_dir):
     known = _master_rows(spark, sf_dir).where(F.col("fhrsid").cast("bigint") % 2 == 0).drop("gemini_insights").withColumn("manual_review", F.lit(schemas.NOT_REVIEWED))
@@ -481,7 +571,8 @@ def recent_workflow(spark, sf_dir):
 
 @query(
     "SELECT CAST(c_custkey AS VARCHAR) AS fhrsid, CASE WHEN c_custkey % 5 = 0 THEN c_name ELSE concat(c_name, ' and sons') END AS businessname, "
-    "CASE WHEN c_custkey % 5 = 0 THEN c_mktsegment END AS addressline1, CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 2 = 0 END AS newratingpending FROM customer"
+    "CASE WHEN c_custkey % 5 = 0 THEN c_mktsegment END AS addressline1, CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 2 = 0 END AS newratingpending "
+    "FROM customer"
 )
 def csv_workflow(spark, sf_dir):
     """Every row of the master has two changes in the file, of which each fifth key's fail."""
