@@ -61,11 +61,14 @@ def links(sets: DataFrame, held: DataFrame, known: DataFrame, rule: Rule) -> Dat
     least = facts.groupBy("home").agg(F.min(F.struct("excess", "node")).alias("least"))
     sure = facts.join(least, "home").where("excess + least.excess <= 0 and node != least.node")
     known = materialize(known.union(sure.select(F.least("node", "least.node").alias("a"), F.greatest("node", "least.node").alias("b"))), "dense-links")
-    lists = materialize(_lists(facts, known, rule), "dense-lists")
-    for turn in range(TURNS):
-        split, top = _split(lists, known, turn)
+    labels = components(known)
+    lists = materialize(_lists(facts, labels, rule), "dense-lists")
+    for turn in range(TURNS + 1):
+        split, top = _split(lists, labels, turn)
         if top.isEmpty():
             return known
+        if turn == TURNS:
+            break
         first = F.col("top.first")
         stars = split.join(top, "key").where("component != top.component").where(_reach(rule, F.struct(*FACTS), first))
         stars = stars.select(F.least("node", "top.first.node").alias("a"), F.greatest("node", "top.first.node").alias("b"))
@@ -73,7 +76,7 @@ def links(sets: DataFrame, held: DataFrame, known: DataFrame, rule: Rule) -> Dat
         if fresh.isEmpty():
             break
         known = known.union(fresh)
-    split, top = _split(lists, known, TURNS)
+        labels = components(known)
     largest = top.select("key", F.col("top.component").alias("largest"))
     y = split.join(largest, "key")
     y = y.select("key", "largest", F.col("side").alias("side_b"), F.col("component").alias("component_b"), F.struct(*FACTS).alias("y"))
@@ -111,9 +114,9 @@ def _differences(sets: DataFrame, held: DataFrame, able: DataFrame, rule: Rule)
     return facts.select("home", "node", "n", "light", "v", apart.alias("apart"), excess.alias("excess"), "size")
 
 
-def _lists(facts: DataFrame, known: DataFrame, rule: Rule) -> DataFrame:
+def _lists(facts: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
     """key, side, FACTS: a row for each combination of a set's prefixes, at homes of several components."""
-    labelled = facts.join(components(known), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = facts.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = materialize(labelled, "dense-labels")
     parts = labelled.groupBy("home", "component").agg(F.count("*").alias("size"))
     largest = parts.groupBy("home").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count("*").alias("parts"))
@@ -206,13 +209,13 @@ def _reach(rule: Rule, x: Column, y: Column) -> Column:
     return apart * (100 + rule.percent) <= (x["n"] + y["n"]) * (100 - rule.percent)
 
 
-def _split(lists: DataFrame, known: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+def _split(lists: DataFrame, labels: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     """The rows, with component, of lists that hold several components; and of each such list
     top: the key, the component and a member of its largest one.
 
     In the first turn that is the member with the fewest light shingles, then another one each turn.
     """
-    labelled = lists.join(components(known), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = materialize(labelled, "dense-labels")
     order = F.xxhash64("node", "key", F.lit(turn)) if turn else F.col("light").cast("bigint")
     parts = labelled.groupBy("key", "component").agg(F.count("*").alias("size"), F.min_by(F.struct(*FACTS), F.struct(order, "node")).alias("first"))
