@@ -184,13 +184,13 @@ def classes(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """node, n, shingles (all) of wanted classes (node, key, first_id, place), from their first rows' texts."""
+    """node, n, shingles (all) of wanted classes (node, key, place), from texts with their place, each text once."""
     wanted = materialize(wanted, "wanted")
     places = wanted.select("place").distinct()
     small = 8 * places.count() <= SMALL_BYTES
-    rows = _rows(docs).join(F.broadcast(places) if small else places, "place", "left_semi")
-    rows = rows.join(wanted.select("first_id", "place"), F.col("doc_id").eqNullSafe(F.col("first_id")) & (rows.place == wanted.place), "left_semi")
-    sets = rows.dropDuplicates(["doc_id", "place"]).mapInArrow(_sets(rule, True), _set_schema(docs))
+    rows = _rows(docs).withColumn("second", F.xxhash64(F.lit("second"), "text"))
+    rows = rows.join(F.broadcast(places) if small else places, "place", "left_semi")
+    sets = rows.dropDuplicates(["place", "second"]).mapInArrow(_sets(rule, True), _set_schema(docs))
     return materialize(sets.select("key", "n", "shingles").join(wanted.select("node", "key"), "key").select("node", "n", "shingles"), "sets")
 
 
@@ -205,8 +205,8 @@ def links(docs: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
     room = F.least(F.ceil(rule.percent * partner / F.lit(100) - 1e-9) - 1, F.floor(partner / 10) + 8)
     dense = facts.where(F.col("n_heavy") > room).select("node").withColumn("dense", F.lit(True))
     ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(dense, "node", "full")
-    wanted = found.select("node", "key", "first_id", "place").join(ends, "node")
-    sets = _whole_sets(docs, wanted.select("node", "key", "first_id", "place"), rule)
+    wanted = found.select("node", "key", "place").join(ends, "node")
+    sets = _whole_sets(docs, wanted.select("node", "key", "place"), rule)
     some = verified(near, sets, rule)
     dense_sets = materialize(sets.join(dense.select("node"), "node"), "dense-sets")
     return some if dense_sets.isEmpty() else some.union(_dense_links(dense_sets, rule))
