@@ -1,6 +1,6 @@
 """SQL for DuckDB that gives the rows of the queries which SQL can express.
 
-The others (5, 8, 9, 10 and the pipeline) rest on ciphers, fitted models or file formats; tests hold them
+The others (5, 8, 9, 10, 12 and the pipeline) rest on ciphers, fitted models or file formats; tests hold them
 against brute force, exact round trips and held-out labels.
 """
 
@@ -109,6 +109,60 @@ g AS (SELECT r, list(j) AS gone FROM (SELECT DISTINCT r, unnest(range(i, i + 35)
 x AS (SELECT r, doc_id, len(w)::BIGINT AS n, coalesce(len(gone), 0)::BIGINT AS m, list_filter(w, lambda x, j: NOT list_contains(coalesce(gone, []), j)) AS kept FROM d LEFT JOIN g USING (r))
 SELECT doc_id, n AS n_words, m AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM x"""
 
+
+def _usable(size: str) -> str:
+    """Rows of embeddings whose vector has no null or non-finite component, with a number of their own."""
+    return f"SELECT row_number() OVER () AS r, vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL AND {size} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _floor(total: str, n: str) -> str:
+    """Whole-number division that goes down, of negative numbers too."""
+    rest = f"((({total}) % {n} + {n}) % {n})"
+    return f"CAST((({total}) - {rest}) // {n} AS BIGINT)"
+
+
+def _clusters(k: int = 16, rounds: int = 3) -> str:
+    steps = [f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h, v) - 1 AS INTEGER) AS k, v FROM (SELECT sha256(concat('1:', vec_id)) AS h, v FROM x ORDER BY h, v LIMIT {k}))"]
+    for t in range(rounds + 1):
+        distance = "CAST(list_sum(list_transform(range(1, 65), lambda i: (x.v[i] - c.v[i]) * (x.v[i] - c.v[i]))) AS BIGINT)"
+        steps.append(f"a{t} AS MATERIALIZED (SELECT r, vec_id, v, k, d FROM (SELECT x.r, x.vec_id, x.v, c.k, {distance} AS d FROM x CROSS JOIN c{t} c) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1)")
+        if t < rounds:
+            mean = _floor("sum(v[i])::BIGINT", "count(*)")
+            steps.append(
+                f"m{t} AS MATERIALIZED (SELECT k, list(m ORDER BY i) AS v FROM (SELECT k, i, {mean} AS m FROM (SELECT k, v, unnest(range(1, 65)) AS i FROM a{t}) GROUP BY k, i) GROUP BY k), "
+                f"c{t + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.v, c.v) AS v FROM c{t} c LEFT JOIN m{t} m ON m.k = c.k)"
+            )
+    return f"""
+WITH x AS MATERIALIZED (SELECT r, vec_id, list_transform(embedding, lambda y: CAST(floor(64 * CAST(y AS DOUBLE)) AS BIGINT)) AS v FROM ({_usable("len(embedding) = 64")})),
+{", ".join(steps)}
+SELECT vec_id, a.k AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+    sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON a.k = c.k"""
+
+
+def _codes(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024, size: int = 64) -> str:
+    width = size // parts
+    distance = f"CAST(list_sum(list_transform(range(1, {width + 1}), lambda i: (x.v[i] - c.v[i]) * (x.v[i] - c.v[i]))) AS BIGINT)"
+    steps = [f"c0 AS MATERIALIZED (SELECT p, CAST(row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS INTEGER) AS k, v FROM x WHERE r IN (SELECT r FROM n ORDER BY vec_id LIMIT {entries}))"]
+    for t in range(rounds + 1):
+        steps.append(f"a{t} AS MATERIALIZED (SELECT x.r, x.p, x.v, y.k, y.d FROM x JOIN (SELECT r, p, min(d) AS d, arg_min(k, d * 1000 + k) AS k FROM (SELECT x.r, x.p, c.k, {distance} AS d FROM x JOIN c{t} c ON c.p = x.p) GROUP BY r, p) y ON y.r = x.r AND y.p = x.p)")
+        if t < rounds:
+            mean = _floor("sum(v[i])::BIGINT", "count(*)")
+            steps.append(
+                f"m{t} AS MATERIALIZED (SELECT p, k, list(m ORDER BY i) AS v FROM (SELECT p, k, i, {mean} AS m FROM (SELECT p, k, v, unnest(range(1, {width + 1})) AS i FROM a{t}) GROUP BY p, k, i) GROUP BY p, k), "
+                f"c{t + 1} AS MATERIALIZED (SELECT c.p, c.k, coalesce(m.v, c.v) AS v FROM c{t} c LEFT JOIN m{t} m ON m.p = c.p AND m.k = c.k)"
+            )
+    digits = "concat(substr('0123456789abcdef', k // 16 + 1, 1), substr('0123456789abcdef', k % 16 + 1, 1))"
+    return f"""
+WITH n AS MATERIALIZED (SELECT r, vec_id, label, list_transform(embedding, lambda y: CAST(floor({scale} * CAST(y AS DOUBLE)) AS BIGINT)) AS v FROM ({_usable("TRUE")})),
+x AS MATERIALIZED (SELECT r, vec_id, p, v[p * {width} + 1:(p + 1) * {width}] AS v FROM (SELECT r, vec_id, v, unnest(range({parts})) AS p FROM n)),
+{", ".join(steps)},
+coded AS (SELECT r, string_agg({digits}, '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r)
+SELECT n.vec_id, code, error, (sum(error) OVER (PARTITION BY n.label))::BIGINT AS label_error,
+    (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, k)) FROM c{rounds}) AS codebooks_sha256
+FROM coded JOIN n ON n.r = coded.r"""
+
+
 SQL: dict[str, str] = {
     "op1_secret_scan": _secrets(),
     "op2_source_mixing": _mix(),
@@ -116,4 +170,6 @@ SQL: dict[str, str] = {
     "op4_ngram_join": NGRAM_JOIN,
     "op6_benchmark_decontamination": DECONTAMINATION,
     "op7_substring_dedup": SUBSTRINGS,
+    "op11_centroid_clusters": _clusters(),
+    "op13_vector_codes": _codes(),
 }

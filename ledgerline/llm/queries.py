@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lm, media, mixing, ngram_join, pii, secret_scan, substring_dedup, toxicity, warc
+from . import bitplanes, decontaminate, lm, media, mixing, ngram_join, pii, secret_scan, substring_dedup, token_files, toxicity, vector_codes, warc
 from .common import id_remainder, scratch_dir, table
 from .oracle import SQL
 
@@ -71,9 +71,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitplanes.assign(bitplanes.fit(table(spark, sf_dir, "embeddings")))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = f"{scratch_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    token_files.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_source_mixing, op3_warc, op4_ngram_join, op5_pii, op6_benchmark_decontamination, op7_substring_dedup, op8_lm_scoring, op9_media, op10_toxicity)
+    for f in (op1_secret_scan, op2_source_mixing, op3_warc, op4_ngram_join, op5_pii, op6_benchmark_decontamination, op7_substring_dedup, op8_lm_scoring, op9_media, op10_toxicity, op11_centroid_clusters, op12_token_files, op13_vector_codes)
 }
 
 ORACLE_SQL: dict[str, str] = dict(SQL)
