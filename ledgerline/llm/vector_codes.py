@@ -105,7 +105,7 @@ def _numbers(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Which rows have `size` components, and their integers."""
     packed = batch.column("numbers").to_pylist()
     keep = np.fromiter((len(p) == 4 * size for p in packed), bool, len(packed))
-    return keep, np.frombuffer(b"".join(p for p, k in zip(packed, keep, strict=True) if k), "<i4").reshape(-1, size).astype(np.int64)
+    return keep, np.frombuffer(b"".join(p for p, k in zip(packed, keep, strict=True) if k), "<i4").reshape(int(keep.sum()), size).astype(np.int64)
 
 
 def integer_table(df: DataFrame, id_column: str, vector: str, label: str | None, scale: int) -> DataFrame:

@@ -1,10 +1,11 @@
 """Every operator and every stage of the pipeline on odd tables: clashing columns, nulls, repeated rows, no rows."""
 
 import corpus_pipeline
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.llm import common, decontaminate, lm, media, mixing, ngram_join, pii, secret_scan, substring_dedup, toxicity, warc
+from ledgerline.llm import common, decontaminate, lm, media, mixing, ngram_join, pii, secret_scan, substring_dedup, token_files, toxicity, warc
 
 LONG = " ".join(f"w{i}" for i in range(60))
 TEXTS = [
@@ -40,6 +41,12 @@ def through_warc(spark, docs, tmp):
     return warc.read(spark, folder)
 
 
+def through_token_files(spark, docs, tmp):
+    folder = str(tmp / f"tokens{docs.count()}-{len(docs.columns)}")
+    token_files.write(docs, folder, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read(spark, folder)
+
+
 OPERATORS = {
     "secret scan": lambda spark, docs, tmp: secret_scan.scan(docs),
     "mixing": lambda spark, docs, tmp: mixing.plan(docs),
@@ -51,6 +58,7 @@ OPERATORS = {
     "substring dedup": lambda spark, docs, tmp: substring_dedup.deduplicate(docs),
     "language model": lambda spark, docs, tmp: lm.score(docs),
     "media": lambda spark, docs, tmp: media.describe(media.store(docs)),
+    "token files": through_token_files,
     "toxicity": lambda spark, docs, tmp: toxicity.score(docs, toxicity.fit(docs, labels_of(spark), "toxic")),
 }
 
