@@ -12,13 +12,15 @@ Documents are in ascending order of doc_id, null last; rows of equal doc_id by t
 ends with the id `end`, and null counts as the empty text, which has that id only. Repeated rows are stored each;
 other columns are not read; an empty table gives files without rows.
 
-Texts are encoded once, into a scratch table of ids. Tokenizers that drop white space are asked for words instead of
-texts: what stands between ASCII white space is encoded apart, and words are remembered, a bounded number of them. That
-gives the same ids, as no rule of such a tokenizer looks across white space; set words_apart to False for others.
+Texts are encoded once, into a scratch table of ids. A tokenizer that drops white space, lower-cases, and splits between
+letters and other characters is asked for words instead of texts: what stands between ASCII white space is
+encoded apart, plain letters apart from what follows them, and words are remembered, a bounded number of them.
+That gives the same ids, as no rule of such a tokenizer looks across these borders; set words_apart to False for others.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,77 +39,95 @@ BLOCK = 1 << 16
 #: Bytes of ids that a file gets, and the most files there are: the driver holds a row for each of them.
 FILE_BYTES, MOST_FILES = 128 << 20, 20_000
 _HEAD = struct.Struct("<4sIIII")
+#: ASCII letters and what may follow them without forming a contraction or a special token with them.
+_PLAIN = re.compile(rb"([A-Za-z]+)([!-&(-/:;=-@\[-`{}~]*)")
 
 
-class _Words:
-    """The ids of words, as bytes; the last two generations of `limit` words are remembered."""
+class _Words(dict):
+    """word -> its ids, as bytes; the last two generations of `limit` words are remembered."""
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, kind: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.new: dict[bytes, bytes] = {}
+        self.tokenizer, self.kind, self.limit = Tokenizer.from_file(path), kind, limit
         self.old: dict[bytes, bytes] = {}
 
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
-        return [np.array(f.ids, "<u4").tobytes() for f in found]
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        found = self.old.get(word)
+        if found is None:
+            found = self._encode(word)
+        self[word] = found
+        return found
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def _encode(self, word: bytes) -> bytes:
+        plain = _PLAIN.fullmatch(word)
+        if not plain:
+            return self.whole(word)
+        letters, rest = plain.groups()
+        lower = letters.lower()
+        if rest or lower != letters:
+            return self[lower] + (self[rest] if rest else b"")
+        return self._packed([t.id for t in self.tokenizer.model.tokenize(lower.decode())])
+
+    def whole(self, text: bytes) -> bytes:
+        """The ids of a text, asked for at once."""
+        return self._packed(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids)
 
     def text(self, text: bytes) -> bytes:
         """The ids of a text, word by word."""
-        out, words = [], text.split()
-        for i in range(0, len(words), self.limit):
-            some = words[i : i + self.limit]
-            if len(self.new) >= self.limit:
-                self.old, self.new = self.new, {}
-            new, old = self.new, self.old
-            missing = []
-            for word in set(some).difference(new):
-                if word in old:
-                    new[word] = old[word]
-                else:
-                    missing.append(word)
-            new.update(zip(missing, self.ids(missing), strict=True))
-            out.append(b"".join(map(new.__getitem__, some)))
-        return b"".join(out)
-
-
-_words: dict[str, _Words] = {}
-
-
-def _words_of(path: str) -> _Words:
+        return b"".join(map(self.__getitem__, text.split()))
+
+
+_words: dict[tuple[str, str], _Words] = {}
+
+
+def _words_of(path: str, kind: str) -> _Words:
     """This Python worker's words; it goes on to other tasks with them."""
-    if path not in _words:
-        _words[path] = _Words(path)
-    return _words[path]
+    if (path, kind) not in _words:
+        _words[path, kind] = _Words(path, kind)
+    return _words[path, kind]
+
+
+def id_kind(path: str, end: int) -> str:
+    """The narrowest unsigned type, little-endian, that holds all ids."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(path).get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
 
 
 def tokenize(docs: DataFrame, path: str, end: int = 1, words_apart: bool = True) -> DataFrame:
-    """doc_id, at (a number of the row), n, crc and ids (unsigned, 32 bits each, little-endian) of every row; written to the shared folder.
+    """doc_id, at (a number of the row), n, crc and ids (of `id_kind`) of every row; written to the shared folder.
 
     path: a tokenizer's file, which is at the same place on all machines.
     """
-    last = np.array([end], "<u4").tobytes()
+    kind = id_kind(path, end)
+    width, last = np.dtype(kind).itemsize, np.array([end], kind).tobytes()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _words_of(path)
+        known = _words_of(path, kind)
+        of = known.text if words_apart else known.whole
         for b in batches(it):
-            texts = b.column("text").to_pylist()
-            ids = [known.text(t) + last for t in texts] if words_apart else [i + last for i in known.ids(texts)]
-            columns = [b.column("doc_id"), b.column("at"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(map(zlib.crc32, ids), pa.int64()), pa.array(ids, pa.binary())]
+            ids = [of(t) + last for t in b.column("text").to_pylist()]
+            columns = [b.column("doc_id"), b.column("at"), pa.array([len(i) // width for i in ids], pa.int64()), pa.array(map(zlib.crc32, ids), pa.int64()), pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "at", "n", "crc", "ids"])
 
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("at"), utf8(F.col("text")).alias("text"))
     return materialize(rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, at bigint, n bigint, crc bigint, ids binary"), "token-ids")
 
 
-def id_counts(tokens: DataFrame) -> np.ndarray:
+def id_counts(tokens: DataFrame, kind: str) -> np.ndarray:
     """How often each id occurs; as long as the vocabulary at most."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in it:
-            own = np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), "<u4"), minlength=len(total))
+            own = np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), kind), minlength=len(total))
             own[: len(total)] += total
             total = own
         some = np.flatnonzero(total)
@@ -149,17 +169,17 @@ def decode_blocks(code: Code, blocks: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def _blocks(lengths: np.ndarray):
+def _blocks(lengths: np.ndarray, kind: str):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, file, before = Code(lengths), TaskContext.get().partitionId(), 0
         docs, parts, size = [], [], 0
 
         def block() -> pa.RecordBatch:
-            columns = ([file], [before], [size], [[d for d, _ in docs]], [[n for _, n in docs]], [block_bytes(code, np.frombuffer(b"".join(parts), "<u4"))])
-            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], ["file", "before", "n", "doc_ids", "lengths", "data"])
+            columns = ([file], [before], [size], [[d for d, _ in docs]], [[n for _, n in docs]], [block_bytes(code, np.frombuffer(b"".join(parts), kind))])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["file", "before", "n", "doc_ids", "lengths", "data"])
 
         for b in batches(it):
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(b.schema.field("doc_id").type), pa.list_(pa.int64()), pa.binary()]
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.list_(b.schema.field("doc_id").type), pa.list_(pa.int64()), pa.binary()]
             for doc_id, n, ids in zip(b.column("doc_id").to_pylist(), b.column("n").to_pylist(), b.column("ids").to_pylist(), strict=True):
                 docs.append((doc_id, n))
                 parts.append(ids)
@@ -177,16 +197,17 @@ def write(docs: DataFrame, folder: str, path: str, end: int = 1, limit: int = 20
     """Writes the files. The driver gets the ids' counts (a vocabulary of them) and a row for each file."""
     spark = docs.sparkSession
     tokens = tokenize(docs, path, end, words_apart)
-    lengths = code_lengths(id_counts(tokens), limit)
+    ids = id_kind(path, end)
+    lengths = code_lengths(id_counts(tokens, ids), limit)
     some = np.flatnonzero(lengths)
     code = spark.createDataFrame([(int(i), int(lengths[i])) for i in some], "id bigint, bits int")
     code.coalesce(1).write.parquet(f"{folder}/code")
     n = tokens.agg(F.sum("n")).first()[0] or 0
-    wanted = min(MOST_FILES, max(spark.sparkContext.defaultParallelism, 4 * n // FILE_BYTES))
+    wanted = min(MOST_FILES, max(spark.sparkContext.defaultParallelism, np.dtype(ids).itemsize * n // FILE_BYTES))
     order = [F.asc_nulls_last("doc_id"), F.asc("crc"), F.asc("at")]
     ordered = tokens.select("doc_id", "crc", "at", "n", "ids").repartitionByRange(wanted, *order).sortWithinPartitions(*order)
     kind = tokens.schema["doc_id"].dataType.simpleString()
-    blocks = ordered.mapInArrow(_blocks(lengths), f"file int, before bigint, n bigint, doc_ids array<{kind}>, lengths array<bigint>, data binary")
+    blocks = ordered.mapInArrow(_blocks(lengths, ids), f"file int, before bigint, n bigint, doc_ids array<{kind}>, lengths array<bigint>, data binary")
     blocks.write.option("compression", "none").parquet(f"{folder}/blocks")
     sizes = spark.read.parquet(f"{folder}/blocks").groupBy("file").agg(F.sum("n").alias("n")).orderBy("file").collect()
     starts = np.cumsum([0, *(r.n for r in sizes)]).tolist()
