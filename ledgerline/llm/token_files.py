@@ -37,7 +37,7 @@ from .huffman import EVERY, Code, code_lengths
 #: Ids from which on a block closes.
 BLOCK = 1 << 16
 #: Bytes of ids that a file gets, and the most files there are: the driver holds a row for each of them.
-FILE_BYTES, MOST_FILES = 128 << 20, 20_000
+FILE_BYTES, MOST_FILES = 32 << 20, 20_000
 _HEAD = struct.Struct("<4sIIII")
 #: ASCII letters and what may follow them without forming a contraction or a special token with them.
 _PLAIN = re.compile(rb"([A-Za-z]+)([!-&(-/:;=-@\[-`{}~]*)")
@@ -49,7 +49,8 @@ class _Words(dict):
     def __init__(self, path: str, kind: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind, self.limit = Tokenizer.from_file(path), kind, limit
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.model, self.code = self.tokenizer.model, {"<u2": "H", "<u4": "I"}[kind]
         self.old: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
@@ -63,7 +64,7 @@ class _Words(dict):
         return found
 
     def _packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def _encode(self, word: bytes) -> bytes:
         plain = _PLAIN.fullmatch(word)
@@ -73,7 +74,7 @@ class _Words(dict):
         lower = letters.lower()
         if rest or lower != letters:
             return self[lower] + (self[rest] if rest else b"")
-        return self._packed([t.id for t in self.tokenizer.model.tokenize(lower.decode())])
+        return self._packed([t.id for t in self.model.tokenize(lower.decode())])
 
     def whole(self, text: bytes) -> bytes:
         """The ids of a text, asked for at once."""
