@@ -34,3 +34,11 @@ def sanitize_all(names: list[str]) -> list[str]:
 
 def sanitize_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*sanitize_all(df.columns))
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, in any case: name, with underscores behind it where needed."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

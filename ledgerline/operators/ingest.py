@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import coerce
+from ..functions.names import unused
 from ..schemas import KEEP_COLUMNS, NOT_REVIEWED
 from .flatten import keep
 
@@ -18,20 +19,23 @@ def valid_ids(df: DataFrame, id_column: str) -> DataFrame:
 
 
 def first_wins(df: DataFrame, key: str, *order: str | Column) -> DataFrame:
-    """One row per key, the first in the given order, which must be total to be repeatable."""
+    """One row per key, the first in the given order, which must be total to be repeatable. Rows with a null key are one key's."""
+    nth = unused("nth", df)
     w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
+    return df.withColumn(nth, F.row_number().over(w)).where(F.col(nth) == 1).drop(nth)
 
 
 def new_records(batch: DataFrame, master: DataFrame, key: str, master_key: str) -> DataFrame:
     """Rows of batch whose key isn't in master; both canonical, null keys match nothing.
 
     The master, of any size, gives its key column only and is first reduced to the batch's keys: a
-    small batch is broadcast to it, so the master isn't shuffled. Spark checks sizes for that.
+    small batch is broadcast to it, so the master isn't shuffled. Spark checks sizes for that. Of a keyed
+    table, `candidates()` gives the part of the master that a batch needs. Columns of any name may stand beside the keys.
     """
-    keys = batch.select(F.col(key).alias("_key")).where("_key is not null")
-    known = master.select(coerce.canonical_id(F.col(master_key)).alias("_key")).where("_key is not null").join(keys, "_key", "left_semi")
-    return batch.join(known, F.col(key) == F.col("_key"), "left_anti")
+    known_key = unused("known_key", batch)
+    keys = batch.select(F.col(key).alias(known_key)).where(F.col(known_key).isNotNull())
+    known = master.select(coerce.canonical_id(F.col(master_key)).alias(known_key)).where(F.col(known_key).isNotNull()).join(keys, known_key, "left_semi")
+    return batch.join(known, F.col(key) == F.col(known_key), "left_anti")
 
 
 def ingest_new(

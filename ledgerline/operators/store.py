@@ -1,16 +1,25 @@
-"""Tables as folders of Parquet versions: overwrite, append, replace, read.
+"""Tables as folders of Parquet files: overwrite, append, read, and keyed tables, of which a few partitions are rewritten.
 
-A version is a folder of segments: overwriting starts a version, appending adds a segment to the newest.
-A segment is complete once Spark has left _SUCCESS in it; readers take the complete segments of the
-newest version, so a failed or running write is never seen and a DataFrame that was read stays as it was. Folders are reached through Hadoop's file systems only.
-A single writer is assumed: reading, comparing and appending are separate steps.
+All reads and writes are Spark's. Overwriting writes a folder aside and then puts it in the table's place, so a failed write changes
+nothing and a table may be overwritten with a plan that reads it. A table is there once Spark has left _SUCCESS in it.
+
+A keyed table is laid out by its key: `canonical_of_<key>` holds the canonical key, with Parquet Bloom filters and in ascending order
+within files, and rows are partitioned by `bucket_of_<n>`, its hash. These two columns describe the layout, and read() leaves them out. An
+update reads and writes the buckets of the changed keys only (dynamic partition overwrite); a search for some keys reads their
+buckets, and for few keys only row groups that may hold them.
+
+A DataFrame lists its files when it is made: appends don't change it, but after an overwrite or an update it must be read
+again where files that it would read are gone. A single writer is assumed.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -50,6 +59,37 @@ def is_table_path(path) -> object:
     return (F.size(parts) == 3) & ~F.array_contains(parts, "")
 
 
+#: Buckets of a keyed table unless its writer says otherwise.
+BUCKETS = 64
+#: So many keys are looked for one by one; more of them by their buckets only.
+FEW_KEYS = 200
+_KEY, _BUCKET = "canonical_of_", "bucket_of_"
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How a keyed table is laid out."""
+
+    key: str
+    buckets: int = BUCKETS
+
+    @property
+    def canonical(self) -> str:
+        return f"{_KEY}{self.key}"
+
+    @property
+    def bucket(self) -> str:
+        return f"{_BUCKET}{self.buckets}"
+
+    def bucket_of(self, canonical: Column) -> Column:
+        return F.pmod(F.xxhash64(canonical), F.lit(self.buckets)).cast("int")
+
+    def columns(self, df: DataFrame) -> DataFrame:
+        """df with the two columns of the layout."""
+        canonical = coerce.canonical_id(F.col(f"`{self.key}`"))
+        return df.withColumns({self.canonical: canonical, self.bucket: self.bucket_of(canonical)})
+
+
 class Table:
     """One table below a folder."""
 
@@ -61,56 +101,123 @@ class Table:
         """The table project.dataset.table below root."""
         return cls(spark, "/".join([root.rstrip("/"), *split_path(path)]))
 
-    def _path(self, name: str = ""):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
-
-    def _segments(self) -> list[tuple[int, int]]:
-        """(version, segment) of the complete segments, in order."""
-        fs = self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
-        found = fs.globStatus(self._path("v*/s*/_SUCCESS")) or []
-        places = [f.getPath().toString().rsplit("/", 3)[1:3] for f in found]
-        return sorted((int(v[1:]), int(s[1:])) for v, s in places)
+    def _path(self, folder: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(folder)
 
-    def _place(self, version: int, segment: int) -> str:
-        return f"{self.folder}/v{version}/s{segment}"
+    def _files(self):
+        return self._path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def exists(self) -> bool:
-        return bool(self._segments())
+        return self._files().exists(self._path(f"{self.folder}/_SUCCESS"))
 
-    def read(self) -> DataFrame:
-        """The newest version. A missing table is an error: an empty master would make all rows new."""
-        segments = self._segments()
-        if not segments:
+    def stored(self) -> DataFrame:
+        """All columns. A missing table is an error: an empty master would make all rows new."""
+        if not self.exists():
             raise SourceError(f"no table in {self.folder}")
-        return self.spark.read.parquet(*[self._place(*s) for s in segments if s[0] == segments[-1][0]])
+        return self.spark.read.parquet(self.folder)
+
+    def layout(self) -> Layout | None:
+        """None for a table without a key, or none at all."""
+        return _layout_of(self.stored()) if self.exists() else None
+
+    def read(self) -> DataFrame:
+        return _plain(self.stored())
 
     def rows(self) -> int:
         return self.read().count()
 
-    def overwrite(self, df: DataFrame) -> None:
-        """A new version. df may read the version before: that stays until drop_old()."""
-        version = max((v for v, _ in self._segments()), default=0) + 1
-        df.write.mode("overwrite").parquet(self._place(version, 1))
+    def overwrite(self, df: DataFrame, key: str | None = None, buckets: int = BUCKETS) -> None:
+        """df in place of the table's rows, laid out by `key`, or as the table is now. df may read the table."""
+        layout = Layout(key, buckets) if key else self.layout()
+        aside = f"{self.folder}.new-{uuid.uuid4().hex}"
+        if layout is None:
+            df.write.parquet(aside)
+        else:
+            # An empty file keeps the schema where no partition has rows; with partitions Spark reads these only.
+            layout.columns(df.limit(0)).drop(layout.bucket).coalesce(1).write.parquet(aside)
+            self._add(df, layout, aside)
+        self._files().delete(self._path(self.folder), True)
+        if not self._files().rename(self._path(aside), self._path(self.folder)):
+            raise SourceError(f"{aside} can't take the place of {self.folder}")
+
+    def lay_out(self, key: str, buckets: int = BUCKETS) -> Layout:
+        """Makes this a keyed table, by one rewrite, unless it is one by that key."""
+        layout = self.layout()
+        if layout is None or layout.key != key:
+            self.overwrite(self.read(), key, buckets)
+        return self.layout()
 
     def append(self, df: DataFrame) -> None:
-        """A new segment of the newest version; a table that isn't there is created."""
-        version, segment = max(self._segments(), default=(1, 0))
-        df.write.mode("overwrite").parquet(self._place(version, segment + 1))
-
-    def drop_old(self, keep: int = 1) -> None:
-        """Deletes all versions but the newest `keep`; readers of a deleted one fail."""
-        versions = sorted({v for v, _ in self._segments()})
-        for v in versions[:-keep]:
-            at = self._path(f"v{v}")
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-
-    def compact(self, most: int = 64) -> bool:
-        """Rewrites the newest version as one segment if it has more than `most`."""
-        segments = self._segments()
-        if sum(v == segments[-1][0] for v, _ in segments) <= most if segments else True:
-            return False
-        self.overwrite(self.read())
-        return True
+        """Further rows; a table that isn't there is created."""
+        layout = self.layout()
+        if layout is None:
+            df.write.mode("append").parquet(self.folder)
+        else:
+            self._add(df, layout, self.folder)
+
+    def _add(self, df: DataFrame, layout: Layout, folder: str, mode: str = "append") -> None:
+        """Writes rows into their buckets, each a few files; large buckets are split among tasks."""
+        bucket = layout.bucket
+        ready = layout.columns(df).hint("rebalance", bucket).sortWithinPartitions(bucket, layout.canonical)
+        bloom = {f"parquet.bloom.filter.enabled#{layout.canonical}": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+        ready.write.options(**bloom, partitionOverwriteMode="dynamic").mode(mode).partitionBy(bucket).parquet(folder)
+
+    def buckets_of(self, keys: DataFrame, column: str) -> list[int]:
+        """The buckets of canonical keys: as many as the table has at most."""
+        layout = self.layout()
+        return sorted(r[0] for r in keys.select(layout.bucket_of(F.col(column))).distinct().collect())
+
+    def candidates(self, keys: DataFrame, column: str) -> DataFrame:
+        """Rows among which are all that have one of the keys, canonical ids in a column of `keys`.
+
+        A keyed table's scan reads their buckets only; up to FEW_KEYS keys also reach the Parquet reader.
+        Of a table without a key these are all rows.
+        """
+        df, layout = self.stored(), self.layout()
+        if layout is None or layout.bucket not in df.columns:  # no key, or no rows
+            return _plain(df)
+        some = keys.select(F.col(column).alias("k")).where("k is not null").distinct().limit(FEW_KEYS + 1).collect()
+        if len(some) > FEW_KEYS:
+            return _plain(df.where(F.col(layout.bucket).isin(self.buckets_of(keys, column))))
+        buckets = [r[0] for r in self.spark.createDataFrame(some, "k string").select(layout.bucket_of(F.col("k"))).distinct().collect()] if some else []
+        return _plain(df.where(F.col(layout.bucket).isin(buckets) & _any([F.col(layout.canonical) == r.k for r in some])))
+
+    def rewrite(self, buckets: list[int], change: Callable[[DataFrame], DataFrame]) -> None:
+        """Puts change(rows of some buckets of a keyed table) in these rows' place; keys must stay."""
+        layout = self.layout()
+        if buckets and layout.bucket in self.stored().columns:
+            self._add(change(_plain(self.stored().where(F.col(layout.bucket).isin(buckets)))), layout, self.folder, "overwrite")
+
+    def compact(self, most: int = 64) -> int:
+        """Rewrites the buckets of a keyed table that have more than `most` files, and says how many."""
+        df, layout = self.stored(), self.layout()
+        if layout is None or layout.bucket not in df.columns:
+            return 0
+        files = df.select(F.col(layout.bucket).alias("b"), F.col("_metadata.file_path").alias("f")).distinct()
+        crowded = [r.b for r in files.groupBy("b").count().where(F.col("count") > most).collect()]
+        self.rewrite(crowded, lambda rows: rows)
+        return len(crowded)
+
+
+def _layout_of(df: DataFrame) -> Layout | None:
+    key = next((c.removeprefix(_KEY) for c in df.columns if c.startswith(_KEY)), None)
+    if key is None:
+        return None
+    of = next((int(c.removeprefix(_BUCKET)) for c in df.columns if re.fullmatch(_BUCKET + "[0-9]+", c)), BUCKETS)
+    return Layout(key, of)
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    layout = _layout_of(df)
+    return df if layout is None else df.drop(layout.canonical, layout.bucket)
+
+
+def _any(conditions: list[Column]) -> Column:
+    """One of the conditions holds; a balanced tree of ORs."""
+    if len(conditions) < 2:
+        return conditions[0] if conditions else F.lit(False)
+    half = len(conditions) // 2
+    return _any(conditions[:half]) | _any(conditions[half:])
 
 
 def _typed(df: DataFrame, schema: StructType) -> DataFrame:

@@ -415,6 +415,45 @@ def update_summary(spark, sf_dir):
     return updates.update_summary(_changes(spark, sf_dir), _t(spark, sf_dir, "customer"), "c_custkey")
 
 
+@query(
+    f"SELECT concat('0', o_custkey) AS c_custkey, o_orderkey AS csv_ordinal, 'c_acctbal' AS \"column\", 'bad' AS value, 'no double' AS reason FROM {_CHANGES} "
+    f"WHERE balance = 'bad'"
+)
+def update_failures(spark, sf_dir):
+    failed = updates.failed_updates(_changes(spark, sf_dir), _t(spark, sf_dir, "customer"), "c_custkey")
+    return failed.select("c_custkey", "csv_ordinal", F.inline("failures"))
+
+
+_LAST_ORDER = "(SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1)"
+
+
+@query(
+    f"SELECT c_custkey, c_name, c_nationkey, coalesce(o_totalprice, c_acctbal) AS c_acctbal, coalesce(o_orderpriority, c_mktsegment) AS c_mktsegment "
+    f"FROM customer LEFT JOIN {_LAST_ORDER} ON c_custkey = o_custkey"
+)
+def keyed_update_readback(spark, sf_dir):
+    """Customers, laid out by key, take balance and segment from their last order."""
+    table = store.scratch_table(spark, "keyed")
+    table.overwrite(_t(spark, sf_dir, "customer"), "c_custkey")
+    changes = _t(spark, sf_dir, "orders").select(
+        F.concat(F.lit("00"), "o_custkey").alias("c_custkey"), F.col("o_totalprice").cast("string").alias("c_acctbal"),
+        F.col("o_orderpriority").alias("c_mktsegment"), F.col("o_orderkey").alias("csv_ordinal"),
+    )
+    updates.update_table(table, changes, "c_custkey")
+    return table.read()
+
+
+@query(f"SELECT id, event_type, event_id FROM {EVENT_BATCH} b WHERE id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {EVEN} m WHERE m.id = b.id)")
+def keyed_new_records(spark, sf_dir):
+    """new_records against a keyed table, of which the buckets of the batch's ids are read."""
+    batch = ingest.valid_ids(_events(spark, sf_dir), "FHRSID").withColumn("FHRSID", coerce.canonical_id(F.col("FHRSID")))
+    table = store.scratch_table(spark, "known")
+    table.overwrite(_even_customers(spark, sf_dir), "fhrsid")
+    return ingest.new_records(batch, table.candidates(batch, "FHRSID"), "FHRSID", "fhrsid").select(
+        F.col("FHRSID").alias("id"), F.col("BusinessName").alias("event_type"), F.col("pos").alias("event_id"),
+    )
+
+
 _LINES = (
     "CASE s_suppkey % 6 WHEN 0 THEN '' WHEN 1 THEN 'a,b' WHEN 2 THEN '1' WHEN 3 THEN '1,2,3' WHEN 4 THEN concat(s_acctbal, ', ', s_nationkey) ELSE "
     "concat('-', s_nationkey, '.5,', s_suppkey) END"
@@ -516,7 +555,7 @@ MASTER_PATH = "project.dataset.master"
 def _workflow_master(spark, sf_dir, rows: DataFrame) -> str:
     """A new folder of tables with `rows` as its master."""
     root = store.scratch_table(spark, "workflow").folder
-    store.Table.at(spark, root, MASTER_PATH).overwrite(rows)
+    store.Table.at(spark, root, MASTER_PATH).overwrite(rows, "fhrsid")
     return root
 
 

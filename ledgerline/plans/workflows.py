@@ -7,9 +7,10 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.coerce import canonical_id
 from ..operators import ingest, insights, recent, updates
 from ..operators.flatten import append_projection
 from ..operators.store import Table, append_table, split_path
@@ -38,7 +39,8 @@ def fetch_and_append(
 ) -> Result:
     """Searches, finds the records that the master lacks and appends them.
 
-    df is the master as it was before; shown holds the new records; failed calls are warnings. The path is checked before any
+    df is the master as it was before; shown holds the new records; failed calls are warnings. New records are counted by the
+    job that appends them. Of a keyed master, only the buckets of the fetched ids are read. The path is checked before any
     call goes out. Reading, comparing and appending are separate steps: one writer at a time.
     """
     places, bad = uploads.coordinates(spark, coordinates_text)
@@ -54,14 +56,11 @@ def fetch_and_append(
     warnings += [f"call {r.call_ordinal}: {r.n_results} results, maybe cut off" for r in calls if r.n_results == max_results]
     batch = records.parse(responses)
     before = load_master(table)
-    new = ingest.ingest_new(batch, before, as_of or today()).persist()
-    try:
-        counts = {"fetched": sum(r.n_results for r in calls), "new": new.count()}
-        if counts["new"]:
-            projected = append_projection(new)
-            append_table(table, projected, projected.schema)
-    finally:
-        new.unpersist()
+    ids = batch.select(canonical_id(F.col("FHRSID")).alias("id"))
+    new = ingest.ingest_new(batch, table.candidates(ids, "id"), as_of or today())
+    projected, seen = append_projection(new), Observation()
+    append_table(table, projected.observe(seen, F.count(F.lit(1)).alias("new")), projected.schema)
+    counts = {"fetched": sum(r.n_results for r in calls), "new": seen.get["new"]}
     return Result(before, counts, warnings, new)
 
 
@@ -87,27 +86,24 @@ def enrich_recent(
     counts = {"generated": results.rows(), "with_text": found.count()}
     if write_back:
         table = Table.at(spark, root, path)
-        news = found.select(INSIGHTS[0], INSIGHTS[-1]).withColumn("csv_ordinal", F.lit(0))
-        _replace(table, updates.update_overlay(table.read(), news, strip=False))
+        updates.update_table(table, found.select(INSIGHTS[0], INSIGHTS[-1]), strip=False)
     missing = counts["generated"] - counts["with_text"]
     return Result(found, counts, [f"{missing} rows got no text"] if missing else [])
 
 
-def _replace(table: Table, df: DataFrame) -> None:
-    """A new version of the table; the one before stays for those who are reading it, older ones go."""
-    table.overwrite(df)
-    table.drop_old(keep=2)
-
-
 def update_from_csv(spark: SparkSession, root: str, path: str, csv_path: str) -> Result:
-    """Applies a CSV file's rows to the master, all at once, as a new version of the table."""
+    """Applies a CSV file's rows to the master, all at once; only the buckets of changed keys are rewritten.
+
+    shown holds the rows that failed, with column, value and reason.
+    """
     table = Table.at(spark, root, path)
     changes = uploads.read_updates(spark, csv_path)
     master = table.read()
     counts = updates.update_summary(changes, master).first().asDict()
     if counts["n_success"]:
-        _replace(table, updates.update_overlay(master, changes))
-    return Result(table.read(), counts, [f"{counts['n_error']} rows failed"] if counts["n_error"] else [])
+        updates.update_table(table, changes)
+    failed = updates.failed_updates(changes, master)
+    return Result(table.read(), counts, [f"{counts['n_error']} rows failed"] if counts["n_error"] else [], failed)
 
 
 def update_row(spark: SparkSession, root: str, path: str, key: str, values: dict) -> bool:
@@ -120,7 +116,7 @@ def update_row(spark: SparkSession, root: str, path: str, key: str, values: dict
     master = table.read()
     if updates.update_summary(change, master).first().n_error:
         return False
-    _replace(table, updates.update_overlay(master, change))
+    updates.update_table(table, change)
     return True
 
 

@@ -5,30 +5,30 @@ from __future__ import annotations
 import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.coerce import canonical_id
 from ..operators import ingest
 from ..operators.flatten import append_projection
 from ..operators.store import Table, append_table
 from ..sources import records
-from ..sources.master import load_master
 
 
 def ingest_stream(spark: SparkSession, landing: str, master: Table, checkpoint: str, as_of: datetime.date, once: bool = True) -> StreamingQuery:
     """Starts a query over the landing folder; each micro-batch appends the records that are new.
 
-    A repeated batch adds nothing, since its records are in the master by then. Many small segments of the
-    master are rewritten as one.
+    A repeated batch adds nothing, since its records are in the master by then. A batch reads the buckets of its ids only, where the
+    master is laid out by id; buckets of many small files are rewritten.
     """
 
     def step(batch: DataFrame, _: int) -> None:
-        new = ingest.ingest_new(records.parse(batch), load_master(master), as_of)
-        ready = append_projection(new).persist()
-        if not ready.isEmpty():
-            append_table(master, ready, ready.schema)
-            if master.compact():
-                master.drop_old(keep=2)
-        ready.unpersist()
+        parsed = records.parse(batch).persist()
+        ids = parsed.select(canonical_id(F.col("FHRSID")).alias("id"))
+        ready = append_projection(ingest.ingest_new(parsed, master.candidates(ids, "id"), as_of))
+        append_table(master, ready, ready.schema)
+        master.compact()
+        parsed.unpersist()
 
     source = spark.readStream.schema(records.RESPONSES).option("recursiveFileLookup", True).parquet(landing)
     stream = source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)

@@ -2,6 +2,7 @@
 
 import datetime
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,7 +125,6 @@ def test_store(spark, tmp_path):
     assert sorted(map(tuple, table.read().collect())) == [("1", "a", False, 1.5), ("2", None, True, None)]
     store.write_table(table, df.limit(1), df.columns[:2])
     assert table.read().columns == ["fhrsid", "business_name"] and table.rows() == 1
-    table.drop_old()
     wide = spark.createDataFrame([("x", "extra", "7")], "business_name string, extra_field string, fhrsid string")
     schema = T.StructType([T.StructField("fhrsid", T.StringType()), T.StructField("business_name", T.StringType())])
     store.append_table(table, wide, schema)
@@ -250,17 +250,108 @@ def test_keys_and_values(spark):
     assert {r.k for r in ingest.distinct_values(rows.union(rows), "k").collect()} == {r.k for r in rows.collect()}
 
 
-def test_segments_become_one(spark, tmp_path):
+def spoil(table, keep):
+    """Overwrites the rows in all files of the buckets that aren't in `keep`: whoever reads one of them fails. Footers stay."""
+    spoiled = 0
+    for d in Path(table.folder).glob("bucket_of_*=*"):
+        if int(d.name.split("=")[1]) not in keep:
+            for f in d.glob("*.parquet"):
+                whole = f.read_bytes()
+                footer = len(whole) - 8 - int.from_bytes(whole[-8:-4], "little")
+                f.write_bytes(whole[:4] + b"\xff" * (footer - 4) + whole[footer:])
+                (d / f".{f.name}.crc").unlink(missing_ok=True)
+                spoiled += 1
+    return spoiled
+
+
+def test_an_update_rewrites_its_buckets_only(spark, tmp_path):
+    table = store.Table(spark, str(tmp_path / "t"))
+    rows = spark.range(3000).select(F.format_string("%04d", "id").alias("fhrsid"), F.col("id").alias("n"), F.lit("x").alias("name"))
+    table.overwrite(rows, "fhrsid", 1000)
+    assert table.layout() == store.Layout("fhrsid", 1000) and table.read().columns == rows.columns and table.rows() == 3000
+    change = spark.createDataFrame([("17", "5", 0), ("+0017", "6", 1), ("99999", "1", 2)], "fhrsid string, n string, csv_ordinal int")
+    ids = spark.createDataFrame([("17",), ("99999",)], "k string")
+    touched = table.buckets_of(ids, "k")
+    assert 1 <= len(touched) <= 2
+    assert spoil(table, touched) > 900
+    files = {f: f.stat().st_mtime_ns for f in Path(table.folder).rglob("*.parquet")}
+    updates.update_table(table, change)
+    after = {f: f.stat().st_mtime_ns for f in Path(table.folder).rglob("*.parquet")}
+    assert 1 <= len(files.items() - after.items()) <= 2  # of all files only those of the touched buckets are new
+    assert [tuple(r) for r in table.candidates(ids, "k").where("fhrsid = '0017'").collect()] == [("0017", 6, "x")]
+    batch_ = spark.createDataFrame([("17", "a"), ("99999", "b")], "id string, v string")
+    assert [r.id for r in ingest.new_records(batch_, table.candidates(batch_, "id"), "id", "fhrsid").collect()] == ["99999"]
+
+
+def test_keyed_tables(spark, tmp_path):
     table = store.Table(spark, str(tmp_path / "t"))
-    assert not table.compact()
-    for i in range(4):
-        table.append(spark.createDataFrame([(i,)], "i int"))
+    schema = "fhrsid string, name string"
+    table.overwrite(spark.createDataFrame([], schema), "fhrsid", 8)
+    assert table.rows() == 0 and table.layout().key == "fhrsid" and table.read().columns == ["fhrsid", "name"]
+    assert table.candidates(spark.createDataFrame([("1",)], "k string"), "k").count() == 0
+    for rows in ([("1", "a"), (None, "b")], [], [("01", "c"), ("x'y", "d")]):
+        table.append(spark.createDataFrame(rows, schema))
+    assert sorted(r.name for r in table.read().collect()) == list("abcd")
     before = table.read()
-    assert not table.compact(4) and table.compact(3)
-    assert sorted(r.i for r in table.read().collect()) == sorted(r.i for r in before.collect()) == [0, 1, 2, 3]
-    table.overwrite(table.read().where("i > 1"))
-    table.drop_old(keep=2)
-    assert table.rows() == 2 and len({v for v, _ in table._segments()}) == 2
+    table.append(spark.createDataFrame([("9", "e")], schema))
+    assert before.count() == 4 and table.rows() == 5  # appends don't change what was read
+    keys = lambda *k: spark.createDataFrame([(i,) for i in k], "k string")
+    assert {r.name for r in table.candidates(keys("1"), "k").collect()} == {"a", "c"}
+    assert table.candidates(keys(None), "k").count() == 0 and table.candidates(keys().limit(0), "k").count() == 0
+    many = keys(*map(str, range(store.FEW_KEYS + 5)))
+    assert {"a", "c", "e"} <= {r.name for r in table.candidates(many, "k").collect()}
+    plan = table.candidates(keys("1", "2"), "k")._jdf.queryExecution().toString()
+    assert "EqualTo(canonical_of_fhrsid,1)" in plan and "PartitionFilters: [" in plan
+    table.overwrite(table.read().where("name != 'b'"))  # reads what it overwrites, and stays keyed
+    assert table.rows() == 4 and table.layout() is not None
+    for i in range(5):
+        table.append(spark.createDataFrame([("1", f"f{i}")], schema))
+    assert table.compact(3) >= 1 and table.compact(3) == 0 and table.rows() == 9
+    plain = store.Table(spark, str(tmp_path / "p"))
+    plain.append(spark.createDataFrame([("1", "a")], schema))
+    assert plain.layout() is None and plain.candidates(keys("7"), "k").count() == 1 and plain.compact() == 0
+    updates.update_table(plain, spark.createDataFrame([("001", "z")], schema))
+    assert plain.layout().key == "fhrsid" and [tuple(r) for r in plain.read().collect()] == [("1", "z")]
+
+
+def test_a_failed_overwrite_changes_nothing(spark, tmp_path):
+    table = store.Table(spark, str(tmp_path / "t"))
+    table.overwrite(spark.range(3))
+    with pytest.raises(Exception):
+        table.overwrite(spark.range(3).select(F.raise_error(F.lit("no")).alias("id")))
+    assert table.rows() == 3
+
+
+CLASHES = ["_id", "_key", "_nth", "_ok", "nth", "NTH", "ok", "id", "changed", "new", "canonical", "known_key", "failures", "hit", "v0", "call", "pos_"]
+
+
+def test_clashing_columns(spark):
+    own = {c: F.lit(f"own {c}") for c in CLASHES if c != "NTH"}
+    base = spark.createDataFrame([("1", "a"), ("2", "b")], "fhrsid string, name string").withColumns(own)
+    change = spark.createDataFrame([("01", "z", "x")], "fhrsid string, name string, changed string").withColumns({c: F.lit("set") for c in CLASHES if c not in ("NTH", "changed")})
+    out = {r.fhrsid: r for r in updates.update_overlay(base, change).collect()}
+    assert out["1"].name == "z" and out["1"]["_id"] == "set" and out["1"].changed == "x" and out["2"]["_key"] == "own _key" and list(out["2"].asDict()) == base.columns
+    assert updates.update_summary(change, base).first().asDict() == {"n_success": 1, "n_error": 0}
+    failed = updates.failed_updates(change.withColumn("fhrsid", F.lit(" ")), base)
+    assert failed.columns == [*change.columns, "failures_"] and tuple(failed.first()["failures_"][0]) == ("fhrsid", " ", "no key")
+    fresh = spark.createDataFrame([("1", 1), ("7", 2), ("7", 3), (None, 4)], "FHRSID string, n int").withColumns(own)
+    got = ingest.new_records(fresh, base, "FHRSID", "fhrsid")
+    assert got.columns == fresh.columns and {r.n for r in got.collect()} == {2, 3, 4}
+    first = ingest.first_wins(fresh, "FHRSID", "n")
+    assert first.columns == fresh.columns and {r.n for r in first.collect()} == {1, 2, 4}
+    assert ingest.first_wins(fresh.withColumnRenamed("nth", "NTH"), "FHRSID", "n").columns[2:] == [c.replace("nth", "NTH") if c == "nth" else c for c in own]
+
+
+def test_failures_are_named(spark):
+    base = spark.createDataFrame([("1", 5, True, "a")], "fhrsid string, n bigint, flag boolean, name string")
+    change = spark.createDataFrame([("1", "x", "maybe", "q"), ("", "1", None, None), ("2", "7", "true", None), (None, "y", None, None)], "fhrsid string, n string, flag string, name string")
+    found = {r.fhrsid: [tuple(f) for f in r.failures] for r in updates.failed_updates(change, base).collect()}
+    assert found == {"1": [("n", "x", "no bigint"), ("flag", "maybe", "no boolean")], "": [("fhrsid", "", "no key")], None: [("fhrsid", None, "no key"), ("n", "y", "no bigint")]}
+    assert [tuple(f) for f in updates.failed_updates(change.select("fhrsid", F.lit("v").alias("nope")).limit(1), base).first().failures] == [("nope", "v", "no such column")]
+    assert updates.failed_updates(change.select("fhrsid").limit(1), base).first().failures[0].reason == "nothing to set"
+    # Without csv_ordinal the result is the same in each run.
+    twice = spark.createDataFrame([("1", "1"), ("01", "2")], "fhrsid string, n string")
+    assert [r.n for r in updates.update_overlay(base, twice).collect()] == [r.n for r in updates.update_overlay(base, twice.orderBy("n")).collect()]
 
 
 def serve(pages):
@@ -305,6 +396,7 @@ def test_workflows(spark, tmp_path):
     (tmp_path / "u.csv").write_text("FHRSID,postcode,newratingpending\n00123,N1 'x,FALSE\n5,N2,maybe\n99,N3,true\n")
     done = workflows.update_from_csv(spark, root, path, str(tmp_path / "u.csv"))
     assert done.counts == {"n_success": 2, "n_error": 1} and done.warnings == ["1 rows failed"]
+    assert [(r.fhrsid, *r.failures[0]) for r in done.shown.collect()] == [("5", "newratingpending", "maybe", "no boolean")]
     assert {(r.fhrsid, r.postcode, r.newratingpending) for r in table.read().collect()} == {("123", "N1 x", False), ("5", None, None)}
     assert workflows.update_row(spark, root, path, "5", {"postcode": "Z", "newratingpending": True}) and not workflows.update_row(spark, root, path, "5", {})
     assert {(r.fhrsid, r.postcode, r.newratingpending) for r in table.read().collect()} == {("123", "N1 x", False), ("5", "Z", True)}
