@@ -14,8 +14,8 @@ other columns are not read; an empty table gives files without rows.
 
 Texts are encoded once, into a scratch table of ids. A tokenizer that drops white space, lower-cases, and splits between
 letters and other characters is asked for words instead of texts: what stands between ASCII white space is
-encoded apart, plain letters apart from what follows them, and words are remembered, a bounded number of them.
-That gives the same ids, as no rule of such a tokenizer looks across these borders; set words_apart to False for others.
+encoded apart, letters apart from what follows them, and words are remembered, a bounded number of them. Words of Latin letters
+go to the tokenizer's model at once, in the form that its own normalizer and splitter give each letter. That gives the same ids, as no rule of such a tokenizer looks across these borders; set words_apart to False for others.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ BLOCK = 1 << 16
 #: Bytes of ids that a file gets, and the most files there are: the driver holds a row for each of them.
 FILE_BYTES, MOST_FILES = 32 << 20, 20_000
 _HEAD = struct.Struct("<4sIIII")
-#: ASCII letters and what may follow them without forming a contraction or a special token with them.
-_PLAIN = re.compile(rb"([A-Za-z]+)([!-&(-/:;=-@\[-`{}~]*)")
+#: Code points up to which letters are looked up one by one; what may follow them without forming a contraction or a special token.
+_LATIN, _BEHIND = 0x180, r"[!-&(-/:;=-@\[-`{}~]*"
 
 
 class _Words(dict):
@@ -52,6 +52,16 @@ class _Words(dict):
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.model, self.code = self.tokenizer.model, {"<u2": "H", "<u4": "I"}[kind]
         self.old: dict[bytes, bytes] = {}
+        self.forms = dict(self._letters())
+        letters = "".join(map(chr, self.forms))
+        self.plain = re.compile(f"([{letters}]+)({_BEHIND})")
+
+    def _letters(self) -> Iterator[tuple[int, str]]:
+        """Letters that the tokenizer brings into one form whatever their case, with this form."""
+        form = lambda c: self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(c))
+        for c in map(chr, range(_LATIN)):
+            if c.isalpha() and len(form(c)) == 1 and form(c)[0][0] == form(c.lower())[0][0]:
+                yield ord(c), form(c)[0][0]
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.limit:
@@ -67,14 +77,14 @@ class _Words(dict):
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def _encode(self, word: bytes) -> bytes:
-        plain = _PLAIN.fullmatch(word)
+        plain = self.plain.fullmatch(word.decode())
         if not plain:
             return self.whole(word)
         letters, rest = plain.groups()
         lower = letters.lower()
         if rest or lower != letters:
-            return self[lower] + (self[rest] if rest else b"")
-        return self._packed([t.id for t in self.model.tokenize(lower.decode())])
+            return self[lower.encode()] + (self[rest.encode()] if rest else b"")
+        return self._packed([t.id for t in self.model.tokenize(lower.translate(self.forms))])
 
     def whole(self, text: bytes) -> bytes:
         """The ids of a text, asked for at once."""
