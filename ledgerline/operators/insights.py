@@ -14,8 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import unused
 from ..schemas import INSIGHTS
-from .store import Table
+from .store import Table, scratch_table
 
 #: Takes prompts, gives a text or None for each. Runs on the executors, a batch at a time.
 Provider = Callable[[list[str], "ModelOptions"], list[str | None]]
@@ -115,12 +116,49 @@ def generate(df: DataFrame, prompt: Column, provider: Provider = offline, option
         for prompts in batches:
             yield pd.Series(provider(prompts.tolist(), options), dtype=object)
 
-    return df.withColumn("gemini_insights", answer(prompt))
+    # Else Spark may move a condition on the text below this step and ask twice.
+    return df.withColumn("gemini_insights", answer.asNondeterministic()(prompt))
 
 
-def insight_pipeline(staged: DataFrame, results: Table, base_prompt: str = DEFAULT_PROMPT, provider: Provider = offline, options: ModelOptions = ModelOptions()) -> DataFrame:
-    """Generates texts for staged rows that lack one, writes them over the results table, reads those with a text."""
+def generate_once(
+    df: DataFrame, prompt: Column, answers: Table, provider: Provider = offline, options: ModelOptions = ModelOptions(), batches: int = 16,
+) -> DataFrame:
+    """df with gemini_insights, asking each different prompt once, and never again for one whose answer is in `answers`.
+
+    answers: a table of digest (of prompt and options) and text, which this call creates and adds to. New prompts are asked in
+    `batches` parts by digest, and each part's answers are committed before the next one goes out: a run that fails
+    loses the part it was at, and a second run asks what is missing. Prompts without an answer aren't kept, so they are asked
+    again then. Rows with equal prompts get the same text.
+    """
+    spark = df.sparkSession
+    digest, text = unused("digest", df), unused("gemini_insights", df.drop("gemini_insights"))
+    asked = df.withColumn(digest, F.sha2(F.concat(F.lit(f"{options}\n"), prompt), 256))
+    prompts = asked.select(F.col(digest).alias("digest"), prompt.alias("prompt")).where("prompt is not null").groupBy("digest").agg(F.first("prompt").alias("prompt"))
+    if answers.exists():
+        prompts = prompts.join(answers.read(), "digest", "left_anti")
+    else:
+        answers.append(spark.createDataFrame([], "digest string, text string"))
+    part = F.pmod(F.xxhash64("digest"), F.lit(batches)).cast("int")
+    waiting = scratch_table(spark, "prompts")
+    prompts.withColumn("part", part).write.partitionBy("part").parquet(waiting.folder)
+    todo = spark.read.schema("digest string, prompt string, part int").parquet(waiting.folder)
+    for k in sorted(r.part for r in todo.select("part").distinct().collect()):
+        told = generate(todo.where(F.col("part") == k), F.col("prompt"), provider, options)
+        answers.append(told.where("gemini_insights is not null").select("digest", F.col("gemini_insights").alias("text")))
+    waiting.drop()
+    known = answers.read().groupBy(F.col("digest").alias(digest)).agg(F.max("text").alias(text))
+    return asked.drop("gemini_insights").join(known, digest, "left").drop(digest)
+
+
+def insight_pipeline(
+    staged: DataFrame, results: Table, base_prompt: str = DEFAULT_PROMPT, provider: Provider = offline, options: ModelOptions = ModelOptions(), answers: Table | None = None,
+) -> DataFrame:
+    """Generates texts for staged rows that lack one, writes them over the results table, reads those with a text.
+
+    With a table of answers, equal prompts are asked once and a repeated run asks only what is missing (`generate_once`).
+    """
     prompt = build_prompt(base_prompt, *(F.col(c) for c in INSIGHTS[1:6]))
-    answered = generate(needs_insight(staged), prompt, provider, options)
+    rows = needs_insight(staged)
+    answered = generate(rows, prompt, provider, options) if answers is None else generate_once(rows, prompt, answers, provider, options)
     results.overwrite(answered.select("fhrsid", "gemini_insights", *INSIGHTS[1:6]))
     return has_insight(results.read()).select(INSIGHTS)

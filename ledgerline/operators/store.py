@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,8 +41,31 @@ def scratch_dir(spark: SparkSession) -> str:
     return LOCAL_SCRATCH
 
 
+#: Scratch folders of this process that nobody has deleted yet.
+_scratch: set[str] = set()
+
+
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new folder's path in the shared folder; `clear_scratch` deletes it unless `delete_scratch` has."""
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _scratch.add(path)
+    return path
+
+
+def delete_scratch(spark: SparkSession, paths: Iterable[str]) -> None:
+    for p in list(paths):
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _scratch.discard(p)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all scratch folders made so far, by any thread; results that weren't written before can't be read any more."""
+    delete_scratch(spark, _scratch)
+
+
 def scratch_table(spark: SparkSession, label: str) -> Table:
-    return Table(spark, f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return Table(spark, scratch_folder(spark, label))
 
 
 def split_path(path: str) -> tuple[str, str, str]:
@@ -162,6 +185,9 @@ class Table:
         bloom = {f"parquet.bloom.filter.enabled#{layout.canonical}": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
         ready.write.options(**bloom, partitionOverwriteMode="dynamic").mode(mode).partitionBy(bucket).parquet(folder)
 
+    def drop(self) -> None:
+        delete_scratch(self.spark, [self.folder])
+
     def buckets_of(self, keys: DataFrame, column: str) -> list[int]:
         """The buckets of canonical keys: as many as the table has at most."""
         layout = self.layout()

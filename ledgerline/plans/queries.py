@@ -566,23 +566,14 @@ def _master_rows(spark, sf_dir) -> DataFrame:
     return _t(spark, sf_dir, "customer").select([typed.get(f.name, none).cast(f.dataType).alias(f.name) for f in schemas.MASTER.fields])
 
 
-def _pages(spark, sf_dir):
-    """Coordinates (nation, page) as text, and a search service that answers with that nation's customers of the page."""
-    size = 5000
-    place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
-    customers = _t(spark, sf_dir, "customer").withColumn("page", F.floor(place / size).cast("int"))
+def _pages(spark, sf_dir) -> tuple[DataFrame, records.Search]:
+    """Calls (nation, page), and a search that answers each with that nation's customers of the page."""
+    c = _t(spark, sf_dir, "customer").withColumns({"longitude": F.col("c_nationkey").cast("double"), "latitude": F.floor(F.col("c_custkey") / PAGE).cast("double")})
     found = F.collect_list(F.struct(F.concat(F.lit("00"), "c_custkey").alias("FHRSID"), F.col("c_name").alias("BusinessName")))
     body = F.concat(F.lit('{"FHRSEstablishment": {"EstablishmentCollection": {"EstablishmentDetail": '), F.to_json(found), F.lit("}}}"))
-    table = store.scratch_table(spark, "service")
-    table.overwrite(customers.groupBy(F.col("c_nationkey").alias("nation"), "page").agg(body.alias("body")))
-    bodies = table.read()
-
-    def transport(url: str) -> tuple[int, str]:
-        nation, page = (int(float(x)) for x in url.split("/")[-5:-3])
-        return 200, bodies.where((F.col("nation") == nation) & (F.col("page") == page)).first().body
-
-    places = bodies.select("nation", "page").orderBy("nation", "page").collect()  # a call of the service for each
-    return "\n".join(f"{r.nation},{r.page}" for r in places), transport
+    bodies = c.groupBy("longitude", "latitude").agg(body.alias("body"))
+    calls = c.select("longitude", "latitude", (F.col("longitude") * 1_000_000 + F.col("latitude")).cast("int").alias("call_ordinal")).distinct()
+    return calls, lambda calls, max_results: calls.join(bodies, ["longitude", "latitude"]).select(*records.RESPONSES_COLUMNS, F.lit(None).cast("string").alias("problem"))
 
 
 @query(
@@ -593,8 +584,8 @@ def _pages(spark, sf_dir):
 def fetch_workflow(spark, sf_dir):
     known = _master_rows(spark, sf_dir).where(F.col("fhrsid").cast("bigint") % 2 == 0).drop("gemini_insights").withColumn("manual_review", F.lit(schemas.NOT_REVIEWED))
     root = _workflow_master(spark, sf_dir, known)
-    coordinates, transport = _pages(spark, sf_dir)
-    workflows.fetch_and_append(spark, coordinates, 5000, root, MASTER_PATH, f"{root}/landing", transport, 0, DAY)
+    calls, search = _pages(spark, sf_dir)
+    workflows.fetch_and_append(spark, calls, 5000, root, MASTER_PATH, f"{root}/landing", search, DAY)
     return store.Table.at(spark, root, MASTER_PATH).read().select("fhrsid", "businessname", "addressline1", "first_seen", "manual_review")
 
 
@@ -628,9 +619,46 @@ def csv_workflow(spark, sf_dir):
 
 @query("SELECT n_nationkey AS id, n_name AS \"detail.name\", n_regionkey AS \"detail.region\" FROM nation")
 def json_readback(spark, sf_dir):
-    """One document over several lines: an array of nested records."""
+    """A document for each region, over several lines: an array of nested records."""
     folder = store.scratch_table(spark, "json").folder
     nested = F.struct(F.col("n_nationkey").alias("id"), F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")).alias("detail"))
     text = F.array_join(F.collect_list(F.to_json(nested)), ",\n")
-    _t(spark, sf_dir, "nation").agg(F.concat(F.lit("[\n"), text, F.lit("\n]"))).write.text(folder)
+    _t(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.concat(F.lit("[\n"), text, F.lit("\n]"))).write.partitionBy("n_regionkey").text(folder)
     return flatten.flatten(records.read_json(spark, folder, StructType.fromDDL("id int, detail struct<name: string, region: int>")))
+
+
+@query(
+    'SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS "detail.name", CASE WHEN c_custkey % 2 = 1 THEN CAST(c_acctbal AS DOUBLE) END AS "detail.balance", '
+    'CASE WHEN c_custkey % 2 = 1 THEN c_mktsegment END AS segment FROM customer'
+)
+def flatten_by_data(spark, sf_dir):
+    """JSON arrays of records with different keys, flattened by what occurs."""
+    folder = store.scratch_table(spark, "json").folder
+    even = F.to_json(F.struct(F.col("c_custkey").alias("id"), F.struct(F.col("c_name").alias("name")).alias("detail")))
+    odd = F.to_json(F.struct(F.col("c_custkey").alias("id"), F.struct(F.col("c_acctbal").alias("balance")).alias("detail"), F.col("c_mktsegment").alias("segment")))
+    record = F.when(F.col("c_custkey") % 2 == 0, even).otherwise(odd)
+    pages = _t(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / PAGE).alias("page"))
+    pages.agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(record), ",\n"), F.lit("\n]"))).write.partitionBy("page").text(folder)
+    elements = records.json_elements(spark, folder)
+    return flatten.flatten_variant(elements.select(F.parse_json("text").alias("v")), "v").select("id", "`detail.name`", "`detail.balance`", "segment")
+
+
+@query(
+    "SELECT fhrsid, businessname, addressline1, addressline2, addressline3, postcode, md5(" + _PROMPT.format("businessname", "addressline1", "''", "addressline3", "postcode") + f") AS gemini_insights FROM ({_STAGED.format('VARCHAR')}) WHERE gemini_insights IS NULL OR gemini_insights = ''"
+)
+def insight_answers(spark, sf_dir):
+    """insight_pipeline with a table of answers, run twice: the second run asks nothing."""
+    c = _t(spark, sf_dir, "customer")
+    known = F.expr("CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'known' END")
+    staged = c.select(
+        F.col("c_custkey").cast("string").alias("fhrsid"), F.col("c_name").alias("businessname"), F.col("c_mktsegment").alias("addressline1"),
+        F.lit(None).cast("string").alias("addressline2"), F.lit("").alias("addressline3"), F.col("c_nationkey").cast("string").alias("postcode"),
+        known.alias("gemini_insights"),
+    )
+    answers = store.scratch_table(spark, "answers")
+    insights.insight_pipeline(staged, store.scratch_table(spark, "insights"), "About ", answers=answers)
+
+    def silent(prompts: list[str], options: insights.ModelOptions) -> list[str | None]:
+        return [None] * len(prompts)
+
+    return insights.insight_pipeline(staged, store.scratch_table(spark, "insights"), "About ", silent, answers=answers)

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import datetime
-import time
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -34,33 +32,38 @@ def today() -> datetime.date:
 
 
 def fetch_and_append(
-    spark: SparkSession, coordinates_text: str, max_results: int, root: str, path: str, landing: str, transport: records.Transport = records.http,
-    pause: float = 4, as_of: datetime.date | None = None, sleep: Callable[[float], None] = time.sleep,
+    spark: SparkSession, coordinates: str | DataFrame, max_results: int, root: str, path: str, landing: str, search: records.Search | None = None, as_of: datetime.date | None = None,
 ) -> Result:
     """Searches, finds the records that the master lacks and appends them.
 
+    coordinates: lines of text, or calls as a DataFrame (call_ordinal, longitude, latitude). search: by default calls of the service.
     df is the master as it was before; shown holds the new records; failed calls are warnings. New records are counted by the
     job that appends them. Of a keyed master, only the buckets of the fetched ids are read. The path is checked before any
     call goes out. Reading, comparing and appending are separate steps: one writer at a time.
     """
-    places, bad = uploads.coordinates(spark, coordinates_text)
-    warnings = [f"line {n}: not a coordinate" for n in bad]
-    if not places:
-        return Result(None, {}, [*warnings, "no valid coordinates"])
+    warnings = []
+    if isinstance(coordinates, str):
+        places, bad = uploads.coordinates(spark, coordinates)
+        warnings += [f"line {n}: not a coordinate" for n in bad]
+        if not places:
+            return Result(None, {}, [*warnings, "no valid coordinates"])
+        coordinates = spark.createDataFrame([(k, *p) for k, p in enumerate(places)], "call_ordinal int, longitude double, latitude double")
     split_path(path)
     table = Table.at(spark, root, path)
-    landed = records.land(spark, places, max_results, landing, transport, pause, sleep)
+    landed = records.land(coordinates, max_results, landing, search or records.through())
     responses = landed.responses
     warnings += [f"call {k}: {problem}" for k, problem in landed.failures.items()]
-    calls = records.record_count(responses).collect()  # a row per call made above
-    warnings += [f"call {r.call_ordinal}: {r.n_results} results, maybe cut off" for r in calls if r.n_results == max_results]
+    calls = records.record_count(responses)
+    full = calls.where(F.col("n_results") == max_results).orderBy("call_ordinal").collect()
+    warnings += [f"call {r.call_ordinal}: {r.n_results} results, maybe cut off" for r in full]
+    fetched = calls.agg(F.coalesce(F.sum("n_results"), F.lit(0))).first()[0]
     batch = records.parse(responses)
     before = load_master(table)
     ids = batch.select(canonical_id(F.col("FHRSID")).alias("id"))
     new = ingest.ingest_new(batch, table.candidates(ids, "id"), as_of or today())
     projected, seen = append_projection(new), Observation()
     append_table(table, projected.observe(seen, F.count(F.lit(1)).alias("new")), projected.schema)
-    counts = {"fetched": sum(r.n_results for r in calls), "new": seen.get["new"]}
+    counts = {"fetched": fetched, "new": seen.get["new"]}
     return Result(before, counts, warnings, new)
 
 
@@ -77,12 +80,14 @@ def enrich_recent(
 ) -> Result:
     """Generates texts for the staged rows; write_back also stores them in the master.
 
-    counts: rows in the results table, and those of them that got a text.
+    Answers are kept in the table genai_answers of the dataset: a run that follows a failed one asks only what it
+    hasn't been told yet. counts: rows in the results table, and those of them that got a text.
     """
     project, dataset, _ = split_path(path)
     staged = Table.at(spark, root, f"{project}.{dataset}.recent_restaurants_temp").read()
     results = Table.at(spark, root, f"{project}.{dataset}.genairesults_temp")
-    found = insights.insight_pipeline(staged, results, prompt, provider)
+    answers = Table.at(spark, root, f"{project}.{dataset}.genai_answers")
+    found = insights.insight_pipeline(staged, results, prompt, provider, answers=answers)
     counts = {"generated": results.rows(), "with_text": found.count()}
     if write_back:
         table = Table.at(spark, root, path)

@@ -9,18 +9,23 @@ from pyspark.sql import functions as F
 
 from ..errors import SourceError
 from ..functions.coerce import to_double
+from .splits import csv_records
 
 ID = "fhrsid"
 
 
+#: A cell's quote is doubled inside it; lines may break in quoted cells.
+CSV = {"escape": '"', "multiLine": "true", "mode": "PERMISSIVE"}
+
+
 def read_updates(spark: SparkSession, path: str, id_column: str = ID) -> DataFrame:
     """The rows of a file, or of a folder's files by name, as texts, with csv_ordinal, their file and
     place in it; the id column is `fhrsid`.
 
     Blank cells are null, and so are the missing cells of short rows. Errors: no data, a header only,
     no column with the id's name in any case (the first one counts), a row with more cells than the
-    header. A file is read by one task, since lines of a quoted cell may break; a folder's files are
-    read side by side.
+    header, a quoted cell without an end. Quotes in a quoted cell are doubled. The header is the first line of each file. A large
+    file is read by many tasks, also where lines of quoted cells break.
     """
     try:
         head = spark.read.text(path).limit(1).collect()
@@ -28,20 +33,20 @@ def read_updates(spark: SparkSession, path: str, id_column: str = ID) -> DataFra
         raise SourceError(f"{path}: {str(e).splitlines()[0]}") from e
     if not head or not head[0][0].strip():
         raise SourceError(f"{path}: empty or contains no data")
-    names = next(csv.reader([head[0][0]]))
+    names = next(csv.reader([head[0][0].removeprefix("\ufeff")]))
     at = next((i for i, n in enumerate(names) if n.strip().lower() == id_column), None)
     if at is None:
         raise SourceError(f"{path}: the column {id_column!r} is missing")
     names[at] = id_column
-    wide = [*names, "_beyond"]
-    rows = spark.read.option("multiLine", True).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").schema(", ".join(f"`{n}` string" for n in wide)).csv(path)
-    rows = rows.withColumn("csv_ordinal", F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place")))
-    state = rows.agg(F.count("*").alias("n"), F.count("_beyond").alias("long")).first()
+    schema = ", ".join(f"c{i} string" for i in range(len(names) + 1))
+    cells = F.from_csv("text", schema, CSV).alias("cells")
+    rows = csv_records(spark, path).select(F.struct("file", "block", "place").alias("csv_ordinal"), cells)
+    state = rows.agg(F.count("*").alias("n"), F.count(F.col("cells")[f"c{len(names)}"]).alias("long")).first()
     if not state.n:
         raise SourceError(f"{path}: empty")
     if state.long:
         raise SourceError(f"{path}: {state.long} rows have more cells than the header")
-    return rows.drop("_beyond")
+    return rows.select(*[F.col("cells")[f"c{i}"].alias(n) for i, n in enumerate(names)], "csv_ordinal")
 
 
 def parse_coordinates(lines: DataFrame, line: str = "line") -> DataFrame:

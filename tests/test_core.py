@@ -1,10 +1,16 @@
 """Behaviour of the core library: coercion, names, sources, ingest, store, updates, insights, workflows."""
 
+import csv
 import datetime
+import io
 import json
+import random
+import uuid
 from pathlib import Path
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +20,7 @@ from ledgerline.functions import coerce
 from ledgerline.functions.names import sanitize, sanitize_all
 from ledgerline.operators import flatten, ingest, insights, recent, store, updates
 from ledgerline.plans import queries, workflows
-from ledgerline.sources import records, uploads
+from ledgerline.sources import records, splits, uploads
 from ledgerline.sources.master import load_master
 from ledgerline.streaming.landing import ingest_stream
 
@@ -365,19 +371,65 @@ def serve(pages):
     return transport
 
 
+def test_lanes_share_the_rate(spark, tmp_path):
+    """Each lane writes down when it waits and calls; together they make a call in a pause, in any number of lanes."""
+    for lanes in (1, 3):
+        log = tmp_path / f"log{lanes}"
+        log.mkdir()
+        note = lambda what, log=log: (log / uuid.uuid4().hex).write_text(json.dumps(what)) and None
+        calls = spark.createDataFrame([(k, float(k), 0.5) for k in range(7)], "call_ordinal int, longitude double, latitude double")
+        transport = lambda url, note=note: (note(["call", url.split("/")[-5]]), (500, "") if "/3.0/" in url else (200, "{}"))[1]
+        landed = records.land(calls, 10, str(tmp_path / "landing"), records.through(transport, 4, lanes, lambda s, note=note: note(["wait", s])))
+        said = [json.loads(f.read_text()) for f in log.iterdir()]
+        assert sorted(w for k, w in said if k == "wait") == sorted([4.0 * lanes] * 7 + [4.0 * k for k in range(1, lanes)])
+        assert sorted(w for k, w in said if k == "call") == [f"{k}.0" for k in range(7)]
+        assert landed.failures == {3: "status 500"} and sorted(r.call_ordinal for r in landed.responses.collect()) == [0, 1, 2, 4, 5, 6]
+    none = records.land(calls.limit(0), 10, str(tmp_path / "landing"), records.through())
+    assert none.failures == {} and none.responses.count() == 0
+    with pytest.raises(ValueError):
+        records.land(calls, 5001, str(tmp_path), records.through())
+
+
+def test_prompts_are_asked_once(spark, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+
+    def count(prompts, options, down=None):
+        for p in prompts:
+            if p == down:
+                raise OSError("down")
+            (log / uuid.uuid4().hex).write_text(p)
+        return [None if p == "p7" else f"about {p}" for p in prompts]
+
+    asked = lambda: sorted(f.read_text() for f in log.iterdir())
+    rows = spark.createDataFrame([(i, f"p{i % 20}", "own") for i in range(200)] + [(200, None, "own")], "i int, p string, digest string")
+    answers = store.Table(spark, str(tmp_path / "answers"))
+    with pytest.raises(Exception, match="down"):
+        insights.generate_once(rows, F.col("p"), answers, lambda p, o: count(p, o, "p3"), batches=5)
+    before = {r.text for r in answers.read().collect()}
+    first = asked()
+    out = insights.generate_once(rows, F.col("p"), answers, count, batches=5)
+    assert out.columns == ["i", "p", "digest", "gemini_insights"]
+    assert {(r.p, r.gemini_insights) for r in out.collect()} == {(None, None)} | {(f"p{i}", None if i == 7 else f"about p{i}") for i in range(20)}
+    again = asked()
+    for text in before:  # what was committed isn't asked again
+        assert again.count(text.removeprefix("about ")) == first.count(text.removeprefix("about ")) == 1
+    insights.generate_once(rows, F.col("p"), answers, count, batches=5)
+    assert asked() == sorted([*again, "p7"])  # only what has no answer
+
+
 def test_workflows(spark, tmp_path):
     root, path = str(tmp_path / "root"), "proj.dset.master_table"
     table = store.Table.at(spark, root, path)
     empty = spark.createDataFrame([], schemas.MASTER).drop("gemini_insights")
     pages = [{"FHRSID": "0123", "BusinessName": "A", "NewRatingPending": "true"}, {"FHRSID": 5, "BusinessName": "B"}, {"FHRSID": "5"}]
-    waits = []
-    run = lambda landing, text="1.0,1.0\n2.0,2.0\n3.0,3.0\nbad": workflows.fetch_and_append(spark, text, 3, root, path, str(tmp_path / landing), serve(pages), 4, DAY, waits.append)
+    search = records.through(serve(pages), 0)
+    run = lambda landing, text="1.0,1.0\n2.0,2.0\n3.0,3.0\nbad": workflows.fetch_and_append(spark, text, 3, root, path, str(tmp_path / landing), search, DAY)
     with pytest.raises(SourceError):
         run("l0")  # no master yet: never taken for an empty one
     table.overwrite(empty)
-    waits.clear()
     first = run("l1")
-    assert first.counts == {"fetched": 3, "new": 2} and waits == [4, 4, 4] and first.df.count() == 0
+    assert first.counts == {"fetched": 3, "new": 2} and first.df.count() == 0
     assert first.warnings == ["line 4: not a coordinate", "call 1: status 500", "call 2: call failed: no network", "call 0: 3 results, maybe cut off"]
     assert run("l2").counts["new"] == 0 and table.rows() == 2
     again = run("l1")  # the same folder: earlier responses don't count again
@@ -385,7 +437,7 @@ def test_workflows(spark, tmp_path):
     assert run("l3", "x").warnings[-1] == "no valid coordinates"
     assert run("l4", "2.0,2.0").counts == {"fetched": 0, "new": 0}
     with pytest.raises(InvalidTablePath):
-        workflows.fetch_and_append(spark, "1.0,1.0", 3, root, "proj..table", "x", serve(pages))
+        workflows.fetch_and_append(spark, "1.0,1.0", 3, root, "proj..table", "x", search)
     table.overwrite(load_master(table).withColumn("gemini_insights", F.lit(None).cast("string")))
     assert workflows.recent_analysis(spark, root, path, 7, DAY).df.count() == 2
     assert workflows.recent_analysis(spark, root, path, 7, DAY + datetime.timedelta(30)).warnings == ["no recent rows"]
@@ -420,6 +472,91 @@ def test_caps_and_counts(spark):
     assert tuple(ingest.ingest_summary(b, ingest.ingest_new(b, master(spark, ["1"]), DAY)).first()) == (2, 1)
 
 
+@pytest.fixture
+def split(spark):
+    """Sets the bytes of a block; what was set before comes back."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    yield lambda size: spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("size", [90, 97, 400])
+def test_one_csv_file_is_read_by_many_tasks(spark, tmp_path, split, size):
+    rnd = random.Random(size)
+    rows = [(str(i), "".join(rnd.choice(["a", '"', ",", "\n", "\r\n", "é", 'x"y']) for _ in range(rnd.randint(0, 25)))) for i in range(120)]
+    rows[50] = ("50", "line\n" * 150)  # longer than several blocks
+    with open(tmp_path / "u.csv", "w", newline="") as f:
+        w = csv.writer(f, lineterminator="\r\n" if size == 97 else "\n")
+        w.writerows([("FhrsID", "v"), *rows])
+    split(size)
+    got = uploads.read_updates(spark, str(tmp_path / "u.csv"))
+    assert got.rdd.getNumPartitions() > 10
+    assert [(r.fhrsid, r.v) for r in got.orderBy("csv_ordinal").collect()] == [(i, v or None) for i, v in rows]
+    (tmp_path / "open.csv").write_text('fhrsid,v\n1,x\n2,"y\n' + "z\n" * 100)
+    with pytest.raises(SourceError, match="doesn't end"):
+        uploads.read_updates(spark, str(tmp_path / "open.csv"))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.text('a",\n', max_size=6), min_size=1, max_size=3), min_size=1, max_size=4))
+def test_open_cells_are_followed(rows):
+    text = io.StringIO()
+    csv.writer(text, lineterminator="\n").writerows(rows)
+    is_open, ends = False, 0
+    for line in text.getvalue().split("\n")[:-1]:
+        is_open = splits.open_after(line, is_open)
+        ends += not is_open
+    assert not is_open and ends == len(rows)
+
+
+def odd_value(rnd, depth=0):
+    kind = rnd.randint(0, 5)
+    if kind == 0:
+        return "".join(rnd.choice('a"\\{}[],:\n é') for _ in range(rnd.randint(0, 12)))
+    if kind == 1 and depth < 3:
+        return {f"k{i}": odd_value(rnd, depth + 1) for i in range(rnd.randint(0, 3))}
+    if kind == 2 and depth < 3:
+        return [odd_value(rnd, depth + 1) for _ in range(rnd.randint(0, 3))]
+    return rnd.choice([None, True, -1.5, "x", 7])
+
+
+@pytest.mark.parametrize(("size", "indent"), [(150, None), (400, 1)])
+def test_one_json_array_is_read_by_many_tasks(spark, tmp_path, split, size, indent):
+    rnd = random.Random(size)
+    values = [*(odd_value(rnd) for _ in range(100)), {"long": "} ]" * 500}, [], "", None]
+    (tmp_path / "a.json").write_text(json.dumps(values, indent=indent))
+    split(size)
+    found = splits.json_elements(spark, str(tmp_path / "a.json"))
+    assert found.rdd.getNumPartitions() > 5
+    assert [json.loads(r.text) for r in found.orderBy("file", "block", "place").collect()] == values
+    records_ = [{"id": i, "n": {"a": i / 2, "t": "}"}} for i in range(60)]
+    (tmp_path / "r.json").write_text(json.dumps(records_, indent=indent))
+    df = records.read_json(spark, str(tmp_path / "r.json"))
+    assert df.schema.simpleString() == "struct<id:bigint,n:struct<a:double,t:string>>"
+    assert sorted(map(tuple, flatten.flatten(df).collect())) == [(i, i / 2, "}") for i in range(60)]
+    (tmp_path / "r.json").write_text(json.dumps(records_)[:-1])
+    with pytest.raises(SourceError, match="doesn't end"):
+        records.read_json(spark, str(tmp_path / "r.json"))
+    for bad in ("[1] [2]", "[1]x"):
+        (tmp_path / "r.json").write_text(bad)
+        with pytest.raises(Exception, match="more than one array|follows the array"):
+            splits.json_elements(spark, str(tmp_path / "r.json")).collect()
+
+
+def test_flattening_by_what_occurs(spark):
+    rows = ['{"a": 1, "b": {"c": "x", "d.e": true}}', '{"a": 2.5, "b": {"f": [1, 2]}}', '{"b": 7, "g": null, "A b": {"c\'d": 1}}', "[1]", None]
+    df = spark.createDataFrame([(i, r, "own") for i, r in enumerate(rows)], "i int, r string, a string").select("i", "a", F.parse_json("r").alias("v"))
+    out = flatten.flatten_variant(df, "v")
+    assert out.columns == ["i", "a", "A b.c'd", "a_", "b", "g"]
+    assert [tuple(r) for r in out.orderBy("i").collect()] == [
+        (0, "own", None, 1.0, '{"c":"x","d.e":true}', None), (1, "own", None, 2.5, '{"b":1}'.replace('"b":1', '"f":[1,2]'), None), (2, "own", 1, None, "7", None),
+        (3, "own", None, None, None, None), (4, "own", None, None, None, None),
+    ]
+    nested = flatten.flatten_variant(df.where("i < 2"), "v")
+    assert nested.columns == ["i", "a", "a_", "b.c", "b.d.e", "b.f"] and [tuple(r)[3:] for r in nested.orderBy("i").collect()] == [("x", True, None), (None, None, [1, 2])]
+    assert flatten.flatten_variant(df.where("i > 2"), "v").columns == ["i", "a"]
+
+
 def test_csv_of_several_files(spark, tmp_path):
     rows = spark.range(0, 400, 1, 8).select(F.col("id").alias("FhrsID"), F.format_string("a,\n%d", "id").alias("name"))
     rows.write.option("header", True).csv(str(tmp_path / "parts"))
