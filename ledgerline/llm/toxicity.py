@@ -5,11 +5,15 @@ text, so pairs such as an insult and a group named with it can weigh more than t
 
 A term is a lower-cased run of letters and digits (every non-ASCII character counts as a letter), or
 its first 5, 6 or 7 bytes, which inflected insults share; terms are hashed into `buckets`. The model is
-fitted on at most `max_rows` labelled rows, those whose hash of id and text is lowest. It learns the terms
-whose likelihood ratio with the label reaches `least_ratio`: a test that keeps noise out, not a cap. On
-the larger check tables 1,813 of 743,042 terms reach it, and on 25,503 held-out labels the model has
-precision 1.000, recall 0.988 and an area under the curve of 0.9999; fitted on all 743,042 terms
-it had 0.931, 0.774 and 0.959 in its best pass. `max_terms` bounds the model's size for stranger tables.
+fitted on at most `max_rows` labelled rows, those whose hash of id and text is lowest. Of their terms it learns all that
+have to do with the label, by two tests that keep noise out and drop nothing else:
+
+* by themselves: the likelihood ratio of the term and the label reaches `least_ratio`;
+* in pairs: among the documents that hold both terms of a pair, the labels differ from what a model of the terms above
+  expects of them by a likelihood ratio of `least_pair_ratio`, which by chance not one of 10^10 pairs does. So two
+  terms that say nothing each, but much together, are learned as well. All pairs are counted, on the executors, but for
+  those that a bound on the ratio rules out.
+
 Scoring reads every text once, without a shuffle.
 
 Defined results: a null text scores as the empty one; no label, or labels of one kind only,
@@ -39,9 +43,8 @@ _SEPARATE = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c > 127 else 32 for c in
 class Settings:
     max_rows: int = 20_000  #: labelled documents fitted on at most
     buckets: int = 1 << 24
-    max_terms: int = 4096
-    least_documents: int = 4  #: a term must occur in so many fitted documents
-    least_ratio: float = 8.0  #: and have this log-likelihood ratio
+    least_ratio: float = 8.0  #: log-likelihood ratio of a term that is learned for itself
+    least_pair_ratio: float = 25.0  #: and of a pair
     factors: int = 8
     epochs: int = 30
     batch: int = 1024
@@ -53,7 +56,7 @@ class Settings:
 
 @dataclass(frozen=True)
 class Model:
-    """Fixed-size: at most max_terms rows."""
+    """No larger than the terms of the fitted sample."""
 
     terms: np.ndarray  #: sorted buckets
     bias: float
@@ -135,8 +138,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column | None =
     """Fits on documents whose label row satisfies `usable` (a condition on doc_id).
 
     The labels' side of the join has max_rows rows at most, which bounds its broadcast, and so has the sample,
-    however often a labelled id occurs. Terms are counted on the executors; the driver gets max_terms terms and,
-    of each fitted document, those that it holds.
+    however often a labelled id occurs. Terms are counted on the executors; the driver gets the terms that pass a test, and of
+    each fitted document those that it holds.
     """
     s = settings
     known = labels.select("doc_id", F.col(label).cast("double").alias("label")).where("doc_id is not null and label is not null")
@@ -155,16 +158,128 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column | None =
     if n_positive in (0, n):
         return none
     counts = sample.mapInArrow(_counts(s.buckets), "term bigint, present bigint, positive bigint").groupBy("term").agg(F.sum("present").alias("present"), F.sum("positive").alias("positive"))
-    ratios = counts.where(F.col("present") >= s.least_documents).select("term", F.round(association(n, n_positive), 6).alias("ratio")).where(F.col("ratio") >= s.least_ratio)
-    terms = np.array(sorted(r.term for r in ratios.orderBy(F.desc("ratio"), "term").limit(s.max_terms).collect()), np.int64)
-    if not len(terms):
+    ratios = counts.select("term", F.round(association(n, n_positive), 6).alias("ratio")).where(F.col("ratio") >= s.least_ratio)
+    alone = _fitted(sample, [r.term for r in ratios.select("term").collect()], none)
+    paired = _paired_terms(sample, alone, n_positive / n)
+    return _fitted(sample, sorted({*alone.terms.tolist(), *paired}), none) if set(paired) - set(alone.terms.tolist()) else alone
+
+
+def _fitted(sample: DataFrame, terms: list[int], none: Model) -> Model:
+    """The model of some terms; `none` is the one of no terms."""
+    if not terms:
         return none
+    s, terms = none.settings, np.array(sorted(terms), np.int64)
     empty = Model(terms, none.bias, np.zeros(len(terms)), np.zeros((len(terms), s.factors)), s)
     rows = sample.mapInArrow(_chosen_rows(empty), "rows binary, label double").collect()
     rows.sort(key=lambda r: (bytes(r[0]), r[1]))  # the order of tasks must not change the model
     return _learn(empty, [np.frombuffer(bytes(r[0]), np.int32) for r in rows], np.array([r[1] > 0.5 for r in rows], float))
 
 
+def pair_ratio(both: np.ndarray, positive: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratio of the labels of documents that hold both terms against what is expected of them."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        marked = np.where(positive > 0, positive * np.log(positive / expected), 0.0)
+        others = np.where(both > positive, (both - positive) * np.log((both - positive) / (both - expected)), 0.0)
+    return marked + others
+
+
+def _losses(model: Model, low: float):
+    """term, loss: of each batch's documents, the summed log losses of those that hold the term."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms_of_word, known = _Terms(model.settings.buckets), _Rows(model)
+        for b in batches(it, 4 << 20):
+            texts = b.column("text").to_pylist()
+            found = [set().union(*map(terms_of_word.__getitem__, words_of(t))) for t in texts]
+            p = np.clip([known.score(t) for t in texts], low, 1 - low)
+            loss = -np.log(np.where(b.column("label").to_numpy() > 0.5, p, 1 - p))
+            terms, at = np.unique(np.fromiter((x for f in found for x in f), np.int64, sum(map(len, found))), return_inverse=True)
+            weights = np.bincount(at, weights=np.repeat(loss, [len(f) for f in found]), minlength=len(terms))
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(weights, pa.float64())], ["term", "loss"])
+
+    return run
+
+
+def _paired_terms(sample: DataFrame, model: Model, rate: float, blocks: int = 48) -> list[int]:
+    """The terms of pairs that `least_pair_ratio` marks, given what `model` expects.
+
+    A pair's ratio is never above the summed log losses of the documents that hold one of its terms (Jensen's
+    inequality), so terms whose sum is below the ratio are in no such pair; where the model of single terms explains
+    the labels, few are left. Expectations are at least half the rarer label's rate. Each task takes its share of the terms
+    as first of a pair and counts all pairs with them; the documents' terms and expectations, of the bounded sample, are broadcast.
+    """
+    s, spark = model.settings, sample.sparkSession
+    low = min(rate, 1 - rate) / 2
+    losses = sample.mapInArrow(_losses(model, low), "term bigint, loss double").groupBy("term").agg(F.sum("loss").alias("loss"))
+    terms = np.array(sorted(r.term for r in losses.where(F.col("loss") >= s.least_pair_ratio - 1e-6).select("term").collect()), np.int64)
+    if not len(terms):
+        return []
+    rows = sample.mapInArrow(_pair_rows(Model(terms, 0.0, np.zeros(len(terms)), np.zeros((len(terms), 1)), s), model), "rows binary, label double, expected double").collect()
+    lengths = np.array([len(r.rows) // 4 for r in rows], np.int64)
+    held = np.frombuffer(b"".join(bytes(r.rows) for r in rows), np.int32)
+    expected = np.clip([r.expected for r in rows], low, 1 - low)
+    shared = spark.sparkContext.broadcast((lengths, held, np.array([r.label > 0.5 for r in rows], float), expected))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[int] = set()
+        pairs = None
+        for b in it:
+            pairs = pairs or Pairs(*shared.value, len(terms))
+            for block in b.column("id").to_pylist():
+                for first in range(block, len(terms), blocks):
+                    partners = pairs.marked(first, s.least_pair_ratio)
+                    if len(partners):
+                        found |= {first, *partners.tolist()}
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int64())], ["at"])
+
+    marked = spark.range(blocks, numPartitions=blocks).mapInArrow(run, "at bigint").distinct().collect()
+    shared.unpersist()
+    return [int(terms[r.at]) for r in marked]
+
+
+class Pairs:
+    """Counts of pairs of terms over documents: each one's terms, its label and what is expected of it."""
+
+    def __init__(self, lengths: np.ndarray, held: np.ndarray, label: np.ndarray, expected: np.ndarray, terms: int, slice_of: int = 1 << 20):
+        self.ends, self.held, self.label, self.expected, self.terms, self.slice_of = np.cumsum(lengths), held, label, expected, terms, slice_of
+        self.begins = self.ends - lengths
+        self.order = held.argsort(kind="stable").astype(np.int64)  # places by term
+        self.doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        self.first = np.searchsorted(held[self.order], np.arange(terms + 1))
+
+    def marked(self, term: int, ratio: float) -> np.ndarray:
+        """Later terms whose pair with `term` reaches the ratio; a document's terms are sorted, so later ones follow its place."""
+        places = self.order[self.first[term] : self.first[term + 1]]
+        docs = self.doc[places]
+        rest = self.ends[docs] - places - 1
+        both, positive, expected = np.zeros(self.terms, np.int64), np.zeros(self.terms), np.zeros(self.terms)
+        before = np.cumsum(rest)
+        for part in np.split(np.arange(len(docs)), np.searchsorted(before, np.arange(self.slice_of, int(before[-1]) if len(before) else 0, self.slice_of))):
+            n = rest[part]
+            if not n.sum():
+                continue
+            at = np.repeat(places[part] + 1 - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            other, of = self.held[at], np.repeat(docs[part], n)
+            both += np.bincount(other, minlength=self.terms)
+            positive += np.bincount(other, weights=self.label[of], minlength=self.terms)
+            expected += np.bincount(other, weights=self.expected[of], minlength=self.terms)
+        some = np.flatnonzero(both)
+        return some[pair_ratio(both[some], positive[some], expected[some]) >= ratio]
+
+
+def _pair_rows(held: Model, model: Model):
+    """rows, label and expected: each document's terms among those of `held`, packed, and what `model` says of it."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, known = _Rows(held), _Rows(model)
+        for b in it:
+            texts = b.column("text").to_pylist()
+            packed = [own.of(t).astype(np.int32).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), b.column("label"), pa.array([known.score(t) for t in texts], pa.float64())], ["rows", "label", "expected"])
+
+    return run
+
+
 def gradient(parameters: np.ndarray, docs: list[np.ndarray], y: np.ndarray, penalty: float) -> np.ndarray:
     """Of the mean log loss of some documents plus half the penalty times the squares of all but the bias.
 

@@ -7,6 +7,8 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from ledgerline.llm import decontaminate, secret_scan, toxicity
 
@@ -216,3 +218,40 @@ def test_labelled_rows_are_bounded_however_often_an_id_occurs(spark):
         toxicity._learn = learn
     assert seen == [60, 40 + 58] and len(few.terms) and len(all_.terms)
     assert len(toxicity.fit(documents(spark, rows), marks.limit(0), "toxic").terms) == 0
+
+
+def test_terms_that_matter_in_pairs_only_are_learned(spark):
+    """The label is that exactly one of two words occurs, so that neither word says anything by itself."""
+    rng = random.Random(7)
+    rows, labels = [], []
+    for i in range(2400):
+        words = [f"w{rng.randrange(200)}" for _ in range(20)]
+        one, other = rng.random() < 0.5, rng.random() < 0.5
+        words += ["alpha"] * one + ["omega"] * other
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(one != other)))
+    docs, marks = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, marks, "toxic", F.col("doc_id") % 4 != 2)
+    assert {xxhash.xxh3_64_intdigest(w) % model.settings.buckets for w in (b"alpha", b"omega")} <= set(model.terms.tolist())
+    score = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert np.mean([(score[i] >= 0.5) == bool(y) for i, y in labels if i % 4 == 2]) >= 0.95
+
+
+def test_pairs_against_brute_force():
+    """Counts of all pairs, in slices too; and that no pair's ratio is above the summed losses of one term's documents."""
+    rng = np.random.default_rng(2)
+    docs = [np.flatnonzero(rng.random(12) < rng.choice([0.1, 0.6])) for _ in range(60)]
+    label, expected = (rng.random(60) < 0.4).astype(float), rng.uniform(0.1, 0.9, 60)
+    loss = -np.log(np.where(label > 0.5, expected, 1 - expected))
+    for slice_of in (7, 1 << 20):
+        pairs = toxicity.Pairs(np.array([len(d) for d in docs]), np.concatenate(docs).astype(np.int32), label, expected, 12, slice_of)
+        for a in range(12):
+            ratios = {}
+            for b in range(a + 1, 12):
+                at = [i for i, d in enumerate(docs) if a in d and b in d]
+                if at:
+                    ratios[b] = float(toxicity.pair_ratio(np.array([len(at)]), np.array([label[at].sum()]), np.array([expected[at].sum()]))[0])
+                    assert ratios[b] <= min(sum(loss[i] for i, d in enumerate(docs) if t in d) for t in (a, b)) + 1e-9
+            for least in (0.0, 0.5, 2.0):
+                assert pairs.marked(a, least).tolist() == sorted(b for b, r in ratios.items() if r >= least)
