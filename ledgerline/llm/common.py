@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import threading
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -12,7 +12,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.store import scratch_dir
+from ..operators.store import clear_scratch, delete_scratch, scratch_folder
+
+__all__ = ["clear_scratch"]  # deletes what operators have left in the shared folder
 
 #: A word is a run of anything but ASCII whitespace; bytes.split() separates at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,8 +22,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of a table's files up to which its rows are dealt out to all cores.
 SMALL_TABLE = 24 << 20
-#: Folders of scratch tables; those of an open `temporary` block are in a list of their own.
-_made: list[list[str]] = [[]]
+
+
+class _Blocks(threading.local):
+    """The open `temporary` blocks of a thread, each with the scratch tables made in it."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_blocks = _Blocks()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,42 +45,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back, which cuts its lineage."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, label)
+    if _blocks.open:
+        _blocks.open[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
-    _made[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """A block whose scratch tables are deleted at its end, but for those that a DataFrame passed to
-    what the block gets reads."""
+    """A block at whose end the scratch tables that this thread has made in it are deleted, but for those that a
+    DataFrame passed to what the block gets reads. Tables of other threads stay."""
     kept: list[str] = []
-    _made.append([])
+    made: list[str] = []
+    _blocks.open.append(made)
 
     def keep(df: DataFrame) -> DataFrame:
         files = df.inputFiles()
-        kept.extend(p for p in _made[-1] if any(f"/{p.rsplit('/', 1)[1]}/" in f for f in files))
+        kept.extend(p for p in made if any(f"/{p.rsplit('/', 1)[1]}/" in f for f in files))
         return df
 
     try:
         yield keep
     finally:
-        made = _made.pop()
-        _made[-1].extend(p for p in made if p in kept)
-        _delete(spark, [p for p in made if p not in kept])
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Deletes all scratch tables made so far; results that weren't written before can't be read any more."""
-    _delete(spark, _made[0])
-    _made[0].clear()
-
-
-def _delete(spark: SparkSession, paths: list[str]) -> None:
-    for p in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(p)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _blocks.open.pop()
+        if _blocks.open:
+            _blocks.open[-1].extend(p for p in made if p in kept)
+        delete_scratch(spark, [p for p in made if p not in kept])
 
 
 def unused(docs: DataFrame, name: str) -> str:

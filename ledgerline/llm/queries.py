@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.store import scratch_folder
 from . import bitplanes, decontaminate, lm, media, mixing, ngram_join, pii, secret_scan, substring_dedup, token_files, toxicity, vector_codes, warc
-from .common import id_remainder, scratch_dir, table
+from .common import id_remainder, table
 from .oracle import SQL
 
 
@@ -33,7 +33,7 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, "warc")
     pages = table(spark, sf_dir, "pages")
     warc.write(pages, folder)
     return warc.read(spark, folder, pages.schema["page_id"].dataType.simpleString())
@@ -60,7 +60,7 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{scratch_dir(spark)}/media-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, "media")
     return media.describe(media.write(table(spark, sf_dir, "documents"), folder, with_tensors=False))
 
 
@@ -78,7 +78,7 @@ def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    folder = f"{scratch_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
     return token_files.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 

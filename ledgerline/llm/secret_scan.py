@@ -11,7 +11,7 @@ shuffled and memory is bounded by a segment or one text.
 Defined results: a null text is the empty one and has no spans; offsets are code points, the end is
 exclusive; matches of one kind are leftmost and don't overlap, those of different kinds may; a match
 that is shorter than its rule's least length is dropped after matching; repeated rows are scanned
-each; extra columns are not read.
+each; extra columns are not read. Every rule takes time in proportion to the text, hostile texts included.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ class Rule:
     pattern: str
     group: int = 0  #: whose length counts
     least: int = 0  #: characters; shorter matches are dropped
+    linear: str = ""  #: for Python, whose search backtracks: an expression whose group "hit" is what `pattern` matches, in linear time
 
 
 #: The three rules that every scan reports, in the order of their kinds.
@@ -46,12 +47,14 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]+", 0, 24),
 )
+#: Of a run of a token's characters only the first beginning counts: where it fails, later ones fail at the same place.
+_WEB_TOKEN = r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?(?=eyJ))(?P<hit>eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,})"
 #: Published token formats.
 MORE = (
     Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", linear=_WEB_TOKEN),
     Rule("map_key", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("payment_key", r"[rs]k_live_[A-Za-z0-9]{20,}"),
     Rule("url_password", r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@"),
@@ -197,11 +200,12 @@ def _prepared(rules: tuple[Rule, ...]):
     # A trigram with a non-ASCII character has other bytes, so rules that have one scan fully.
     queries = [None if q is not None and any(not t.isascii() for a in q for t in a) else q for q in queries]
     trigrams = sorted({t.encode() for q in queries if q is not None for a in q for t in a})
-    return [re.compile(r.pattern) for r in rules], queries, Index(trigrams)
+    return [re.compile(r.linear or r.pattern) for r in rules], queries, Index(trigrams)
 
 
 def verify(rule: Rule, expression: re.Pattern, text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in expression.finditer(text) if len(m[rule.group]) >= rule.least]
+    hit = "hit" if rule.linear else 0
+    return [m.span(hit) for m in expression.finditer(text) if len(m[rule.group]) >= rule.least]
 
 
 def _long_runs(rule: Rule, expression: re.Pattern) -> re.Pattern:

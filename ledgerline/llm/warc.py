@@ -34,6 +34,8 @@ from .common import batches, materialize, utf8
 
 CHUNK = 1 << 20
 LEAST = 1000
+#: Of all pages with a repeated payload; see `decide`.
+SHARE = 1e-3
 NAME = b"WARC/1.1"
 VERSION = NAME + b"\r\n"
 END = "\r\n\r\n"
@@ -59,13 +61,24 @@ def cuts(payload: bytes, chunk: int) -> list[int]:
 
 
 def decide(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """page_id, url, payload, kind (response or revisit) and keeper, the response's page_id."""
+    """page_id, url, payload, kind (response or revisit) and keeper, the response's page_id.
+
+    Digests with more than SHARE of all repeated pages, fewer than 1 / SHARE by their share, are broadcast with their
+    keepers. Where the other ones need a shuffle, pages that need no look-up, short ones included, are spread by
+    their ids, so no digest, and no lack of one, brings many pages to one task.
+    """
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), utf8(F.col("html")).alias("payload"))
     digest = F.when(F.octet_length("payload") >= least, F.unhex(F.sha2("payload", 256)))
     keys = rows.select("page_id", digest.alias("key")).where("key is not null")
     several = keys.groupBy("key").agg(F.count("*").alias("n"), F.max("page_id").alias("top")).where("n > 1 and top is not null")
-    several = materialize(several.select("key", "top"), "repeated")
-    joined = rows.withColumn("key", digest).join(several, "key", "left")
+    several = materialize(several.select("key", "top", "n"), "repeated")
+    least_hot = SHARE * (several.agg(F.sum("n")).first()[0] or 0)
+    hot = several.where(F.col("n") > least_hot).select("key", F.col("top").alias("hot"))
+    rest = several.where(F.col("n") <= least_hot).select(F.col("key").alias("place"), F.col("top").alias("rare"))
+    known = rows.withColumn("key", digest).join(F.broadcast(hot), "key", "left")
+    apart = F.xxhash64("page_id", F.octet_length("payload")).cast("string").cast("binary")  # shorter than any digest
+    place = F.when(F.col("hot").isNull(), F.coalesce("key", apart)).otherwise(apart)
+    joined = known.withColumn("place", place).join(rest, "place", "left").withColumn("top", F.coalesce("hot", "rare"))
     revisit = F.expr("top is not null and (page_id is null or page_id < top)")
     return joined.select("page_id", "url", "payload", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("top")).alias("keeper"))
 

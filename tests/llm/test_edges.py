@@ -1,11 +1,14 @@
 """Every operator and every stage of the pipeline on odd tables: clashing columns, nulls, repeated rows, no rows."""
 
+import threading
+
 import corpus_pipeline
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.llm import common, decontaminate, lm, media, mixing, ngram_join, pii, secret_scan, substring_dedup, token_files, toxicity, warc
+from ledgerline.llm import common, decontaminate, lm, media, mixing, ngram_join, pii, queries, secret_scan, substring_dedup, token_files, toxicity, warc
+from ledgerline.operators import store
 
 LONG = " ".join(f"w{i}" for i in range(60))
 TEXTS = [
@@ -117,7 +120,7 @@ def test_pipeline_takes_empty_tables_and_clashing_columns(spark, tmp_path):
 def test_scratch_tables_go(spark, tmp_path, monkeypatch):
     """Only the tables that the result reads outlive an n-gram join; clear_scratch deletes them as well."""
     common.clear_scratch(spark)
-    monkeypatch.setattr(common, "scratch_dir", lambda spark: str(tmp_path))
+    monkeypatch.setattr(store, "scratch_dir", lambda spark: str(tmp_path))
     out = ngram_join.join(docs_of(spark, TEXTS, False))
     assert {p.name.split("-")[0] for p in tmp_path.iterdir()} == {"shingles", "classes", "labels"}
     assert out.count() == len(TEXTS)
@@ -125,6 +128,36 @@ def test_scratch_tables_go(spark, tmp_path, monkeypatch):
     assert not list(tmp_path.iterdir())
 
 
+def test_threads_keep_their_scratch_tables(spark):
+    """What another thread makes while a block is open isn't the block's to delete."""
+    opened, made, found = threading.Event(), threading.Event(), []
+
+    def other():
+        opened.wait(60)
+        found.append(common.materialize(spark.range(5), "other"))
+        made.set()
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    with common.temporary(spark) as keep:
+        opened.set()
+        made.wait(60)
+        gone, stays = common.materialize(spark.range(3), "gone"), keep(common.materialize(spark.range(4), "stays"))
+    thread.join()
+    assert found[0].count() == 5 and stays.count() == 4
+    with pytest.raises(Exception):
+        gone.count()
+
+
+@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n.startswith(("op3", "op9", "op11", "op12", "op13"))])
+def test_queries_leave_nothing_behind(spark, tmp_path, monkeypatch, name):
+    common.clear_scratch(spark)
+    monkeypatch.setattr(store, "scratch_dir", lambda spark: str(tmp_path))
+    assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() and list(tmp_path.iterdir())
+    common.clear_scratch(spark)
+    assert not list(tmp_path.iterdir())
+
+
 def test_small_tables_are_dealt_out(spark, tmp_path, monkeypatch):
     spark.range(50).coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
     assert common.table(spark, str(tmp_path), "t").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism

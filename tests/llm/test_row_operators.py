@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -30,6 +31,8 @@ SECRETS = [
     (1, 'x API_KEY = "abcdef0123" and password:short token=abcdefg'),
     (7, "-----BEGIN RSA PRIVATE KEY----- ghp_" + "a1" * 18 + " xoxb-1234567890ab https://joe:pa55@host/ "),
     (8, "word " * 60_000 + "secret=abcdefgh"),
+    (9, f"AIza{'k' * 35} AIza{'k' * 34} rk_live_{'9a' * 10} sk_live_{'9' * 19} eyJ{'a' * 8}.eyJ{'b' * 8}.{'c' * 8}-. xeyJeyJ{'a' * 8}.eyJ{'b' * 9}.{'c' * 9}"),
+    (10, f"{'eyJ' * 30}.{'eyJ' * 30}.{'eyJ' * 30}.eyJ{'x' * 8}.eyJ1.eyJ{'y' * 8}.eyJ{'z' * 8}.{'w' * 8}"),
 ]
 
 
@@ -50,6 +53,34 @@ def test_secrets_equal_brute_force(spark):
     assert any(place["hex"] in {p for _, p, _ in s} for _, s in got)
 
 
+def test_every_rule_finds_something():
+    found = {p for _, text in SECRETS for _, p, _ in brute_spans(text)}
+    assert found == set(range(len(secret_scan.RULES)))
+
+
+HOSTILE = {
+    "assign": ["token" * 200_000, "token" + " " * 1_000_000, "token\"" * 170_000, "token:" * 170_000, "api_key= " * 110_000],
+    "access": ["AKIA" * 250_000, "AKIA-" * 200_000],
+    "hex": ["0123456789abcdefg" * 60_000, "a" * 1_000_000],
+    "private_key": ["-----BEGIN " * 90_000, "-----BEGIN " + "A " * 500_000, "-----BEGIN " + "A" * 1_000_000],
+    "forge_token": ["ghp_" * 250_000, "ghp_" + "a" * 1_000_000, "ghp_a" * 200_000],
+    "chat_token": ["xoxb-" * 200_000, "xoxb-1 " * 140_000],
+    "web_token": ["eyJ" * 330_000, "a.eyJ" + "eyJ" * 330_000, "eyJ.eyJ" * 140_000, "eyJ12345678." * 83_000, "_" * 1_000_000 + "eyJ"],
+    "map_key": ["AIza" * 250_000, "AIza-" * 200_000],
+    "payment_key": ["sk_live_" * 125_000, "sk_live_a" * 110_000],
+    "url_password": ["a://" * 250_000, "a" * 1_000_000, "ab://c:d" * 125_000, "a+" * 500_000 + "://", "ab://" + "c" * 1_000_000],
+}
+
+
+@pytest.mark.parametrize("kind", [r.kind for r in secret_scan.RULES])
+def test_hostile_megabytes_take_linear_time(kind):
+    rule = next(r for r in secret_scan.RULES if r.kind == kind)
+    for text in HOSTILE[kind]:
+        began = time.process_time()
+        secret_scan.verify(rule, re.compile(rule.linear or rule.pattern), text)
+        assert time.process_time() - began < 2, text[:40]
+
+
 def test_required_trigrams_hold_for_every_match():
     for pattern, samples in [
         ("ab(x.*yz)cde", ["abx--yzcde", "abxyzcde"]),
