@@ -4,8 +4,9 @@ Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. Of
 consecutive GRAM-word hashes of a text the least is kept as a fingerprint. Two texts that share
 WIDTH + GRAM - 1 = 13 consecutive words share all hashes of that span and so its least one: no
 shared window is missed. A document's fingerprints are joined to the items' and every match is
-extended to both sides; runs of 13 words or more are hits. An item of fewer words is one window;
-those are found by the hashes of all runs of their lengths.
+extended to both sides as far as windows with the fingerprint reach; runs of 13 words or more are hits. Occurrences with the same words
+around them, as in a phrase that many items share, are extended once, and all others of a fingerprint in one step. An item
+of fewer words is one window; those are found by the hashes of all runs of their lengths.
 
 Items whose text is small (`most_bytes`, checked first) travel as a broadcast of sorted arrays and one
 pass over the documents does all, without a shuffle. Larger sets take `_by_join`: fingerprints travel with
@@ -36,6 +37,8 @@ from .common import WordHashes, batches, gram_hashes, materialize, unused, utf8,
 
 WINDOW, GRAM = 13, 5
 WIDTH = WINDOW - GRAM + 1
+#: Places, from that of a fingerprint, of the words of all windows that hold it.
+NEAR = np.arange(GRAM - WINDOW, WINDOW)
 CONTAMINATED = "n_hit > 0 and 20 * n_hit >= n_words"
 _LETTERS = bytes((c + 32 if 65 <= c < 91 else c) if 48 <= c < 58 or 65 <= c < 91 or 97 <= c < 123 or c > 127 else 32 for c in range(256))
 
@@ -70,15 +73,38 @@ class Items:
                 places.append(at)
             elif len(h):
                 short[len(h)].append((int(gram_hashes(h, len(h))[0]), k))
-        flat = np.concatenate(prints)
-        order = np.argsort(flat, kind="stable")
-        self.prints, self.items, self.places = flat[order], np.concatenate(items)[order], np.concatenate(places)[order]
-        self.keys = np.unique(self.prints)
+        self._group(np.concatenate(prints), np.concatenate(items), np.concatenate(places))
         self.short = {}
         for n, found in short.items():
             found.sort()
             self.short[n] = np.array([h for h, _ in found], np.uint64), np.array([k for _, k in found])
 
+    def _group(self, prints: np.ndarray, items: np.ndarray, places: np.ndarray) -> None:
+        """Sorts occurrences of fingerprints into classes with the same words around them; a class is extended once.
+
+        Class c, of fingerprint prints[c], has the items holders[begins[c]:begins[c + 1]], and stands at place[c] of item[c].
+        """
+        near = [np.empty((0, 2), np.uint64)]
+        for i in range(0, len(prints), 1 << 16):
+            words, inside = self._around(items[i : i + (1 << 16)], places[i : i + (1 << 16)])
+            words = np.where(inside, words, np.uint64(len(NEAR)))
+            near.append(np.stack([gram_hashes(np.ascontiguousarray(w.T), len(NEAR))[0] for w in (words, words ^ np.uint64(0x9E3779B97F4A7C15))], 1))
+        one, other = np.concatenate(near).T
+        order = np.lexsort((items, other, one, prints))
+        prints, items, places, one, other = prints[order], items[order], places[order], one[order], other[order]
+        new = np.ones(len(prints), bool)
+        new[1:] = (prints[1:] != prints[:-1]) | (one[1:] != one[:-1]) | (other[1:] != other[:-1])
+        first = np.flatnonzero(new)
+        self.prints, self.item, self.place = prints[first], items[first], places[first]
+        self.holders, self.begins = items, np.append(first, len(items))
+        self.keys = np.unique(prints)
+
+    def _around(self, items: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words around places of items, and which of them are inside the item."""
+        at = self.ends[items][:, None] + places[:, None] + NEAR
+        inside = (at >= self.ends[items][:, None]) & (at < self.ends[items + 1][:, None])
+        return self.words[np.where(inside, at, 0)], inside
+
     def of(self, k: int) -> np.ndarray:
         return self.words[self.ends[k] : self.ends[k + 1]]
 
@@ -89,16 +115,14 @@ class Items:
             grams = gram_hashes(words, GRAM)
             kept = np.unique(window_min(grams, WIDTH))
             shared = kept[_among(kept, self.keys)]
-            done: dict[tuple[int, int], int] = {}
+            met: set[int] = set()
             for p in np.flatnonzero(_among(grams, shared)).tolist():
-                for k, q in self._at(p, grams):
-                    if p < done.get((k, p - q), 0):
-                        continue
-                    start, end = extend(words, self.of(k), p, q)
-                    done[k, p - q] = end
-                    if end - start >= WINDOW:
-                        hit[start:end] = True
-                        items.add(k)
+                classes, start, end = self._extended(words, p, grams[p])
+                if len(classes):
+                    hit[start:end] = True
+                    met.update(classes.tolist())
+            for c in met:
+                items.update(self.holders[self.begins[c] : self.begins[c + 1]].tolist())
         for n, (keys, of) in self.short.items():
             grams = gram_hashes(words, n)
             for p in np.flatnonzero(_among(grams, keys)).tolist():
@@ -108,10 +132,22 @@ class Items:
                         items.add(k)
         return hit, items
 
-    def _at(self, p: int, grams: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Items and places in them of a fingerprint."""
-        some = slice(np.searchsorted(self.prints, grams[p]), np.searchsorted(self.prints, grams[p], "right"))
-        return zip(self.items[some].tolist(), self.places[some].tolist())
+    def _extended(self, words: np.ndarray, p: int, gram: np.uint64) -> tuple[np.ndarray, int, int]:
+        """Classes of a fingerprint at word p that share a window with the text around it, and which words these windows cover.
+
+        All windows with the fingerprint are within NEAR; others have a fingerprint of their own. The extension goes
+        to both sides of all classes at once. Of two classes the words that are covered are next to p, so a range holds them.
+        """
+        some = np.arange(np.searchsorted(self.prints, gram), np.searchsorted(self.prints, gram, "right"))
+        near, inside = self._around(self.item[some], self.place[some])
+        at = p + NEAR
+        equal = inside & ((at >= 0) & (at < len(words))) & (near == words[np.clip(at, 0, len(words) - 1)])
+        left = np.logical_and.accumulate(equal[:, : -NEAR[0]][:, ::-1], 1).sum(1)
+        right = np.logical_and.accumulate(equal[:, -NEAR[0] :], 1).sum(1)
+        long = (left + right >= WINDOW) & (right >= GRAM)
+        if not long.any():
+            return some[:0], p, p
+        return some[long], p - int(left[long].max()), p + int(right[long].max())
 
 
 def _among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -122,18 +158,6 @@ def _among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return keys[at] == values
 
 
-def _equal(a: np.ndarray, b: np.ndarray) -> int:
-    """How many first values of a and b are equal."""
-    n = min(len(a), len(b))
-    other = np.flatnonzero(a[:n] != b[:n])
-    return int(other[0]) if len(other) else n
-
-
-def extend(words: np.ndarray, item: np.ndarray, p: int, q: int) -> tuple[int, int]:
-    """The longest run of words around p that equals the item's around q."""
-    return p - _equal(words[:p][::-1][:q], item[:q][::-1]), p + _equal(words[p : p + len(item) - q], item[q:])
-
-
 _RESULT = "doc_id {0}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string"
 
 

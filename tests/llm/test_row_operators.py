@@ -286,3 +286,45 @@ def test_pairs_against_brute_force():
                     assert ratios[b] <= min(sum(loss[i] for i, d in enumerate(docs) if t in d) for t in (a, b)) + 1e-9
             for least in (0.0, 0.5, 2.0):
                 assert pairs.marked(a, least).tolist() == sorted(b for b, r in ratios.items() if r >= least)
+
+
+def test_a_header_of_many_items_is_extended_once():
+    """Thousands of items begin alike: their fingerprints meet in classes, not item by item."""
+    rng = random.Random(3)
+    head = [f"h{i}" for i in range(40)]
+    rows = [(str(i), " ".join([*head, *(f"q{rng.randrange(10**6)}" for _ in range(25))]).encode()) for i in range(3000)]
+    items = decontaminate.Items(rows)
+    text = [w.encode() for w in [*(f"x{i}" for i in range(100)), *head[:-1], "other", *(f"y{i}" for i in range(300))]]
+    words = decontaminate.WordHashes().of(text)
+    began = time.process_time()
+    hit, found = items.hits(words)
+    assert time.process_time() - began < 0.1
+    assert hit.tolist() == [False] * 100 + [True] * 39 + [False] * 301 and found == set(range(3000))
+    inner = [p for p in items.prints[np.flatnonzero(np.diff(items.begins) == 3000)].tolist()]
+    assert inner  # fingerprints inside the header are one class of all items
+
+
+def test_extension_against_all_windows():
+    rng = np.random.default_rng(1)
+    for trial in range(60):
+        size = int(rng.choice([2, 5, 50]))
+        base = [rng.integers(0, size, 60) for _ in range(3)]
+
+        def text(n):
+            out = []
+            while len(out) < n:
+                at = int(rng.integers(0, 50))
+                out += base[rng.integers(3)][at : at + int(rng.integers(1, 30))].tolist() if rng.random() < 0.5 else rng.integers(0, size, int(rng.integers(1, 10))).tolist()
+            return [f"w{x}".encode() for x in out[:n]]
+
+        items, doc = [text(int(rng.integers(0, 50))) for _ in range(8)], text(int(rng.integers(0, 200)))
+        hit, found = decontaminate.Items([(str(i), b" ".join(t)) for i, t in enumerate(items)]).hits(decontaminate.WordHashes().of(doc))
+        expect, some = [False] * len(doc), set()
+        for i, t in enumerate(items):
+            n = min(13, len(t))
+            windows = {tuple(t[k : k + n]) for k in range(len(t) - n + 1)} if t else set()
+            for p in range(len(doc) - n + 1 if t else 0):
+                if tuple(doc[p : p + n]) in windows:
+                    some.add(i)
+                    expect[p : p + n] = [True] * n
+        assert hit.tolist() == expect and found == some
