@@ -204,6 +204,15 @@ def record_count(spark, sf_dir):
     return pages.groupBy(_nation("call_ordinal").alias("call_ordinal")).agg(F.sum("n_results").alias("n_results"))
 
 
+@query(
+    'SELECT c_custkey AS "FHRSID", c_name AS "BusinessName", CAST(c_acctbal AS VARCHAR) AS "Scores.Hygiene" FROM customer WHERE c_custkey % 7 <> 0'
+)
+def displayed_records(spark, sf_dir):
+    """What is shown of the responses' elements: objects only, flat."""
+    elements = F.from_json(F.get_json_object("body", "$." + ".".join(schemas.RECORD_PATH)), "array<string>")
+    return workflows.displayed(_responses(spark, sf_dir).select(F.explode(elements).alias("text")))
+
+
 @query("SELECT user_id, count(*)::BIGINT AS n_results, count(*) = 60 AS maybe_capped FROM events GROUP BY 1")
 def cap_check(spark, sf_dir):
     return ingest.cap_check(_t(spark, sf_dir, "events"), "user_id", 60)
@@ -266,6 +275,13 @@ def recent_rows(spark, sf_dir):
     return recent.recent_rows(_t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), 7, DAY, "o_orderdate")
 
 
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE date_diff('day', CURRENT_DATE - CAST(o_orderkey % 20 AS INTEGER), CURRENT_DATE) < 7")
+def recent_today(spark, sf_dir):
+    """Orders of the last twenty days, as seen from the current date."""
+    day = F.date_sub(F.current_date(), (F.col("o_orderkey") % 20).cast("int"))
+    return recent.recent_rows(_t(spark, sf_dir, "orders").withColumn("first_seen", day), 7).select("o_orderkey", "o_custkey")
+
+
 _TEXTS = "CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE source END"
 
 

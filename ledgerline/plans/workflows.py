@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.coerce import canonical_id
+from ..functions.names import unused
 from ..operators import ingest, insights, recent, updates
-from ..operators.flatten import append_projection
+from ..operators.flatten import append_projection, flatten_variant
 from ..operators.store import Table, append_table, split_path
 from ..schemas import INSIGHTS
 from ..sources import records, uploads
@@ -125,6 +126,13 @@ def update_row(spark: SparkSession, root: str, path: str, key: str, values: dict
     return True
 
 
+def displayed(elements: DataFrame, text: str = "text") -> DataFrame:
+    """What a user is shown of JSON elements (texts): those that are objects, flattened by the fields that occur."""
+    v = unused("v", elements)
+    objects = elements.withColumn(v, F.try_parse_json(text)).drop(text).where(F.schema_of_variant(v).startswith("OBJECT"))
+    return flatten_variant(objects, v)
+
+
 def display(df: DataFrame, rows: int = 20) -> str:
     """The first rows as text."""
     return df._show_string(rows, False)

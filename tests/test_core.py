@@ -557,6 +557,12 @@ def test_flattening_by_what_occurs(spark):
     assert flatten.flatten_variant(df.where("i > 2"), "v").columns == ["i", "a"]
 
 
+def test_what_is_shown(spark):
+    elements = spark.createDataFrame([('{"a": 1, "b": {"c": "x"}}', 1), ("7", 2), ("no json", 3), (None, 4), ('{"d": [1]}', 5)], "text string, v int")
+    shown = workflows.displayed(elements)
+    assert shown.columns == ["v", "a", "b.c", "d"] and sorted(map(tuple, shown.collect())) == [(1, 1, "x", None), (5, None, None, [1])]
+
+
 def test_csv_of_several_files(spark, tmp_path):
     rows = spark.range(0, 400, 1, 8).select(F.col("id").alias("FhrsID"), F.format_string("a,\n%d", "id").alias("name"))
     rows.write.option("header", True).csv(str(tmp_path / "parts"))
