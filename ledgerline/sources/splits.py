@@ -15,7 +15,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,16 +90,36 @@ def open_after(line: str, is_open: bool) -> bool:
             return False
 
 
+def _bytes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all lines, without breaks, and where each line begins and the last one ends."""
+    lines = lines.cast(pa.large_string())
+    ends = np.frombuffer(lines.buffers()[1], np.int64)[lines.offset : lines.offset + len(lines) + 1]
+    data = np.frombuffer(lines.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]] if len(lines) else np.empty(0, np.uint8)
+    return data, ends - ends[0]
+
+
+def _states_behind(lines: pa.Array, is_open: bool) -> np.ndarray:
+    """Whether a quoted cell is open behind each of some lines.
+
+    Where every quote that opens a cell stands at its beginning, each quote opens or closes: a number of quotes says all. Lines
+    with stray quotes are followed one by one.
+    """
+    data, ends = _bytes(lines)
+    quotes = np.flatnonzero(data == ord('"'))
+    states = (np.searchsorted(quotes, ends[1:]) + is_open) % 2 == 1
+    opening = quotes[int(is_open) :: 2]
+    before = data[opening - 1]
+    if ((before == ord(",")) | (before == ord('"')) | np.isin(opening, ends)).all():
+        return states
+    for k, line in enumerate(lines.to_pylist()):
+        is_open = states[k] = open_after(line, is_open) if '"' in line else is_open
+    return states
+
+
 def _follow(lines: pa.Array, is_open: bool) -> tuple[bool, bool]:
     """The state behind some lines, and whether a record ends at the end of one of them."""
-    if not pc.any(pc.match_substring(lines, '"')).as_py():
-        return is_open, not is_open and len(lines) > 0
-    closed = False
-    for line in lines.to_pylist():
-        if '"' in line:
-            is_open = open_after(line, is_open)
-        closed = closed or not is_open
-    return is_open, closed
+    states = _states_behind(lines, is_open)
+    return (bool(states[-1]), not states.all()) if len(states) else (is_open, False)
 
 
 def _line_states(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,6 +144,13 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[k]) for c, k in zip(columns, kinds, strict=True)], list(names))
 
 
+def _slices(place: Place, numbers: np.ndarray, data: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+    """Records with these numbers: what stands between consecutive ends in data."""
+    n = len(numbers)
+    texts = pa.LargeStringArray.from_buffers(n, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))).cast(pa.string())
+    return pa.RecordBatch.from_arrays([pa.array([place[0]] * n, pa.string()), pa.array(np.full(n, place[1])), pa.array(numbers), texts], ["file", "block", "place", "text"])
+
+
 def csv_records(spark: SparkSession, path: str) -> DataFrame:
     """file, block, place and text of each record of CSV files but their headers; (file, block, place) is their order.
 
@@ -149,48 +175,49 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
 
     def cut(want_fragments: bool):
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            place, line, is_open, held, began = None, 0, False, [], 0
+            place, line, is_open, held, began, went_on = None, 0, False, [], 0, False
             fragments: list[tuple] = []
 
             def end_block() -> None:
                 if held:  # a record goes on in the next block
-                    fragments.append((*place, held_owner(), "\n".join(held)))
+                    fragments.append((place[0], begins[place][1 if went_on else 2], place[1], 0, b"".join(held).decode()))
 
-            def held_owner() -> int:
-                return begins[place][1] if went_on else begins[place][2]
-
-            went_on = False  # what is held began in an earlier block
             for here, lines in _by_block(it):
                 if here != place:
                     end_block()
                     place, line, held = here, 0, []
-                    is_open = went_on = begins[here][0]
-                out = []
-                for text in lines.to_pylist():
-                    if '"' in text:
-                        is_open = open_after(text, is_open)
-                    if not held:
-                        began = line
-                    held.append(text)
-                    line += 1
-                    if not is_open:
-                        if went_on:
-                            fragments.append((*place, begins[place][1], "\n".join(held)))
-                        else:
-                            out.append((*place, began, "\n".join(held)))
-                        held, went_on = [], False
-                if out and not want_fragments:
-                    yield _batch(out, _RECORDS)
+                    is_open = went_on = begins[here][0]  # went_on: what is held began in an earlier block
+                data, at = _bytes(lines)
+                data = np.insert(data, at[1:], ord("\n"))
+                states = _states_behind(lines, is_open)
+                last = np.flatnonzero(~states)
+                if not len(last):
+                    began = began if held else line
+                    held.append(data.tobytes())
+                else:
+                    ends = at[last + 1] + last + 1
+                    first = b"".join([*held, data[: ends[0]].tobytes()]).decode()
+                    if went_on:
+                        fragments.append((place[0], begins[place][1], place[1], 0, first))
+                    elif not want_fragments:
+                        yield _batch([(*place, began if held else line, first)], _RECORDS)
+                    if len(last) > 1 and not want_fragments:
+                        yield _slices(place, line + last[:-1] + 1, data, ends)
+                    went_on, began = False, line + int(last[-1]) + 1
+                    rest = data[ends[-1] :].tobytes()
+                    held = [rest] if rest else []
+                line += len(lines)
+                is_open = bool(states[-1])
             end_block()
             if want_fragments:
-                yield _batch([(f, owner, block, 0, text) for f, block, owner, text in fragments], _FRAGMENTS)
+                yield _batch(fragments, _FRAGMENTS)
 
         return run
 
     records = lines.mapInArrow(cut(False), _RECORDS)
     if any(began_open for began_open, _, _ in begins.values()):
-        records = records.unionByName(_whole(lines.mapInArrow(cut(True), _FRAGMENTS), "\n"))
-    text = F.regexp_replace("text", "\r$", "")
+        records = records.unionByName(_whole(lines.mapInArrow(cut(True), _FRAGMENTS), ""))
+    text = F.regexp_replace("text", r"\r?\n?\z", "")
     is_header = (F.col("block") == 0) & (F.col("place") == 0)
     return records.where(~is_header).withColumn("text", text).where(F.trim("text") != "")
 
@@ -278,33 +305,34 @@ def json_elements(spark: SparkSession, path: str) -> DataFrame | None:
                 outside = quotes == in_string
                 deep = np.cumsum(np.where(outside, step, 0)) + depth
                 at = np.flatnonzero(outside & border & (_levels(deep, step) == 1))
-                out, last = [], 0
-                for i in at.tolist():
-                    if data[i] == ord("[") and (place[1] or not went_on):
-                        raise ValueError(f"{place[0]}: more than one array")
-                    own = b"".join([*tail, data[last:i]])
-                    tail, last = [], i + 1
+                brackets = at[np.frombuffer(data, np.uint8)[at] == ord("[")]
+                if len(brackets) > (place[1] == 0 and went_on) or len(brackets) and brackets[0] != at[0]:
+                    raise ValueError(f"{place[0]}: more than one array")
+                if len(at):
+                    first = b"".join([*tail, data[: at[0]]]).decode()
                     if went_on and place[1]:
-                        fragments.append((place[0], begins[place][2], place[1], 0, own.decode()))
-                    elif not went_on and own.strip():
-                        out.append((*place, number, own.decode()))
-                        number += 1
-                    went_on = False
+                        fragments.append((place[0], begins[place][2], place[1], 0, first))
+                    elif not went_on and not want_fragments:
+                        yield _batch([(*place, number, first + ",")], _RECORDS)
+                    if len(at) > 1 and not want_fragments:
+                        yield _slices(place, number + 1 + np.arange(len(at) - 1), np.frombuffer(data, np.uint8), at + 1)
+                    number += len(at)
+                    tail, went_on = [], False
+                last = int(at[-1]) + 1 if len(at) else 0
                 if len(deep) and deep[-1] > 0 or not len(at):
                     tail.append(data[last:])
                 elif data[last:].strip() not in (b"", b"}"):
                     raise ValueError(f"{place[0]}: something follows the array")
                 if len(deep):
                     depth, in_string = int(deep[-1]), in_string ^ int(quotes[-1])
-                if out and not want_fragments:
-                    yield _batch(out, _RECORDS)
             end_block()
             if want_fragments:
                 yield _batch(fragments, _FRAGMENTS)
 
         return run
 
-    records = rows.mapInArrow(cut(False), _RECORDS)
+    # Each text ends with the border behind it; an empty array has one blank text.
+    records = rows.mapInArrow(cut(False), _RECORDS).withColumn("text", F.expr("left(text, length(text) - 1)")).where(F.col("text").rlike(r"\S"))
     if any(place[1] for place in begins):
         parts = rows.mapInArrow(cut(True), _FRAGMENTS)
         records = records.unionByName(_whole(parts, "").where(F.col("text").rlike(r"\S")))
