@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,12 +33,12 @@ def pieces(spark: SparkSession, path: str, separator: str) -> DataFrame:
 def _by_block(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[Place, pa.Array]]:
     """Runs of pieces of one block; a block's runs follow each other."""
     for b in it:
-        files, blocks = b.column("file").to_pylist(), b.column("block").to_pylist()
-        first = 0
-        for i in range(1, b.num_rows + 1):
-            if i == b.num_rows or (files[i], blocks[i]) != (files[first], blocks[first]):
-                yield (files[first], blocks[first]), b.column("text").slice(first, i - first)
-                first = i
+        files, blocks = b.column("file"), b.column("block")
+        new = pc.or_(pc.not_equal(files[1:], files[:-1]), pc.not_equal(blocks[1:], blocks[:-1])).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), b.num_rows]
+        for first, end in zip(cuts, cuts[1:], strict=False):
+            if end > first:
+                yield (files[first].as_py(), blocks[first].as_py()), b.column("text").slice(first, end - first)
 
 
 def _in_order(found: dict[Place, object]) -> Iterator[tuple[Place, object, bool]]:
