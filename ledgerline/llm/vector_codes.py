@@ -12,7 +12,7 @@ A round reads the table of integers and gets at most one row per entry from each
 
 Defined results: rows whose vector is null or holds a null or a value that isn't finite are left out. Vectors have the
 number of components of the usable row with the smallest id that a cut into equal parts allows; rows with another number
-stay with a null code and error. Of equal ids the smaller vector comes first, null ids come last; with fewer rows than
+stay with a null code and error. Of equal ids the one whose packed integers sort first comes first, null ids come last; with fewer rows than
 entries the codebooks have as many entries as rows. Repeated rows are coded each. Null labels form one group, NaN and
 all other labels theirs. Integers of 2^27 or more in size are an error, as in `bitplanes`. Other columns are not read.
 """
