@@ -168,7 +168,8 @@ class Table:
         layout = self.layout()
         if layout is None or layout.key != key:
             self.overwrite(self.read(), key, buckets)
-        return self.layout()
+            layout = self.layout()
+        return layout
 
     def append(self, df: DataFrame) -> None:
         """Further rows; a table that isn't there is created."""
@@ -199,7 +200,8 @@ class Table:
         A keyed table's scan reads their buckets only; up to FEW_KEYS keys also reach the Parquet reader.
         Of a table without a key these are all rows.
         """
-        df, layout = self.stored(), self.layout()
+        df = self.stored()
+        layout = _layout_of(df)
         if layout is None or layout.bucket not in df.columns:  # no key, or no rows
             return _plain(df)
         some = keys.select(F.col(column).alias("k")).where("k is not null").distinct().limit(FEW_KEYS + 1).collect()
@@ -210,13 +212,15 @@ class Table:
 
     def rewrite(self, buckets: list[int], change: Callable[[DataFrame], DataFrame]) -> None:
         """Puts change(rows of some buckets of a keyed table) in these rows' place; keys must stay."""
-        layout = self.layout()
-        if buckets and layout.bucket in self.stored().columns:
-            self._add(change(_plain(self.stored().where(F.col(layout.bucket).isin(buckets)))), layout, self.folder, "overwrite")
+        df = self.stored()
+        layout = _layout_of(df)
+        if buckets and layout.bucket in df.columns:
+            self._add(change(_plain(df.where(F.col(layout.bucket).isin(buckets)))), layout, self.folder, "overwrite")
 
     def compact(self, most: int = 64) -> int:
         """Rewrites the buckets of a keyed table that have more than `most` files, and says how many."""
-        df, layout = self.stored(), self.layout()
+        df = self.stored()
+        layout = _layout_of(df)
         if layout is None or layout.bucket not in df.columns:
             return 0
         files = df.select(F.col(layout.bucket).alias("b"), F.col("_metadata.file_path").alias("f")).distinct()
