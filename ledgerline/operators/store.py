@@ -82,8 +82,8 @@ def is_table_path(path) -> object:
     return (F.size(parts) == 3) & ~F.array_contains(parts, "")
 
 
-#: Buckets of a keyed table unless its writer says otherwise.
-BUCKETS = 64
+#: Buckets of a keyed table unless its writer says otherwise: so many folders Spark lists without a job. Large masters take more.
+BUCKETS = 32
 #: So many keys are looked for one by one; more of them by their buckets only.
 FEW_KEYS = 200
 _KEY, _BUCKET = "canonical_of_", "bucket_of_"

@@ -271,6 +271,7 @@ def spoil(table, keep):
 
 
 def test_an_update_rewrites_its_buckets_only(spark, tmp_path):
+    spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.threshold", "5000")  # else each listing is a job of 1,000 tasks
     table = store.Table(spark, str(tmp_path / "t"))
     rows = spark.range(3000).select(F.format_string("%04d", "id").alias("fhrsid"), F.col("id").alias("n"), F.lit("x").alias("name"))
     table.overwrite(rows, "fhrsid", 1000)
@@ -287,6 +288,7 @@ def test_an_update_rewrites_its_buckets_only(spark, tmp_path):
     assert [tuple(r) for r in table.candidates(ids, "k").where("fhrsid = '0017'").collect()] == [("0017", 6, "x")]
     batch_ = spark.createDataFrame([("17", "a"), ("99999", "b")], "id string, v string")
     assert [r.id for r in ingest.new_records(batch_, table.candidates(batch_, "id"), "id", "fhrsid").collect()] == ["99999"]
+    spark.conf.unset("spark.sql.sources.parallelPartitionDiscovery.threshold")
 
 
 def test_keyed_tables(spark, tmp_path):
