@@ -13,20 +13,25 @@ inverse-transforms with one matrix product, doubles the chroma planes and gives
 tensor.
 
 `store` gives the files, `tensors` the RGB tensors of stored files, `write` keeps either or both as columns of a
-Parquet table. Work is by row; nothing is shuffled. Memory is bounded by a batch and the largest text's tensor.
+Parquet table. `keep` reads stored files back, decodes each once and keeps its tensor, with digests of file and payload, as
+a table; `features` describes the tensors of that table. `describe` gives the same columns and keeps no tensors. Work is
+by row; nothing is shuffled. Memory is bounded by a batch and the largest text's tensor.
 
 Defined results: a null text is the empty one, stored as 64 bytes of 0; equal texts give equal files;
-repeated rows are stored each; extra columns are not read; a damaged file fails the query.
+repeated rows are stored each; extra columns are not read; a damaged file fails the query, as does a text of more
+than about 1 GB, whose tensor no binary value holds.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +42,10 @@ from .common import batches, utf8
 
 BLOCK = 64
 MOST_COLUMNS = 4000  #: MCUs in a row of the image: 64,000 pixels
+GROUP_ROWS = 512  #: most rows in a row group of a table of tensors
 BANDS = ((1, 5), (6, 63))
+RESTART = re.compile(rb"\xff[\xd0-\xd7]")
+MARKER = re.compile(rb"\xff[^\x00\xff\xd0-\xd7]")  #: any other, which ends a scan
 
 
 @lru_cache(1)
@@ -74,13 +82,14 @@ def _scan(component: int, start: int, end: int, high: int, low: int) -> bytes:
 
 
 def _stuff(data: np.ndarray) -> bytes:
-    at = np.flatnonzero(data == 0xFF)
-    return np.insert(data, at + 1, 0).tobytes() if len(at) else data.tobytes()
+    return data.tobytes().replace(b"\xff", b"\xff\0")
 
 
 def _ones(bits: np.ndarray) -> np.ndarray:
     """Bits as bytes, the last one filled with ones."""
-    return np.packbits(np.concatenate([bits, np.ones(-len(bits) % 8, np.uint8)]))
+    out = np.packbits(bits)
+    out[-1] |= (1 << -len(bits) % 8) - 1
+    return out
 
 
 def _dc_first(values: np.ndarray) -> bytes:
@@ -121,7 +130,7 @@ def encode(payload: bytes) -> bytes:
     parts.append(_table(0x10, 0))
     for c, b in planes:
         bits = np.zeros((len(b), 64), np.uint8)
-        bits[:, 1:] = np.where(b[:, 1:] >= 128, b[:, 1:] & 1, ~b[:, 1:] & 1)
+        bits[:, 1:] = (b[:, 1:] & 1) ^ (b[:, 1:] < 128)
         parts += [_scan(c, 1, 63, 1, 0), _stuff(np.packbits(bits))]
     return b"".join([*parts, b"\xff\xd9"])
 
@@ -174,16 +183,13 @@ def _signed(bits, size):
     return np.where(bits >> (size - 1) > 0, bits, bits - (1 << size) + 1)
 
 
-def _intervals(entropy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _intervals(entropy: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Bytes without stuffing and restart markers, and where each restart interval begins in them."""
-    ff = np.flatnonzero(entropy[:-1] == 0xFF)
-    if not len(ff):
-        return entropy, np.zeros(1, np.int64)
-    after = entropy[ff + 1]
-    stuffed, restarts = ff[after == 0] + 1, ff[(after >= 0xD0) & (after <= 0xD7)]
-    gone = np.sort(np.concatenate([stuffed, restarts, restarts + 1]))
-    starts = restarts + 2
-    return np.delete(entropy, gone), np.concatenate([[0], starts - np.searchsorted(gone, starts)]).astype(np.int64)
+    if b"\xff" not in entropy:
+        return np.frombuffer(entropy, np.uint8), np.zeros(1, np.int64)
+    parts = [x.replace(b"\xff\0", b"\xff") for x in RESTART.split(entropy)]
+    starts = np.fromiter(accumulate(map(len, parts[:-1]), initial=0), np.int64, len(parts))
+    return np.frombuffer(b"".join(parts), np.uint8), starts
 
 
 class _Bits:
@@ -217,10 +223,6 @@ class _Bits:
 
 def decode(data: bytes) -> Image:
     """Accumulates all scans of a progressive file into its components' levels."""
-    buf = np.frombuffer(data, np.uint8)
-    ff = np.flatnonzero(buf[:-1] == 0xFF)
-    after = buf[ff + 1]
-    markers = ff[(after != 0) & (after != 0xFF) & ((after < 0xD0) | (after > 0xD7))]
     image, tables, restart, at = Image(), {}, 0, 2
     if data[:2] != b"\xff\xd8":
         raise ValueError("damaged file: no start")
@@ -250,11 +252,14 @@ def decode(data: bytes) -> Image:
         elif 0xC0 <= code <= 0xCF and code != 0xC8 and code != 0xCC:
             raise ValueError("not a Huffman-coded progressive file")
         elif code == 0xDA:
-            end = int(markers[np.searchsorted(markers, at)])
+            following = MARKER.search(data, at)
+            if not following:
+                raise ValueError("damaged file: no end")
+            end = following.start()
             n = body[0]
             chosen = [(next(c for c in image.components if c.id == body[1 + 2 * i]), body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(n)]
             start, stop, approximation = body[1 + 2 * n : 4 + 2 * n]
-            _read_scan(image, chosen, tables, restart, start, stop, approximation >> 4, approximation & 15, buf[at:end])
+            _read_scan(image, chosen, tables, restart, start, stop, approximation >> 4, approximation & 15, data[at:end])
             at = end
 
 
@@ -291,8 +296,8 @@ def _read_scan(image, chosen, tables, restart, start, stop, high, low, entropy)
             return
         if single and not restart and high and single[1] == 0 and levels[:, :, start : stop + 1].all():
             bits = np.unpackbits(_intervals(entropy)[0], count=n * (single[0] + band)).reshape(n, -1)[:, single[0] :]
-            old = levels[:, :, start : stop + 1]
-            old += np.sign(old) * (bits.reshape(whole).astype(np.int32) << low)
+            old, more = levels[:, :, start : stop + 1], bits.reshape(whole).astype(np.int32) << low
+            old += np.where(old > 0, more, -more)
             return
     _read_symbols(image, chosen, tables, restart, start, stop, high, low, entropy)
 
@@ -319,13 +324,19 @@ def _stride(data: np.ndarray, length: int, size: int, count: int) -> np.ndarray:
     """Levels of `size` bits, each after a code of `length` bits that all are 0."""
     step = length + size
     if step == 8:
-        units = data[:count].astype(np.int32)
+        units = data[:count]
     else:
         bits = np.unpackbits(data, count=count * step).reshape(count, step)
         units = bits @ (1 << np.arange(step - 1, -1, -1, dtype=np.int32))
-    if len(units) < count or (units >> size).any():
+    if len(units) < count or units.max() >> size:
         raise ValueError("damaged file: no such code")
-    return _signed(units, size)
+    return _levels(size)[units]
+
+
+@lru_cache(16)
+def _levels(size: int) -> np.ndarray:
+    """The level that each `size` bits stand for."""
+    return _signed(np.arange(1 << size, dtype=np.int32), size)
 
 
 def _read_symbols(image, chosen, tables, restart, start, stop, high, low, entropy) -> None:
@@ -483,10 +494,29 @@ def write(docs: DataFrame, folder: str, with_tensors: bool = True) -> DataFrame:
     return docs.sparkSession.read.schema(found.schema).parquet(folder)
 
 
-def _described(media: bytes) -> tuple:
-    image = decode(media)
+DIGESTS = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string()}
+TENSOR = {"height": pa.int32(), "width": pa.int32(), "rgb": pa.binary()}
+FEATURE = {"feature": pa.string()}
+
+
+def _digests(media: bytes, image: Image) -> tuple:
     payload = payload_of(image)
-    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature(rgb(image))
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest()
+
+
+def _with_columns(rows: DataFrame, dropped: tuple[str, ...], added: dict[str, pa.DataType], found, most_bytes: int) -> DataFrame:
+    """rows without the columns `dropped`, from whose values `found` makes those `added`, row by row."""
+    kept = [c for c in rows.columns if c not in dropped]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it, most_bytes):
+            values = [found(*v) for v in zip(*(b.column(c).to_pylist() for c in dropped))]
+            columns = [pa.array([v[i] for v in values], k) for i, k in enumerate(added.values())]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *columns], [*kept, *added])
+
+    spark_name = {pa.int64(): "bigint", pa.int32(): "int", pa.string(): "string", pa.binary(): "binary"}
+    fields = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept] + [f"{n} {spark_name[k]}" for n, k in added.items()]
+    return rows.mapInArrow(run, ", ".join(fields))
 
 
 def describe(stored: DataFrame) -> DataFrame:
@@ -495,14 +525,36 @@ def describe(stored: DataFrame) -> DataFrame:
     doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32 (of the last 64 bytes), media_bytes,
     media_sha256, feature (of the RGB tensor).
     """
-    names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(it, 2 << 20):
-            rows = [_described(m) for m in b.column("media").to_pylist()]
-            found = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *found], ["doc_id", "n_bytes", *names])
+    def found(media: bytes) -> tuple:
+        image = decode(media)
+        return *_digests(media, image), feature(rgb(image))
+
+    return _with_columns(stored.select("doc_id", "n_bytes", "media"), ("media",), DIGESTS | FEATURE, found, 2 << 20)
+
+
+def keep(stored: DataFrame, folder: str) -> DataFrame:
+    """Reads each stored file, writes its tensor as a table in a new folder, and reads that back.
+
+    The columns of describe() but the feature, and height, width and rgb: the tensor's bytes by row, pixel and channel.
+    """
+
+    def found(media: bytes) -> tuple:
+        image = decode(media)
+        tensor = rgb(image)
+        return *_digests(media, image), *tensor.shape[:2], tensor.tobytes()
+
+    kept = _with_columns(stored.select("doc_id", "n_bytes", "media"), ("media",), DIGESTS | TENSOR, found, 1 << 20)
+    # level 1: tensors of texts come out no larger than at the usual level 3; a reader holds a row group's rows at once
+    options = {"compression": "zstd", "parquet.compression.codec.zstd.level": 1, "parquet.block.row.count.limit": GROUP_ROWS}
+    kept.write.options(**options).parquet(folder)
+    return stored.sparkSession.read.schema(kept.schema).parquet(folder)
+
+
+def features(kept: DataFrame) -> DataFrame:
+    """The columns of describe(), the feature from each tensor as keep() has stored it."""
+
+    def found(height: int, width: int, tensor: bytes) -> tuple:
+        return (feature(np.frombuffer(tensor, np.uint8).reshape(height, width, 3)),)
 
-    fields = ", ".join(f"{n} {'bigint' if k == pa.int64() else 'string'}" for n, k in zip(names, kinds))
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, _with_id(stored, f"n_bytes bigint, {fields}"))
+    return _with_columns(kept.select("doc_id", "n_bytes", *DIGESTS, *TENSOR), tuple(TENSOR), FEATURE, found, 4 << 20)

@@ -61,7 +61,8 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_folder(spark, "media")
-    return media.describe(media.write(table(spark, sf_dir, "documents"), folder, with_tensors=False))
+    files = media.write(table(spark, sf_dir, "documents"), f"{folder}/files", with_tensors=False)
+    return media.features(media.keep(files, f"{folder}/tensors"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

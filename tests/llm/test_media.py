@@ -5,9 +5,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
-from ledgerline.llm import media
+from pyspark.sql import functions as F
+
+from ledgerline.llm import common, media, queries
+from ledgerline.operators import store
 
 
 @pytest.mark.parametrize("n", [0, 1, 64, 65, 384, 385, 3000, 200_000])
@@ -200,3 +204,40 @@ def test_columns(spark, tmp_path):
     for m in kept:
         assert np.frombuffer(m.rgb, np.uint8).reshape(m.height, m.width, 3).tolist() == media.rgb(media.decode(m.media)).tolist()
     assert media.describe(media.write(docs.limit(0), str(tmp_path / "none"))).count() == 0
+
+
+def test_query_stores_the_tensor_of_every_file(spark, tmp_path, monkeypatch):
+    common.clear_scratch(spark)
+    monkeypatch.setattr(store, "scratch_dir", lambda spark: str(tmp_path))
+    texts = [(1, "abc"), (2, None), (3, ""), (None, "é" * 40_000), (1, "abc"), (4, "x" * 64), (5, "words of a text " * 999)]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(f"{tmp_path}/in/documents.parquet")
+    result = queries.op9_media(spark, f"{tmp_path}/in")
+    at = next(str(p) for p in tmp_path.iterdir() if p.name != "in")
+    files, stored = (spark.read.parquet(f"{at}/{x}").collect() for x in ("files", "tensors"))
+    expect = [media.rgb(media.decode(m.media)) for m in files]
+    assert len(stored) == len(texts)
+    assert sorted((m.height, m.width, bytes(m.rgb)) for m in stored) == sorted((*t.shape[:2], t.tobytes()) for t in expect)
+    rows = result.collect()
+    assert sorted(r.feature for r in rows) == sorted(map(media.feature, expect))
+    assert sorted(map(str, rows)) == sorted(map(str, media.describe(spark.read.parquet(f"{at}/files")).collect()))
+    common.clear_scratch(spark)
+
+
+def test_features_are_those_of_the_stored_tensors(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "abc"), (2, "é" * 999)], "doc_id bigint, text string")
+    files = media.write(docs, str(tmp_path / "files"), with_tensors=False)
+    kept = media.keep(files, str(tmp_path / "tensors"))
+    black = kept.withColumn("rgb", F.expr("unhex(repeat('00', length(rgb)))"))
+    assert [r.feature.split(":", 1)[1] for r in media.features(black).collect()] == ["0.00,0.00,0.00:1000,0,0,0,0,0,0,0"] * 2
+    with pytest.raises(Exception, match="reshape"):
+        media.features(kept.withColumn("rgb", F.expr("substring(rgb, 2)"))).collect()
+    nothing = media.keep(files.limit(0), str(tmp_path / "none"))
+    assert nothing.columns == kept.columns and media.features(nothing).columns == media.describe(files).columns
+    assert media.features(nothing).count() == 0
+
+
+def test_tensors_lie_in_row_groups_of_bounded_rows(spark, tmp_path):
+    docs = spark.range(0, 1300, 1, 1).selectExpr("id as doc_id", "'abc' as text")
+    media.keep(media.write(docs, str(tmp_path / "files"), with_tensors=False).coalesce(1), str(tmp_path / "tensors"))
+    found = [pq.ParquetFile(p).metadata for p in (tmp_path / "tensors").glob("*.parquet")]
+    assert sorted(m.row_group(i).num_rows for m in found for i in range(m.num_row_groups)) == [276, 512, 512]
